@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ogg
-from .common import held_out
+from . import langid, licenses, mixing, ogg, toxicity, urlfilter
+from .common import Scratch, held_out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "op1"), ~held_out("doc_id"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~held_out("doc_id")))
@@ -24,5 +29,28 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_column(stored).drop("error")
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_ogg_media": op4_ogg_media}
+#: The host and path rules of op8's contract.
+URL_RULES = [
+    urlfilter.Rule("allow", "com", "/"),
+    urlfilter.Rule("block", "example.com", "/en/"),
+    urlfilter.Rule("allow", "www.example.com", "/en/"),
+    urlfilter.Rule("block", "net", "/es/"),
+    urlfilter.Rule("block", "net", "/fr/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_ogg_media": op4_ogg_media, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {}
