@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, ogg, toxicity, urlfilter
+from . import langid, licenses, mixing, ogg, tokens, toxicity, urlfilter
 from .common import Scratch, held_out
 
 
@@ -24,6 +24,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def vocabulary_file() -> str:
+    """The vocabulary that op3's contract names; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, back = tokens.round_trip(read(spark, sf_dir, "documents"), Scratch(spark, "op3"), vocabulary_file())
+    return back.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = ogg.encode_column(read(spark, sf_dir, "documents"))
     return ogg.decode_column(stored).drop("error")
@@ -52,5 +64,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_ogg_media": op4_ogg_media, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids, "op4_ogg_media": op4_ogg_media, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {}
