@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, ogg, tokens, toxicity, urlfilter
+from . import decontaminate, langid, licenses, mixing, ogg, tokens, toxicity, urlfilter
 from .common import Scratch, held_out
 
 
@@ -41,6 +41,10 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_column(stored).drop("error")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 #: The host and path rules of op8's contract.
 URL_RULES = [
     urlfilter.Rule("allow", "com", "/"),
@@ -64,5 +68,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids, "op4_ogg_media": op4_ogg_media, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids, "op4_ogg_media": op4_ogg_media, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {}
