@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, ogg, shingle_join, tokens, toxicity, urlfilter
+from . import decontaminate, langid, licenses, lines, mixing, ogg, shingle_join, tokens, toxicity, urlfilter
 from .common import Scratch, held_out
 
 
@@ -41,6 +41,10 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_column(stored).drop("error")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link(read(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
@@ -72,5 +76,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids, "op4_ogg_media": op4_ogg_media, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids, "op4_ogg_media": op4_ogg_media, "op5_line_dedup": op5_line_dedup, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_source_mix": op9_source_mix, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {}
