@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: ASCII white space: the one rule that Spark, DuckDB and Python agree on without flags.
 BLANK = r"[ \t\n\r\f\x0B]+"
@@ -19,7 +20,7 @@ def normalize(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, BLANK, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_exact(text: pd.Series) -> pd.Series:
     """Unicode white space and casefold, as Python defines them ("ß" becomes "ss")."""
     return text.map(lambda t: None if t is None else " ".join(t.split()).casefold())
@@ -58,7 +59,7 @@ def minhash(grams: Column, permutations: int = 32) -> Column:
     return F.when(F.size(grams) > 0, least).otherwise(F.array_repeat(F.lit("0" * 64), permutations))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def edit_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of normalized texts."""
     def ratio(a, b):
@@ -67,7 +68,7 @@ def edit_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical JSON of a JSON text: sorted keys, compact, non-ASCII kept; null where it does not parse."""
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 ROLES = ("system", "user", "assistant", "tool")
 KINDS = {"object": dict, "string": str, "array": list, "boolean": bool, "null": type(None)}
@@ -121,7 +122,7 @@ def trajectory_problems(messages: list[dict], tools: list[dict], supervision: st
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def trajectory_issues(messages: pd.Series, tools: pd.Series, supervision: pd.Series) -> pd.Series:
     """Issues of canonical rows (JSON messages and tools)."""
     return pd.Series([trajectory_problems(json.loads(m), json.loads(t), s) if m and t else ["NO_ROW"] for m, t, s in zip(messages, tools, supervision, strict=True)])
