@@ -35,14 +35,13 @@ def sha(text: Column | str) -> Column:
     return F.sha2(text, 256)
 
 
-def char_ngrams(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams; none where the text is shorter."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def char_ngrams(text: Column | str, n: int = 5) -> Column:
+    """Distinct character n-grams; none where the text is shorter. One pass: a look-ahead at every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    """Word n-grams in order, one for each place."""
+    """Word n-grams in order, one for each place. ``words`` is a column of its own: an expression would be evaluated at every place."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .validators import canonical_problems
 
 
@@ -274,6 +275,7 @@ def normalize_one(adapter: Callable[[dict], dict], raw: str | None, split: str)
 
 def normalize(raw: DataFrame, source: str, split: str = "train", column: str = "raw") -> DataFrame:
     """``raw`` rows with source, split and the canonical columns; a row that has no canonical form has a reason."""
+    ship(raw.sparkSession)
     adapter = ADAPTERS[source]
 
     @F.pandas_udf(NORMALIZED)

@@ -87,7 +87,7 @@ def queue(levels: list[tuple[int, DataFrame]]) -> DataFrame:
 def word_probe(heldout: DataFrame, training: DataFrame, n: int = 8, share: float = 0.5, min_chars: int = 12) -> DataFrame:
     """(heldout, corpus, covered, total, contained): places of word n-grams found in one corpus, or the whole text found exactly."""
     def grams(df: DataFrame) -> DataFrame:
-        return df.withColumn("norm", T.normalize("text")).withColumn("grams", T.word_ngrams(F.split("norm", " "), n))
+        return df.withColumn("norm", T.normalize("text")).withColumn("words", F.split("norm", " ")).withColumn("grams", T.word_ngrams(F.col("words"), n)).drop("words")
 
     left = grams(heldout).select(F.col("id").alias("heldout"), "norm", F.size("grams").alias("total"), F.posexplode_outer("grams").alias("place", "gram"))
     right = grams(training).select("corpus", F.explode("grams").alias("gram")).join(left.select("gram").distinct(), "gram", "left_semi").distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
+
+from ..session import ship
 from ..operators import annotation, contamination, conversations, dedup, metrics, mixture, preferences, sampling, validators
 
 QUERIES: dict = {}
@@ -25,6 +27,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -453,8 +456,8 @@ def newcombe_diff(spark, sf_dir):
 
 
 @query(f"""with r as (select benchmark, gold as l, predicted as r from {_pred()}), t as (select benchmark, count(*)::double as n, count_if(l = r) / count(*) as po from r group by 1),
-m as (select benchmark, label, count_if(s = 0) as a, count_if(s = 1) as b from (select benchmark, l as label, 0 as s from r union all select benchmark, r, 1 from r) group by 1, 2), c as (select benchmark, sum(a * b) as both from m group by 1)
-select benchmark, n::bigint as n, round(po, 9) as agreement, round(case when both / (n * n) < 1 then (po - both / (n * n)) / (1 - both / (n * n)) end, 9) as kappa from t join c using (benchmark)""")
+m as (select benchmark, label, count_if(s = 0) as a, count_if(s = 1) as b from (select benchmark, l as label, 0 as s from r union all select benchmark, r, 1 from r) group by 1, 2), c as (select benchmark, sum(a * b) as two from m group by 1)
+select benchmark, n::bigint as n, round(po, 9) as agreement, round(case when two / (n * n) < 1 then (po - two / (n * n)) / (1 - two / (n * n)) end, 9) as kappa from t join c using (benchmark)""")
 def cohen_kappa(spark, sf_dir):
     out = stats.cohen_kappa(predictions(spark, sf_dir), "gold", "predicted", ("benchmark",))
     return out.select("benchmark", "n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
@@ -551,7 +554,7 @@ def yield_by_source(spark, sf_dir):
 
 
 @query(f"""select source, trainable_yield, expected, case when expected is null or expected <= 0 then 'NOT_EXPECTED' when trainable_yield / expected < 0.5 then 'COLLAPSE' when trainable_yield / expected < 0.9 then 'ANOMALY' else 'OK' end as verdict
-from ({YIELD}) left join (select column0 as source, column1 as expected from (values ('src0', 0.8::double), ('src1', 0.95::double), ('src2', 2.0::double))) using (source)""")
+from ({YIELD}) left join (select col0 as source, col1 as expected from (values ('src0', 0.8::double), ('src1', 0.95::double), ('src2', 2.0::double))) using (source)""")
 def yield_gate(spark, sf_dir):
     expected = spark.createDataFrame([("src0", 0.8), ("src1", 0.95), ("src2", 2.0)], "source string, expected double")
     return mixture.yield_gate(_yields(spark, sf_dir), expected, "source")
