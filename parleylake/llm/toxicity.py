@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over terms whose presence goes with the label (words and
-their first 4, 5 and 6 bytes, chosen by chi-square on the examples); document frequencies come from
+Examples (copies of a text count once) and documents are TF-IDF vectors over terms whose presence
+goes with the label (words and their first 4, 5 and 6 bytes, chosen by chi-square and lift on the examples); document frequencies come from
 all documents. Examples lie in an inverted index with a bound of each term's weight per block of
 examples; a query visits blocks by descending bound until no block can reach its k-th cosine, so
 neighbours are exact. Votes weighted by similarity are calibrated by logistic regression on
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, each_slice, map_arrow, ship, slices
@@ -30,6 +30,9 @@ from .hashing import LETTERS, words
 #: Bounds of what is learned: labelled rows (a hash of the id chooses them) and terms.
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4096
+MAX_CALIBRATION = 2000
+#: A term is of use where the label's share among its texts is so many times that among all.
+LIFT = 2.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -55,8 +58,10 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray  # example ids, in index order
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: example places, weights
-    cuts: np.ndarray  # per term and block, where its postings begin
+    cuts: np.ndarray  # where each block's postings begin
+    terms: np.ndarray  # of postings, by block and term
+    places: np.ndarray  # example of each posting, within its block
+    weights: np.ndarray
     peaks: np.ndarray  # per term and block, the largest weight
     prior: float
     blank: float
@@ -72,16 +77,14 @@ class Index:
         """Places and cosines of the k nearest examples (ties: smaller id), ``skip`` left out."""
         bounds = weights @ self.peaks[terms]
         order = np.argsort(-bounds, kind="stable")
+        query = np.zeros(len(self.keys))
+        query[terms] = weights
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         for block in order[: np.count_nonzero(bounds > 0)].tolist():
             if len(best) >= self.k and bounds[block] < best[-1] - 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, b = self.cuts[term, block], self.cuts[term, block + 1]
-                if b > a:
-                    places, values = self.postings[term]
-                    scores[places[a:b] - block * BLOCK] += weight * values[a:b]
+            own = slice(self.cuts[block], self.cuts[block + 1])
+            scores = np.bincount(self.places[own], self.weights[own] * query[self.terms[own]], BLOCK)
             at = np.flatnonzero(scores > 0) + block * BLOCK
             at = at[at != skip]
             best_at, best = np.concatenate([best_at, at]), np.concatenate([best, np.round(scores[at - block * BLOCK], 12)])
@@ -107,7 +110,8 @@ def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.n
     labels = np.array([e[1] for e in examples], float)
     prior = _rate(labels.sum(), len(labels), 0.1)
     blank = [e[1] for e in examples if not len(e[2])]
-    index = Index(keys, idf, np.zeros(0, np.int64), np.zeros(0), [], np.zeros((0, 0), np.int64), np.zeros((0, 0)), prior, _rate(sum(blank), len(blank), prior), k=k)
+    nothing = np.zeros(0, np.int64)
+    index = Index(keys, idf, nothing, nothing, nothing, nothing, nothing, nothing, np.zeros((0, 0)), prior, _rate(sum(blank), len(blank), prior), k=k)
     made = []
     for key, label, terms, counts in examples:
         if len(terms):
@@ -120,16 +124,12 @@ def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.n
     at = np.repeat(np.arange(len(made)), [len(m[4]) for m in made])
     term = np.concatenate([m[4] for m in made]) if made else np.zeros(0, np.int64)
     weight = np.concatenate([m[5] for m in made]) if made else np.zeros(0)
-    order = np.lexsort((at, term))
+    order = np.lexsort((at, term, at // BLOCK))
     at, term, weight = at[order], term[order], weight[order]
-    index.peaks = np.zeros((len(keys), blocks))
-    np.maximum.at(index.peaks, (term, at // BLOCK), weight)
-    edges = np.searchsorted(term, np.arange(len(keys) + 1))
-    index.cuts = np.zeros((len(keys), blocks + 1), np.int64)
-    for t in range(len(keys)):
-        own = slice(edges[t], edges[t + 1])
-        index.postings.append((at[own], weight[own]))
-        index.cuts[t] = np.searchsorted(at[own], np.arange(blocks + 1) * BLOCK)
+    index.peaks = np.zeros((len(keys), blocks), np.float32)
+    np.maximum.at(index.peaks, (term, at // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+    index.terms, index.places, index.weights = term.astype(np.int32), at % BLOCK, weight
+    index.cuts = np.searchsorted(at // BLOCK, np.arange(blocks + 1))
     _calibrate(index, made)
     return index
 
@@ -138,8 +138,9 @@ def _calibrate(index: Index, made: list[tuple], steps: int = 30) -> None:
     """Logistic regression of the label on the logit of the leave-one-out vote."""
     if len(made) < 20 or len({m[3] for m in made}) < 2:
         return
-    votes = np.array([index.vote(*index.nearest(m[4], m[5], skip=i)) for i, m in enumerate(made)])
-    x, y = np.log(votes / (1 - votes)), np.array([m[3] for m in made], float)
+    some = range(0, len(made), -(-len(made) // MAX_CALIBRATION))
+    votes = np.array([index.vote(*index.nearest(made[i][4], made[i][5], skip=i)) for i in some])
+    x, y = np.log(votes / (1 - votes)), np.array([made[i][3] for i in some], float)
     beta, ridge = np.array([1.0, 0.0]), 1.0
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(steps):
@@ -162,7 +163,7 @@ def _select(rows: list, positives: int, total: int) -> np.ndarray:
     a, b = pos, all_ - pos
     c, d = positives - a, total - positives - b
     chi = total * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    good = np.flatnonzero(chi >= 2 * np.log(len(rows) / 0.01))
+    good = np.flatnonzero((chi >= 2 * np.log(len(rows) / 0.01)) & (a * total >= LIFT * all_ * positives))
     good = good[np.lexsort((key[good], -chi[good]))][:MAX_TERMS]
     return np.sort(key[good])
 
@@ -240,6 +241,9 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
     chosen = scratch.table(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "examples")
     # at most max_examples rows of two numbers, whatever the input
     examples = docs.where("doc_id is not null").join(F.broadcast(chosen), "doc_id")
+    # copies of a text are one example: of at most max_examples rows, by a hash of the text
+    examples = scratch.table(examples.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("first", F.row_number().over(Window.partitionBy("same").orderBy(F.col("label").desc(), "doc_id"))).where("first = 1").select("doc_id", "text", "label"), "different")
+    chosen = examples.select("doc_id", "label")
     keys, _ = learn_terms(examples)
     table = scratch.table(vectors(docs, keys, ["doc_id"]), "vectors")
     total = table.count()
