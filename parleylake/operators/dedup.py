@@ -32,7 +32,8 @@ def greedy(rows: DataFrame, ident: str, order: list[str], keys: list[str], round
     is looked at again. That is the sequential rule, in as many rounds as its longest chain of decisions.
     Rows left after ``rounds`` (long chains) are settled in order, a connected chain at a time.
     """
-    pending = rows.withColumn("__rank", F.struct(*order, ident))
+    by = list(dict.fromkeys([*order, ident]))
+    pending = rows.withColumn("__rank", F.struct(*(F.col(c).alias(f"o_{c}") for c in by)))
     kept = None
     for _ in range(rounds):
         least = pending
@@ -51,17 +52,17 @@ def greedy(rows: DataFrame, ident: str, order: list[str], keys: list[str], round
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: list[set] = [set() for _ in keys]
         good = []
-        for row in pdf.sort_values([*order, ident]).itertuples(index=False):
+        for row in pdf.sort_values(by).itertuples(index=False):
             own = [getattr(row, k) for k in keys]
             free = not any(v is not None and v in seen for v, seen in zip(own, taken, strict=True))
             good.append(free)
             if free:
                 for v, seen in zip(own, taken, strict=True):
                     seen.add(v)
-        return pdf.sort_values([*order, ident])[good]
+        return pdf.sort_values(by)[good]
 
     rest = pending.drop("__rank")
-    return kept.drop("__rank").unionByName(rest.groupBy(F.lit(0)).applyInPandas(settle, rest.schema))
+    return kept.drop("__rank").unionByName(rest.groupBy(F.lit(0).alias("all")).applyInPandas(settle, rest.schema))
 
 
 def fingerprint_rows(rows: DataFrame, order: list[str], parts: list[Column], by: list[str], separator: str = "\n") -> DataFrame:

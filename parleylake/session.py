@@ -10,16 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def local(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for one machine; on a cluster the caller brings its own."""
-    return (
+def local(cores: int = 8, partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for one machine; on a cluster the caller brings its own. ``shared``: the folder for scratch tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName("parleylake")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
