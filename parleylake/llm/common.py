@@ -4,42 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that a Python kernel holds at a time; a longer text is handled alone.
 CHUNK_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_parleylake_shared", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="parleylake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = context._parleylake_shared = "file://" + tempfile.mkdtemp(prefix="parleylake-")
     return folder.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that workers need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_parleylake_sent", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / f"parleylake-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._parleylake_sent = True
-
-
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
