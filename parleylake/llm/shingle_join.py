@@ -32,8 +32,9 @@ from .hashing import SPACED, M2, mix, shingles, words
 
 #: Buckets of the shingle counts that rank rarity; counts of a bucket are summed, which keeps the order global.
 RARITY_BITS = 16
-#: Bits of a class's token bitmap.
+#: Bits of a class's token bitmap, and of the folded one that the trees' nodes hold.
 BITMAP = 2048
+FOLDED = 512
 NODE = 512
 FANOUT = 8
 #: Bits of the filter that picks the texts to verify; with more classes it lets more through, never fewer.
@@ -89,7 +90,7 @@ def _rarity(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, rare array<long>, bitmap binary"
+DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, rare array<long>, bitmap binary, folded binary"
 
 
 def _describe(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) -> DataFrame:
@@ -98,21 +99,22 @@ def _describe(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) ->
     def one(own: np.ndarray) -> tuple:
         n = len(own)
         if not n:
-            return 0, 0, 0, [], b""
+            return 0, 0, 0, [], b"", b""
         d1, d2 = int(mix(own).sum(dtype=np.uint64).astype(np.int64)), int(mix(own ^ M2).sum(dtype=np.uint64).astype(np.int64))
         if n * 100 < (n + 1) * percent:  # so small that it links with equal sets only
-            return n, d1, d2, [], b""
+            return n, d1, d2, [], b"", b""
         keep = n - (percent * n + 99) // 100 + 1
         order = np.lexsort((own, shared.value[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:keep]
         bits = np.zeros(BITMAP, np.uint8)
         bits[own & np.uint64(BITMAP - 1)] = 1
-        return n, d1, d2, own[order].view(np.int64), np.packbits(bits).tobytes()
+        folded = bits.reshape(-1, FOLDED).max(axis=0)
+        return n, d1, d2, own[order].view(np.int64), np.packbits(bits).tobytes(), np.packbits(folded).tobytes()
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                n, d1, d2, rare, bitmap = zip(*map(one, sets(part.column("text"), width)), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "rare", "bitmap"])
+                n, d1, d2, rare, bitmap, folded = zip(*map(one, sets(part.column("text"), width)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()), pa.array(folded, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "rare", "bitmap", "folded"])
 
     return map_arrow(docs, work, DESCRIBED)
 
@@ -244,9 +246,29 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _overlap_bound(bits1: np.ndarray, n1: np.ndarray, bits2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """The most shingles that two sets can share: what has no bit in the other is not shared."""
+    return np.minimum(n1 - np.bitwise_count(bits1 & ~bits2).sum(axis=1), n2 - np.bitwise_count(bits2 & ~bits1).sum(axis=1))
+
+
+def _possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the whole bitmaps leave."""
+    one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("bitmap").alias("ba"))
+    two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("bitmap").alias("bb"))
+
+    def work(batches):
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for c in ("ba", "bb")]
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            keep = _overlap_bound(bits[0], na, bits[1], nb) * (100 + percent) >= percent * (na + nb)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb"), work, PAIRS)
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
-    pairs = scratch.table(pairs, "pairs")
+    pairs = scratch.table(_possible_pairs(pairs, classes, percent), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     whole = scratch.table(_wanted_sets(docs, ids.distinct(), width), "sets")
     left = whole.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -330,7 +352,7 @@ def _nodes(groups: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int,
     """Bottom nodes of the groups' trees, where a group still has members of different components."""
     labelled = groups.join(labels, groups["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", "bitmap"), "rep")
+    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("folded").alias("bitmap")), "rep")
     ordered = left.repartitionByRange(tasks, "key", "component", "n", "rep").sortWithinPartitions("key", "component", "n", "rep").withColumn("part", F.spark_partition_id())
 
     def work(batches):
@@ -356,10 +378,28 @@ def _nodes(groups: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int,
 
 def _tree(size: int, raw: bytes) -> Tree:
     values = np.frombuffer(raw, np.int64, 3 * size)
-    bits = np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, BITMAP // 64)
+    bits = np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, FOLDED // 64)
     return Tree(values[:size], values[size : 2 * size], values[2 * size :], bits)
 
 
+def _small(size: int, raws: list[bytes], percent: int) -> pa.RecordBatch:
+    """Pairs of members inside nodes of one small size, by the bounds that the tree uses at its bottom."""
+    values = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)
+    rep, n, component = (np.ascontiguousarray(values[:, 8 * size * k : 8 * size * (k + 1)]).view(np.int64) for k in range(3))
+    bits = np.ascontiguousarray(values[:, 24 * size :]).view(np.uint64).reshape(len(raws), size, FOLDED // 64)
+    i, j = np.triu_indices(size, 1)
+    node, pair = np.nonzero((component[:, i] != component[:, j]) & _fits(n[:, i], n[:, j], percent))
+    x, y = i[pair], j[pair]
+    keep = np.zeros(len(node), bool)
+    for start in range(0, len(node), 65536):
+        own = slice(start, start + 65536)
+        k, a, b = node[own], x[own], y[own]
+        keep[own] = _overlap_bound(bits[k, a], n[k, a], bits[k, b], n[k, b]) * (100 + percent) >= percent * (n[k, a] + n[k, b])
+    pairs = np.unique(np.sort(np.stack([rep[node, x][keep], rep[node, y][keep]], axis=1), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that the dual traversal leaves, in each node and between the nodes of a spread group."""
 
@@ -371,9 +411,15 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
     def alone(batches):
         for batch in batches:
-            for size, raw in zip(batch.column("size").to_pylist(), batch.column("members"), strict=True):
-                tree = _tree(size, raw.as_py())
-                yield emit(tree, tree)
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                raws = batch.column("members").filter(pa.array(sizes == size)).to_pylist()
+                if size <= 2 * FANOUT:  # a bottom node or two: all of one size at once
+                    yield _small(size, raws, percent)
+                else:
+                    for raw in raws:
+                        tree = _tree(size, raw)
+                        yield emit(tree, tree)
 
     def between(batches):
         for batch in batches:
@@ -401,12 +447,12 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = scratch.table(_describe(docs, width, percent, _rarity(docs, width)), "described")
     first = scratch.table(described.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "first")
-    classes = described.where("size(rare) > 0").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "rare", "bitmap").dropDuplicates(["rep"])
+    classes = described.where("size(rare) > 0").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "rare", "bitmap", "folded").dropDuplicates(["rep"])
     classes = scratch.table(classes, "classes")
     groups = scratch.table(_shared_groups(classes, tasks), "groups")
-    links = scratch.table(_verify(_chains(groups, percent, tasks), docs, width, percent, scratch), "links")
+    links = scratch.table(_verify(_chains(groups, percent, tasks), classes, docs, width, percent, scratch), "links")
     labels = components(links, scratch)
-    more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), docs, width, percent, scratch), "links")
+    more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), classes, docs, width, percent, scratch), "links")
     labels = components(links.unionByName(more), scratch)
     owned = described.select("doc_id", "n_shingles", "d1", "d2").join(first, ["d1", "d2"], "left")
     found = owned.join(labels, owned["rep"] == labels["node"], "left")
