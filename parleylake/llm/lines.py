@@ -79,11 +79,17 @@ def _positional(percent: int) -> Column:
 
 
 def _earlier() -> Column:
-    return F.col("x.first") < F.col("y.first")
+    return (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
+
+
+def _pair(swapped: Column) -> list[Column]:
+    """The earlier and the later of x and y."""
+    x, y = F.struct(F.col("x.doc").alias("doc"), F.col("x.line").alias("line")), F.struct(F.col("y.doc").alias("doc"), F.col("y.line").alias("line"))
+    return [F.when(swapped, y).otherwise(x).alias("xf"), F.when(swapped, x).otherwise(y).alias("yf")]
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(h1, h2) of the later classes of the pairs whose whole sets reach the threshold."""
+    """(doc, line) of the later lines of the pairs whose whole sets reach the threshold."""
     pairs = scratch.table(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("xf.doc").alias("doc"), F.col("xf.line").alias("line")).unionByName(pairs.select(F.col("yf.doc").alias("doc"), F.col("yf.line").alias("line"))).distinct()
     place = F.pmod(F.xxhash64("doc", "line"), F.lit(FILTER_BITS))
@@ -95,7 +101,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int
     sets = scratch.table(some.select(F.struct("doc", "line").alias("f"), "n", "tokens").join(wanted.select(F.struct("doc", "line").alias("f")), "f", "left_semi"), "sets")
     both = pairs.join(sets.select(F.col("f").alias("xf"), F.col("tokens").alias("tx")), "xf").join(sets.select(F.col("f").alias("yf"), F.col("tokens").alias("ty")), "yf")
     shared = F.size(F.array_intersect("tx", "ty"))
-    return scratch.table(both.where(shared * 100 >= (F.size("tx") + F.size("ty") - shared) * percent).select("h1", "h2").distinct(), "settled")
+    return scratch.table(both.where(shared * 100 >= (F.size("tx") + F.size("ty") - shared) * percent).select("yf.doc", "yf.line").distinct(), "settled")
 
 
 def duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -104,30 +110,35 @@ def duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str =
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
     # sets too small to be like an unequal one are not posted
     prefix = F.when(F.col("n") * 100 >= (F.col("n") + 1) * percent, F.slice("tokens", 1, keep))
-    classes = scratch.table(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first(prefix).alias("rare")), "classes")
+    found = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first(prefix).alias("rare"))
+    classes = scratch.table(found.select("first.doc", "first.line", "n", "parity", "rare"), "classes")
     posted = classes.where("rare is not null")
 
     # the two rarest tokens of each class against the earliest class there
-    heads = posted.select("h1", "h2", "first", "n", "parity", F.explode(F.slice("rare", 1, 2)).alias("key"))
-    earliest = heads.groupBy("key").agg(F.min(F.struct("first", "n", "parity")).alias("x")).select("key", "x.*")
+    heads = posted.select("doc", "line", "n", "parity", F.explode(F.slice("rare", 1, 2)).alias("key"))
+    earliest = heads.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "parity")).alias("x")).select("key", "x.*")
     pairs = earliest.alias("x").join(heads.alias("y"), F.col("x.key") == F.col("y.key")).where(_earlier() & _near(percent))
-    settled = _verified(pairs.select("y.h1", "y.h2", F.col("x.first").alias("xf"), F.col("y.first").alias("yf")), lines, scratch, percent)
+    settled = _verified(pairs.select(*_pair(F.lit(False))), lines, scratch, percent)
 
-    # all others against everything they share a posted token with
-    postings = posted.select("h1", "h2", "first", "n", "parity", F.posexplode("rare").alias("at", "key"))
-    open_ = posted.join(settled, ["h1", "h2"], "left_anti").select("h1", "h2", "first", "n", "parity", F.posexplode("rare").alias("at", "key"))
-    probed = postings.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & _near(percent) & _positional(percent) & _earlier())
-    more = _verified(probed.select("y.h1", "y.h2", F.col("x.first").alias("xf"), F.col("y.first").alias("yf")), lines, scratch, percent)
+    # the larger set of a pair is found under any of its posted tokens, the smaller one under the few first
+    # ones; the pair counts if the later line is not settled yet
+    marked = posted.join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.col("settled").isNull())
+    postings = marked.select("doc", "line", "n", "parity", "open", F.posexplode("rare").alias("at", "key"))
+    leading = postings.where((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * 2 * percent)
+    later_open = F.when(_earlier(), F.col("y.open")).otherwise(F.col("x.open"))
+    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line"))
+    probed = postings.alias("x").join(leading.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") >= F.col("y.n")) & _near(percent) & _positional(percent) & other & later_open)
+    more = _verified(probed.select(*_pair(~_earlier())), lines, scratch, percent)
 
-    gone = settled.unionByName(more).select("h1", "h2", F.lit(True).alias("later"))
-    firsts = classes.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti").select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.lit(False).alias("gone"))
-    return lines.select("doc", "line").distinct().join(firsts, ["doc", "line"], "left").select("doc", "line", F.coalesce("gone", F.lit(True)).alias("removed"))
+    gone = settled.unionByName(more)
+    firsts = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti").withColumn("gone", F.lit(False))
+    return lines.select("doc", "line").join(firsts, ["doc", "line"], "left").select("doc", "line", F.coalesce("gone", F.lit(True)).alias("removed"))
 
 
 def summary(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0): a row for each row of ``docs``."""
     found = duplicates(docs, scratch, text, key, percent).where("removed")
-    lists = found.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    lists = found.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     count = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0)
     return (
         docs.select(F.col(key).alias("doc_id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
