@@ -1,14 +1,16 @@
 """N-gram Jaccard join with signature trees.
 
-Documents are sets of word shingles. Equal sets are one class from the start. Classes whose Jaccard
-similarity reaches the threshold share a shingle among their rarest ``n - ceil(t * n) + 1`` ones (rare
-by counts over all documents), so classes meet in groups of one shared rare shingle. Inside a group
+Documents are sets of word shingles. Equal sets are one class from the start. Sets of Jaccard similarity
+t or more differ in at most d shingles, d from their sizes, so of more than d parts of the hash space one
+holds the same shingles of both: classes meet in groups of one equal part. Parts are cut by size range
+(see ``Parts``), need no counts over the corpus, and hold several shingles, so a group has near
+copies in it and hardly anything else, whatever the size of the corpus. Inside a group
 a signature tree is joined with itself: nodes hold the OR of their members' token bitmaps, their range
 of set sizes, and the range of their components; the dual traversal drops a pair of nodes whose largest
 possible overlap is less than what their smallest sizes need, or whose members are linked already.
 What is left is verified on the whole sets.
 
-Groups are range-partitioned by (shingle, component, size), so one of any size is spread over tasks as
+Groups are range-partitioned by (part, component, size), so one of any size is spread over tasks as
 nodes of at most ``NODE`` members, and nodes of a spread group are joined pair by pair after the same
 pruning. Cheap chains along each group link most copies before that; linked members are never paired
 again, so a large group of near copies costs a few pairs a member, not all pairs. No link is lost:
@@ -21,6 +23,11 @@ a null component. Rows that repeat an id share a component.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+from functools import lru_cache
+from math import exp, factorial, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +37,10 @@ from .common import Scratch, map_arrow, ship, slices
 from .components import components
 from .hashing import SPACED, M2, mix, shingles, words
 
-#: Buckets of the shingle counts that rank rarity; counts of a bucket are summed, which keeps the order global.
-RARITY_BITS = 16
+#: Bits of a group's key. Parts that collide only add candidates.
+KEY_BITS = 48
+#: The fewest shingles that a part is posted with, where the sizes allow it.
+FULL = 4
 #: Bits of a class's token bitmap, and of the folded one that the trees' nodes hold.
 BITMAP = 2048
 FOLDED = 512
@@ -57,45 +66,76 @@ def sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingle counts over all documents, by bucket of their highest bits."""
-    size, parts = 1 << RARITY_BITS, 16
+@lru_cache(maxsize=None)
+def size_ranges(percent: int, most: int) -> tuple[int, ...]:
+    """Borders of the size ranges up to a size of ``most``: sets that link are in one range or in two beside each other."""
+    least = 1
+    while least * 100 < (least + 1) * percent:
+        least += 1
+    out = [least]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return tuple(out)
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = words(part.column("text"), SPACED)
-                values = shingles(found.hashes, width)
-                inside = found.doc[: len(values)] == found.doc[width - 1 :][: len(values)]
-                total += np.bincount((values[inside] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=size)
-        codec = pa.Codec("zstd")
-        for k in range(parts):
-            piece = total[k * size // parts : (k + 1) * size // parts]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([codec.compress(piece.astype(np.uint32).tobytes(), asbytes=True)], pa.binary())], names=["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        codec, total = pa.Codec("zstd"), np.zeros(size // parts, np.int64)
-        for raw in table["counts"].to_pylist():
-            total += np.frombuffer(codec.decompress(raw, size // parts * 4, asbytes=True), np.uint32)
-        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    counted = map_arrow(docs.select("text"), count, "part int, counts binary")
-    # a compressed array for each task and part: a fixed size a task, whatever its texts
-    summed = counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(size, np.int64)
-    for row in summed:
-        out[row["part"] * size // parts : (row["part"] + 1) * size // parts] = np.frombuffer(row["counts"], np.int64)
-    return out
 
+@dataclass(frozen=True)
+class Parts:
+    """How the hash space is cut for pairs whose smaller set is of one size range.
+
+    The sets of such a pair differ in at most ``differ`` shingles, so of ``count`` parts at least
+    ``count - differ`` are equal in both. Parts of fewer than ``full`` shingles say little; a set that has
+    at most ``spare = count - differ - 1`` of those posts the others only, any other set posts all. Of two sets that link,
+    one with no more than ``spare`` shares a full part with the other; two with more share a part of any kind.
+    """
+
+    count: int
+    spare: int
+    full: int
+    largest: int
+
+    @staticmethod
+    @lru_cache(maxsize=None)
+    def of(low: int, high: int, percent: int) -> Parts:
+        """For a smaller set of ``low`` to ``high`` shingles."""
+        largest = high * 100 // percent
+        differ = (100 - percent) * (high + largest) // (100 + percent)
+        for full in range(FULL, 0, -1):
+            for count in range(differ + 1, differ + 3 + (differ + 1) // 6):
+                each = low / count
+                weak = count * sum(exp(-each) * each**k / factorial(k) for k in range(full))
+                if weak + 3 * sqrt(weak) <= count - differ - 1 + 0.05:
+                    return Parts(count, count - differ - 1, full, largest)
+        return Parts(differ + 1, 0, 1, largest)
+
+    def keys(self, own: np.ndarray, sums: np.ndarray, range_id: int) -> np.ndarray:
+        """Keys of a sorted set's parts; ``sums`` are the running sums of its mixed hashes, from 0."""
+        step = (1 << 64) // self.count
+        edges = np.searchsorted(own, np.arange(1, self.count, dtype=np.uint64) * np.uint64(step))
+        edges = np.concatenate([[0], edges, [len(own)]])
+        part = np.arange(self.count, dtype=np.uint64)
+        keys = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(part + np.uint64(range_id << 32)))
+        weak = np.diff(edges) < self.full
+        return keys[~weak] if int(weak.sum()) <= self.spare else keys
+
+
+def part_keys(own: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the groups that a sorted set of shingle hashes belongs to."""
+    n = len(own)
+    borders = size_ranges(percent, 1 << n.bit_length())
+    at = bisect_right(borders, n) - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64)])
+    out = []
+    for k in range(max(at - 1, 0), at + 1):  # as the larger set of a pair, and as the smaller
+        parts = Parts.of(borders[k], borders[k + 1] - 1, percent)
+        if n <= parts.largest:
+            out.append(parts.keys(own, sums, k))
+    return (np.concatenate(out) >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
-DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, rare array<long>, bitmap binary, folded binary"
 
+DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>, bitmap binary, folded binary"
 
-def _describe(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
+def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def one(own: np.ndarray) -> tuple:
         n = len(own)
         if not n:
@@ -103,18 +143,16 @@ def _describe(docs: DataFrame, width: int, percent: int, rarity: np.ndarray) ->
         d1, d2 = int(mix(own).sum(dtype=np.uint64).astype(np.int64)), int(mix(own ^ M2).sum(dtype=np.uint64).astype(np.int64))
         if n * 100 < (n + 1) * percent:  # so small that it links with equal sets only
             return n, d1, d2, [], b"", b""
-        keep = n - (percent * n + 99) // 100 + 1
-        order = np.lexsort((own, shared.value[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:keep]
         bits = np.zeros(BITMAP, np.uint8)
         bits[own & np.uint64(BITMAP - 1)] = 1
         folded = bits.reshape(-1, FOLDED).max(axis=0)
-        return n, d1, d2, own[order].view(np.int64), np.packbits(bits).tobytes(), np.packbits(folded).tobytes()
+        return n, d1, d2, part_keys(own, percent), np.packbits(bits).tobytes(), np.packbits(folded).tobytes()
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                n, d1, d2, rare, bitmap, folded = zip(*map(one, sets(part.column("text"), width)), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()), pa.array(folded, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "rare", "bitmap", "folded"])
+                n, d1, d2, parts, bitmap, folded = zip(*map(one, sets(part.column("text"), width)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()), pa.array(folded, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "parts", "bitmap", "folded"])
 
     return map_arrow(docs, work, DESCRIBED)
 
@@ -142,10 +180,13 @@ def _whole_runs(batches, column: str):
         yield held
 
 
-def _shared_groups(classes: DataFrame, tasks: int) -> DataFrame:
-    """(key, rep, n) where a rare shingle is shared; a task keeps its first and last key, which may go on beside it."""
-    postings = classes.select(F.explode("rare").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    ordered = postings.repartitionByRange(tasks, "key", "n", "rep").sortWithinPartitions("key", "n", "rep")
+def _shared_groups(described: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
+    """(key, rep, n) where classes share a part; a task keeps its first and last key, which may go on beside it.
+
+    Postings are of all documents, as they were written; which of them stand for a class is asked of the shared ones only.
+    """
+    postings = described.where("doc_id is not null").select(F.explode("parts").alias("key"), F.col("doc_id").alias("rep"))
+    ordered = postings.repartitionByRange(tasks, "key", "rep").sortWithinPartitions("key", "rep")
 
     def work(batches):
         first, tail, shared_tail = True, None, False
@@ -161,7 +202,7 @@ def _shared_groups(classes: DataFrame, tasks: int) -> DataFrame:
         if tail is not None:
             yield from tail.to_batches()
 
-    return map_arrow(ordered, work, "key long, rep long, n long")
+    return map_arrow(ordered, work, "key long, rep long").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep").select("key", "rep", "n")
 
 
 PAIRS = "a long, b long"
@@ -187,7 +228,7 @@ def _chains(groups: DataFrame, percent: int, tasks: int) -> DataFrame:
             good = (rep[left] != rep[right]) & _fits(n[left], n[right], percent)
             pairs = np.sort(np.stack([rep[left[good]], rep[right[good]]], axis=1), axis=1)
             pairs = np.unique(pairs, axis=0)
-            if len(seen):  # the same copies meet under many shingles
+            if len(seen):  # the same copies meet under many parts
                 both, first = np.unique(np.concatenate([seen, pairs]), axis=0, return_index=True)
                 pairs = both[first >= len(seen)]
             seen = np.concatenate([seen, pairs])[-200_000:]
@@ -445,11 +486,11 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -
     ship(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = scratch.table(_describe(docs, width, percent, _rarity(docs, width)), "described")
+    described = scratch.table(_describe(docs, width, percent), "described")
     first = scratch.table(described.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "first")
-    classes = described.where("size(rare) > 0").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "rare", "bitmap", "folded").dropDuplicates(["rep"])
+    classes = described.where(F.length("bitmap") > 0).drop("parts").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bitmap", "folded").dropDuplicates(["rep"])
     classes = scratch.table(classes, "classes")
-    groups = scratch.table(_shared_groups(classes, tasks), "groups")
+    groups = scratch.table(_shared_groups(described, classes, tasks), "groups")
     links = scratch.table(_verify(_chains(groups, percent, tasks), classes, docs, width, percent, scratch), "links")
     labels = components(links, scratch)
     more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), classes, docs, width, percent, scratch), "links")

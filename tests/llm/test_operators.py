@@ -217,6 +217,20 @@ def brute_components(texts, width, percent):
     return [len(s) for s in sets], [root(i) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_part(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(3000):
+        size = int(rng.integers(2, 300))
+        one = rng.integers(0, 2**64, size, dtype=np.uint64)
+        new = int(rng.integers(0, size * (100 - percent) // 100 + 2))
+        gone = int(rng.integers(0, new + 1))
+        one, two = np.unique(one), np.unique(np.concatenate([one[gone:], rng.integers(0, 2**64, new - gone, dtype=np.uint64)]))
+        shared = len(np.intersect1d(one, two))
+        if max(len(one), len(two)) > shared and shared * 100 >= percent * (len(one) + len(two) - shared):
+            assert len(np.intersect1d(shingle_join.part_keys(one, percent), shingle_join.part_keys(two, percent)))
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_shingle_join_against_brute_force(spark, width, percent):
     texts = []
