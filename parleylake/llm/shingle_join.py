@@ -41,9 +41,8 @@ from .hashing import SPACED, M2, mix, shingles, words
 KEY_BITS = 48
 #: The fewest shingles that a part is posted with, where the sizes allow it.
 FULL = 4
-#: Bits of a class's token bitmap, and of the folded one that the trees' nodes hold.
+#: Bits of a class's token bitmap; a smaller one leaves many more pairs below the threshold.
 BITMAP = 2048
-FOLDED = 512
 NODE = 512
 FANOUT = 8
 #: Bits of the filter that picks the texts to verify; with more classes it lets more through, never fewer.
@@ -132,27 +131,26 @@ def part_keys(own: np.ndarray, percent: int) -> np.ndarray:
     return (np.concatenate(out) >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
-DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>, bitmap binary, folded binary"
+DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, parts array<long>, bitmap binary"
 
 
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def one(own: np.ndarray) -> tuple:
         n = len(own)
         if not n:
-            return 0, 0, 0, [], b"", b""
+            return 0, 0, 0, [], b""
         d1, d2 = int(mix(own).sum(dtype=np.uint64).astype(np.int64)), int(mix(own ^ M2).sum(dtype=np.uint64).astype(np.int64))
         if n * 100 < (n + 1) * percent:  # so small that it links with equal sets only
-            return n, d1, d2, [], b"", b""
+            return n, d1, d2, [], b""
         bits = np.zeros(BITMAP, np.uint8)
         bits[own & np.uint64(BITMAP - 1)] = 1
-        folded = bits.reshape(-1, FOLDED).max(axis=0)
-        return n, d1, d2, part_keys(own, percent), np.packbits(bits).tobytes(), np.packbits(folded).tobytes()
+        return n, d1, d2, part_keys(own, percent), np.packbits(bits).tobytes()
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                n, d1, d2, parts, bitmap, folded = zip(*map(one, sets(part.column("text"), width)), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()), pa.array(folded, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "parts", "bitmap", "folded"])
+                n, d1, d2, parts, bitmap = zip(*map(one, sets(part.column("text"), width)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "parts", "bitmap"])
 
     return map_arrow(docs, work, DESCRIBED)
 
@@ -307,9 +305,9 @@ def _possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
     return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb"), work, PAIRS)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
-    pairs = scratch.table(_possible_pairs(pairs, classes, percent), "pairs")
+    pairs = scratch.table(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     whole = scratch.table(_wanted_sets(docs, ids.distinct(), width), "sets")
     left = whole.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -393,7 +391,7 @@ def _nodes(groups: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int,
     """Bottom nodes of the groups' trees, where a group still has members of different components."""
     labelled = groups.join(labels, groups["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("folded").alias("bitmap")), "rep")
+    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", "bitmap"), "rep")
     ordered = left.repartitionByRange(tasks, "key", "component", "n", "rep").sortWithinPartitions("key", "component", "n", "rep").withColumn("part", F.spark_partition_id())
 
     def work(batches):
@@ -419,7 +417,7 @@ def _nodes(groups: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int,
 
 def _tree(size: int, raw: bytes) -> Tree:
     values = np.frombuffer(raw, np.int64, 3 * size)
-    bits = np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, FOLDED // 64)
+    bits = np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, BITMAP // 64)
     return Tree(values[:size], values[size : 2 * size], values[2 * size :], bits)
 
 
@@ -427,7 +425,7 @@ def _small(size: int, raws: list[bytes], percent: int) -> pa.RecordBatch:
     """Pairs of members inside nodes of one small size, by the bounds that the tree uses at its bottom."""
     values = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)
     rep, n, component = (np.ascontiguousarray(values[:, 8 * size * k : 8 * size * (k + 1)]).view(np.int64) for k in range(3))
-    bits = np.ascontiguousarray(values[:, 24 * size :]).view(np.uint64).reshape(len(raws), size, FOLDED // 64)
+    bits = np.ascontiguousarray(values[:, 24 * size :]).view(np.uint64).reshape(len(raws), size, BITMAP // 64)
     i, j = np.triu_indices(size, 1)
     node, pair = np.nonzero((component[:, i] != component[:, j]) & _fits(n[:, i], n[:, j], percent))
     x, y = i[pair], j[pair]
@@ -488,12 +486,12 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = scratch.table(_describe(docs, width, percent), "described")
     first = scratch.table(described.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "first")
-    classes = described.where(F.length("bitmap") > 0).drop("parts").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bitmap", "folded").dropDuplicates(["rep"])
+    classes = described.where(F.length("bitmap") > 0).drop("parts").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bitmap").dropDuplicates(["rep"])
     classes = scratch.table(classes, "classes")
     groups = scratch.table(_shared_groups(described, classes, tasks), "groups")
-    links = scratch.table(_verify(_chains(groups, percent, tasks), classes, docs, width, percent, scratch), "links")
+    links = scratch.table(_verify(_possible_pairs(_chains(groups, percent, tasks), classes, percent), docs, width, percent, scratch), "links")
     labels = components(links, scratch)
-    more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), classes, docs, width, percent, scratch), "links")
+    more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), docs, width, percent, scratch), "links")
     labels = components(links.unionByName(more), scratch)
     owned = described.select("doc_id", "n_shingles", "d1", "d2").join(first, ["d1", "d2"], "left")
     found = owned.join(labels, owned["rep"] == labels["node"], "left")

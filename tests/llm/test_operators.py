@@ -256,9 +256,9 @@ def test_signature_tree_loses_nothing():
     for i in range(90):
         own = rng.integers(1 << 40, size=60, dtype=np.uint64)
         sets += [np.unique(np.concatenate([own[k:], rng.integers(1 << 40, size=k, dtype=np.uint64)])) for k in range(4)]
-    bits = np.zeros((len(sets), shingle_join.FOLDED), np.uint8)
+    bits = np.zeros((len(sets), shingle_join.BITMAP), np.uint8)
     for row, s in zip(bits, sets, strict=True):
-        row[s % np.uint64(shingle_join.FOLDED)] = 1
+        row[s % np.uint64(shingle_join.BITMAP)] = 1
     packed = np.packbits(bits, axis=1).view(np.uint64)
     n = np.array([len(s) for s in sets])
     tree = shingle_join.Tree(np.arange(len(sets)), n, np.arange(len(sets)), packed)
