@@ -134,14 +134,22 @@ f as (select heldout, training, shared, shared / (own_size + size - shared) as j
 @query("with " + GRAMS.format(norm=N_DOC, max_df=100) + """
 select heldout, training, shared, jaccard, containment, rank from (select *, row_number() over (partition by heldout order by shared desc, training desc) as rank from f where jaccard >= 0.5 or (not short and containment >= 0.6)) where rank <= 5""")
 def contam_l3_char5(spark, sf_dir):
-    limits = contamination.Thresholds(max_df=100)
+    return char5(spark, sf_dir, contamination.Thresholds(max_df=100))
+
+
+@query()
+def contam_l3_char5_whole(spark, sf_dir):
+    return char5(spark, sf_dir, contamination.Thresholds())
+
+
+def char5(spark, sf_dir, limits: contamination.Thresholds) -> DataFrame:
     scores = contamination.shingle_scores(texts(spark, sf_dir, "benchmark", "item_id"), texts(spark, sf_dir), limits)
     return contamination.top_findings(contamination.shingle_findings(scores, limits), limits).select("heldout", "training", "shared", "jaccard", "containment", "rank")
 
 
 @query()
 def contam_l4_edit(spark, sf_dir):
-    limits = contamination.Thresholds(max_df=100, edit_floor=0.05, edit=0.1)
+    limits = contamination.Thresholds(edit_floor=0.05, edit=0.1)
     held, docs = texts(spark, sf_dir, "benchmark", "item_id"), texts(spark, sf_dir)
     found = contamination.shingle_findings(contamination.shingle_scores(held, docs, limits), limits)
     return contamination.edit_matches(found, held, docs, limits)
@@ -153,7 +161,15 @@ q as (select b.item_id as heldout, 1 as level, d.doc_id::varchar as training fro
  union all select heldout, 3, training::varchar from f where jaccard >= 0.5 or (not short and containment >= 0.6))
 select heldout, list_sort(list_distinct(list(level))) as levels, count(distinct training) as n_training from q group by 1""")
 def contamination_queue(spark, sf_dir):
-    limits = contamination.Thresholds(max_df=100)
+    return screened(spark, sf_dir, contamination.Thresholds(max_df=100))
+
+
+@query()
+def contamination_queue_whole(spark, sf_dir):
+    return screened(spark, sf_dir, contamination.Thresholds())
+
+
+def screened(spark, sf_dir, limits: contamination.Thresholds) -> DataFrame:
     held, docs = texts(spark, sf_dir, "benchmark", "item_id"), texts(spark, sf_dir)
     found = contamination.shingle_findings(contamination.shingle_scores(held, docs, limits), limits).withColumn("training", F.array("training"))
     levels = [(1, contamination.exact_matches(held, docs)), (2, contamination.normalized_matches(held, docs)), (3, found)]
