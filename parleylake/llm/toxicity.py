@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Examples (copies of a text count once) and documents are TF-IDF vectors over terms whose presence
-goes with the label (words and their first 4, 5 and 6 bytes, chosen by chi-square and lift on the examples); document frequencies come from
-all documents. Examples lie in an inverted index with a bound of each term's weight per block of
-examples; a query visits blocks by descending bound until no block can reach its k-th cosine, so
-neighbours are exact. Votes weighted by similarity are calibrated by logistic regression on
-leave-one-out votes. Evidence (ids, cosines and labels of the nearest examples) is returned.
-
-Defined results: a text with none of the terms, an empty text and a null text get the smoothed rate
+Examples (copies of a text count once) and documents are TF-IDF vectors over all words of the examples, and over
+word beginnings (4, 5 and 6 bytes) whose presence goes with the label; document frequencies come from all documents.
+Terms chosen by chi-square and lift on the examples are only weighted: in a text that has some, they are CHOSEN_SHARE
+of its squared length. Every example's cosine is found, the COMMON most frequent terms by a dense product and the
+others from postings, and the nearest are computed again in full precision, so neighbours are exact. Votes weighted by
+similarity are calibrated by logistic regression on leave-one-out votes, apart for texts with and without chosen terms. Evidence (ids, cosines and labels of the
+nearest examples) is returned.
+
+Defined results: a text without a word of any example, an empty text and a null text get the smoothed rate
 of such examples; without examples, or with one class only, every score is the smoothed base rate.
 Equal vectors get equal scores; ties between neighbours go to the smaller example id. Of repeated
 label rows of an id the most toxic counts; of repeated document rows each gets a score.
@@ -15,7 +16,6 @@ label rows of an id the most toxic counts; of repeated document rows each gets a
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,10 @@ MAX_CALIBRATION = 2000
 LIFT = 2.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64
+CHOSEN_SHARE = 0.9
+#: Terms in the dense product, queries in one product, and more than its error in single precision.
+COMMON, TOGETHER, MARGIN = 512, 64, 1e-4
+TABLE_BITS = 20
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -50,97 +53,165 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(hashes), np.concatenate(docs), len(lowered)
 
 
+class Places:
+    """Places of hashes in sorted keys: a table by their low bits, a search where two keys meet there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.mask = keys, np.uint64((1 << TABLE_BITS) - 1)
+        low = (keys & self.mask).astype(np.int64)
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)
+        self.table[low] = np.arange(len(keys))
+        self.shared = np.bincount(low, minlength=1 << TABLE_BITS) > 1
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        low = (hashes & self.mask).astype(np.int64)
+        at = self.table[low].astype(np.int64)
+        miss = self.keys[at] != hashes
+        again = np.flatnonzero(miss & self.shared[low])
+        at[miss] = -1
+        found = np.minimum(np.searchsorted(self.keys, hashes[again]), len(self.keys) - 1)
+        good = self.keys[found] == hashes[again]
+        at[again[good]] = found[good]
+        return at
+
+
+def _counted(column: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and counts of all texts, by text; and where each text's begin."""
+    hashes, doc, n = _terms(column)
+    at = places(hashes)
+    hit = at >= 0
+    size = len(places.keys) + 1
+    both, counts = np.unique(doc[hit] * size + at[hit], return_counts=True)
+    return both % size, counts, np.searchsorted(both // size, np.arange(n + 1))
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the spans one after another, and the span of each."""
+    n = end - begin
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + (begin - np.cumsum(n) + n)[own], own
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over unit example vectors."""
+    """Unit example vectors, by example; ``prepare`` lays them out by term."""
 
     keys: np.ndarray  # sorted term hashes
     idf: np.ndarray
+    chosen: np.ndarray  # which terms chi-square chose
     ids: np.ndarray  # example ids, in index order
     labels: np.ndarray
-    cuts: np.ndarray  # where each block's postings begin
-    terms: np.ndarray  # of postings, by block and term
-    places: np.ndarray  # example of each posting, within its block
+    cuts: np.ndarray  # where each example's terms begin
+    terms: np.ndarray
     weights: np.ndarray
-    peaks: np.ndarray  # per term and block, the largest weight
     prior: float
     blank: float
-    slope: float = 1.0
-    shift: float = 0.0
+    fits: tuple = ((1.0, 0.0), (1.0, 0.0))  # slope and shift for texts without and with chosen terms
     k: int = NEIGHBOURS
+    tables: tuple | None = None
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1.0 + np.log(counts)) * self.idf[terms]
-        return weight / np.sqrt(np.sum(weight * weight)) if len(weight) else weight
+        square, chosen = weight * weight, self.chosen[terms]
+        own, rest = np.sum(square[chosen]), np.sum(square[~chosen])
+        if own and rest:
+            return weight * np.where(chosen, np.sqrt(CHOSEN_SHARE / own), np.sqrt((1.0 - CHOSEN_SHARE) / rest))
+        return weight / np.sqrt(own + rest) if len(weight) else weight
+
+    def prepare(self) -> None:
+        """Tables that are cheaper to make in the worker than to send."""
+        if self.tables is not None:
+            return
+        at = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.cuts))
+        common = np.argsort(-np.bincount(self.terms, minlength=len(self.keys)), kind="stable")[:COMMON]
+        column = np.full(len(self.keys), -1, np.int64)
+        column[common] = np.arange(len(common))
+        own = column[self.terms]
+        dense = np.zeros((len(common), len(self.ids)), np.float32)
+        dense[own[own >= 0], at[own >= 0]] = self.weights[own >= 0]
+        rare = np.flatnonzero(own < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        starts = np.searchsorted(self.terms[rare], np.arange(len(self.keys) + 1))
+        self.tables = column, dense, starts, at[rare], self.weights[rare].astype(np.float32), np.zeros(len(self.keys))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (ties: smaller id), ``skip`` left out."""
-        bounds = weights @ self.peaks[terms]
-        order = np.argsort(-bounds, kind="stable")
-        query = np.zeros(len(self.keys))
-        query[terms] = weights
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in order[: np.count_nonzero(bounds > 0)].tolist():
-            if len(best) >= self.k and bounds[block] < best[-1] - 1e-9:
-                break
-            own = slice(self.cuts[block], self.cuts[block + 1])
-            scores = np.bincount(self.places[own], self.weights[own] * query[self.terms[own]], BLOCK)
-            at = np.flatnonzero(scores > 0) + block * BLOCK
-            at = at[at != skip]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, np.round(scores[at - block * BLOCK], 12)])
-            kept = np.lexsort((self.ids[best_at], -best))[: self.k]
-            best_at, best = best_at[kept], best[kept]
-        return best_at, best
+        return next(self.search([(terms, weights, skip)]))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, int]]):
+        """``nearest`` of each (terms, weights, skip)."""
+        self.prepare()
+        column, dense, starts, places, parts, query = self.tables
+        for first in range(0, len(queries), TOGETHER):
+            some = queries[first : first + TOGETHER]
+            wanted = np.zeros((len(some), len(dense)), np.float32)
+            for row, (terms, weights, _) in zip(wanted, some, strict=True):
+                own = column[terms]
+                row[own[own >= 0]] = weights[own >= 0]
+            for scores, (terms, weights, skip) in zip(wanted @ dense, some, strict=True):
+                rare = column[terms] < 0
+                at, owner = _spans(starts[terms[rare]], starts[terms[rare] + 1])
+                scores = scores + np.bincount(places[at], parts[at] * weights[rare][owner], len(self.ids))
+                if skip >= 0:
+                    scores[skip] = 0.0
+                bar = np.partition(scores, -self.k)[-self.k] - MARGIN if len(scores) > self.k else 0.0
+                near = np.flatnonzero((scores >= bar) & (scores > 0))
+                at, owner = _spans(self.cuts[near], self.cuts[near + 1])
+                query[terms] = weights
+                cosine = np.round(np.bincount(owner, self.weights[at] * query[self.terms[at]], len(near)), 12)
+                query[terms] = 0.0
+                kept = np.lexsort((self.ids[near], -cosine))[: self.k]
+                yield near[kept], cosine[kept]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine * cosine
         return float((np.sum(weight * self.labels[at]) + 0.5 * self.prior) / (np.sum(weight) + 0.5))
 
-    def calibrated(self, vote: float) -> float:
-        logit = np.log(vote / (1.0 - vote))
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40))))
+    def calibrated(self, vote: float, terms: np.ndarray) -> float:
+        slope, shift = self.fits[int(self.chosen[terms].any())]
+        return float(1.0 / (1.0 + np.exp(-np.clip(slope * np.log(vote / (1.0 - vote)) + shift, -40, 40))))
 
 
 def _rate(positive: float, total: float, prior: float) -> float:
     return float((positive + prior) / (total + 1.0))
 
 
-def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Index:
-    """``examples``: (id, label, term places, counts). Similar examples are laid side by side, which tightens the bounds."""
+def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS, chosen: np.ndarray | None = None) -> Index:
+    """``examples``: (id, label, term places, counts); ``chosen``: which terms weigh more."""
     labels = np.array([e[1] for e in examples], float)
     prior = _rate(labels.sum(), len(labels), 0.1)
     blank = [e[1] for e in examples if not len(e[2])]
+    made = [e for e in examples if len(e[2])]
     nothing = np.zeros(0, np.int64)
-    index = Index(keys, idf, nothing, nothing, nothing, nothing, nothing, nothing, np.zeros((0, 0)), prior, _rate(sum(blank), len(blank), prior), k=k)
-    made = []
-    for key, label, terms, counts in examples:
-        if len(terms):
-            weights = index.vector(terms, counts)
-            top = int(np.argmax(weights))
-            made.append((int(terms[top]), -float(weights[top]), key, label, terms, weights))
-    made.sort(key=lambda m: m[:3])
-    blocks = -(-len(made) // BLOCK) or 1
-    index.ids, index.labels = np.array([m[2] for m in made], np.int64), np.array([m[3] for m in made], float)
-    at = np.repeat(np.arange(len(made)), [len(m[4]) for m in made])
-    term = np.concatenate([m[4] for m in made]) if made else np.zeros(0, np.int64)
-    weight = np.concatenate([m[5] for m in made]) if made else np.zeros(0)
-    order = np.lexsort((at, term, at // BLOCK))
-    at, term, weight = at[order], term[order], weight[order]
-    index.peaks = np.zeros((len(keys), blocks), np.float32)
-    np.maximum.at(index.peaks, (term, at // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-    index.terms, index.places, index.weights = term.astype(np.int32), at % BLOCK, weight
-    index.cuts = np.searchsorted(at // BLOCK, np.arange(blocks + 1))
-    _calibrate(index, made)
+    index = Index(
+        keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], float),
+        np.cumsum([0, *(len(m[2]) for m in made)]), np.concatenate([nothing, *(m[2] for m in made)]).astype(np.int32), nothing, prior, _rate(sum(blank), len(blank), prior), k=k,
+    )
+    index.weights = np.concatenate([np.zeros(0), *(index.vector(m[2], m[3]) for m in made)])
+    _calibrate(index)
+    index.tables = None
     return index
 
 
-def _calibrate(index: Index, made: list[tuple], steps: int = 30) -> None:
-    """Logistic regression of the label on the logit of the leave-one-out vote."""
-    if len(made) < 20 or len({m[3] for m in made}) < 2:
+def _calibrate(index: Index) -> None:
+    """Logistic regressions of the label on the logit of the leave-one-out vote: of all, then of texts without and with chosen terms."""
+    n = len(index.ids)
+    if n < 20 or len(np.unique(index.labels)) < 2:
         return
-    some = range(0, len(made), -(-len(made) // MAX_CALIBRATION))
-    votes = np.array([index.vote(*index.nearest(made[i][4], made[i][5], skip=i)) for i in some])
-    x, y = np.log(votes / (1 - votes)), np.array([made[i][3] for i in some], float)
+    some = range(0, n, -(-n // MAX_CALIBRATION))
+    own = [slice(index.cuts[i], index.cuts[i + 1]) for i in some]
+    votes = np.array([index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.weights[o], i) for i, o in zip(some, own, strict=True)])])
+    x, y = np.log(votes / (1 - votes)), index.labels[list(some)]
+    with_chosen = np.array([index.chosen[index.terms[o]].any() for o in own])
+    whole = _fit(x, y)
+    groups = [with_chosen == g for g in (False, True)]
+    index.fits = tuple(_fit(x[g], y[g]) if g.sum() >= 20 and len(np.unique(y[g])) == 2 else whole for g in groups)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
     beta, ridge = np.array([1.0, 0.0]), 1.0
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(steps):
@@ -151,7 +222,7 @@ def _calibrate(index: Index, made: list[tuple], steps: int = 30) -> None:
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    index.slope, index.shift = max(float(beta[0]), 0.05), float(beta[1])
+    return max(float(beta[0]), 0.05), float(beta[1])
 
 
 def _select(rows: list, positives: int, total: int) -> np.ndarray:
@@ -206,21 +277,44 @@ def learn_terms(examples: DataFrame) -> tuple[np.ndarray, int]:
     return _select(list(zip(terms["term"].to_pylist(), terms["pos"].to_pylist(), terms["total"].to_pylist(), strict=True)), positives, total), total
 
 
-def vectors(docs: DataFrame, keys: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns with the places of the chosen terms in ``keys`` and their counts."""
+def example_terms(examples: DataFrame, chosen: np.ndarray) -> pa.Table:
+    """doc_id, label and distinct term hashes of the examples: all words, and the chosen of the word beginnings."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = words(pc.utf8_lower(pc.fill_null(batch.column("text"), "")), LETTERS)
         hashes, doc, n = _terms(batch.column("text"))
-        at = np.searchsorted(keys, hashes) if len(keys) else np.zeros(len(hashes), np.int64)
-        at[at == len(keys)] = 0
-        hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-        both, counts = np.unique(doc[hit] * (len(keys) + 1) + at[hit], return_counts=True)
-        owner, term = both // (len(keys) + 1), both % (len(keys) + 1)
-        offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], names=[*keep, "terms", "counts"])
+        kept = np.isin(hashes, chosen)
+        kept[: len(found.hashes)] = True
+        order = np.lexsort((hashes[kept], doc[kept]))
+        key, doc = hashes[kept][order], doc[kept][order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        edges = np.append(np.flatnonzero(fresh), len(key))
+        offsets = pa.array(np.searchsorted(doc[fresh], np.arange(n + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(key[fresh].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(edges).astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "terms", "counts"])
+
+    return map_arrow(examples.select("doc_id", "label", "text"), each_slice(work), "doc_id long, label int, terms array<long>, counts array<int>").toArrow()
 
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "terms array<int>, counts array<int>"])
-    return map_arrow(docs.select(*keep, "text"), each_slice(work), schema)
+
+def frequencies(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows have each term; and how many rows there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def work(batches):
+        places, n, rows = Places(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n += np.bincount(_counted(part.column("text"), places)[0], minlength=len(n))
+                rows += part.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], names=["term", "n"])
+
+    rows = map_arrow(docs.select("text"), work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(len(keys), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 SCORED = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>"
@@ -244,37 +338,40 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
     # copies of a text are one example: of at most max_examples rows, by a hash of the text
     examples = scratch.table(examples.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("first", F.row_number().over(Window.partitionBy("same").orderBy(F.col("label").desc(), "doc_id"))).where("first = 1").select("doc_id", "text", "label"), "different")
     chosen = examples.select("doc_id", "label")
-    keys, _ = learn_terms(examples)
-    table = scratch.table(vectors(docs, keys, ["doc_id"]), "vectors")
-    total = table.count()
-    df = {r["term"]: r["n"] for r in table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1.0 for t in range(len(keys))])
-    learned = table.where("doc_id is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    index = build(keys, idf, [(r["doc_id"], r["label"], np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in learned])
+    picked, _ = learn_terms(examples)
+    learned = example_terms(examples, picked).combine_chunks().sort_by("doc_id")
+    terms, cuts = _flat(learned["terms"])
+    counts, _ = _flat(learned["counts"])
+    keys, places = np.unique(terms.view(np.uint64), return_inverse=True)
+    df, total = frequencies(docs, keys)
+    idf = np.log((1 + total) / (1 + df)) + 1.0
+    rows = zip(learned["doc_id"].to_pylist(), learned["label"].to_pylist(), cuts[:-1], cuts[1:], strict=True)
+    index = build(keys, idf, [(i, label, places[a:b], counts[a:b]) for i, label, a, b in rows], chosen=np.isin(keys, picked))
     shared = spark.sparkContext.broadcast(index)
 
     def work(batches):
-        index, known_answers = shared.value, OrderedDict()
+        index = shared.value
+        places = Places(index.keys)
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if not terms:
-                    scores.append(index.blank)
-                    evidence.append([])
-                    continue
-                key = (tuple(terms), tuple(counts))
-                if key not in known_answers:
-                    places = np.array(terms, np.int64)
-                    at, cosine = index.nearest(places, index.vector(places, np.array(counts, float)))
-                    seen = [{"doc_id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for a, c in zip(at[:5], cosine[:5], strict=True)]
-                    known_answers[key] = (index.calibrated(index.vote(at, cosine)) if len(at) else index.blank, seen)
-                    if len(known_answers) > 20_000:
-                        known_answers.popitem(last=False)
-                value, seen = known_answers[key]
-                scores.append(value)
-                evidence.append(seen)
-            score_ = np.clip(np.array(scores), 0.0, 1.0)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_), pa.array((score_ >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
-
-    return map_arrow(table, work, SCORED)
+            for part in slices(batch, "text"):
+                terms, counts, cuts = _counted(part.column("text"), places)
+                scores, evidence = np.full(part.num_rows, index.blank), [[] for _ in range(part.num_rows)]
+                some = np.flatnonzero(np.diff(cuts))
+                own = [slice(cuts[i], cuts[i + 1]) for i in some]
+                found = index.search([(terms[o], index.vector(terms[o], counts[o]), -1) for o in own])
+                for i, o, (at, cosine) in zip(some.tolist(), own, found, strict=True):
+                    if len(at):
+                        scores[i] = index.calibrated(index.vote(at, cosine), terms[o])
+                        evidence[i] = [{"doc_id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for a, c in zip(at[:5], cosine[:5], strict=True)]
+                scores = np.clip(scores, 0.0, 1.0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+        index.tables = None  # a worker that goes on to other stages does not keep them
+
+    return map_arrow(docs, work, SCORED)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, and where each list's begin."""
+    sizes = pc.list_value_length(column).to_numpy()
+    return pc.list_flatten(column).to_numpy(), np.cumsum([0, *sizes])

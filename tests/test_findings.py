@@ -1,5 +1,9 @@
 """Registered queries on small tables where a cut of the work would show."""
 
+import numpy as np
+
+from parleylake.llm import toxicity
+from parleylake.llm.common import Scratch
 from parleylake.plans import queries
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards brew potions"
@@ -13,3 +17,15 @@ def test_screen_keeps_ngrams_of_many_documents(spark, tmp_path):
     assert len(top) == 5 and all(r["containment"] == 1.0 for r in top)
     (entry,) = queries.QUERIES["contamination_queue_whole"](spark, str(tmp_path)).collect()
     assert (entry["heldout"], entry["levels"], entry["n_training"]) == (7, [3], 150)
+
+
+def test_toxicity_searches_for_every_text(spark):
+    pool = np.random.default_rng(1).choice([a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"], (200, 12))
+    rows = [(i, " ".join(pool[i]) + (" zorkface" if i % 5 == 0 else "")) for i in range(200)]
+    odd = "an unlisted insult of other words"
+    docs = spark.createDataFrame([*rows, (500, odd), (501, odd)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, int(i % 5 == 0)) for i, _ in rows), (500, 1)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score(docs, labels, Scratch(spark, "t")).collect()}
+    first = found[501]["evidence"][0]
+    assert (first["doc_id"], first["label"]) == (500, 1) and abs(first["cosine"] - 1.0) < 1e-9
+    assert found[501]["predicted"] == 1 and all(found[i]["predicted"] == int(i % 5 == 0) for i, _ in rows)
