@@ -1,7 +1,7 @@
-"""License scans by a positional index of rare licence words, in DataFrame functions only.
+"""License scans by a positional index of licence words, in DataFrame functions only.
 
 Every text is cut into words once and only the places of licence words are kept. A file looks up
-the templates by its licence words of highest IDF (document frequencies over all files); postings
+the templates by all its licence words but the commonest (STOP); postings
 are intersected by relative position (place in the file less place in the template), and a template
 counts where enough of its words agree on one offset and its mandatory key phrase stands there.
 
@@ -21,8 +21,6 @@ from .common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Of a file's licence words, so many of highest IDF are looked up in the index.
-LOOKUP = 12
 
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -85,32 +83,25 @@ def licence_words(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return cut.select(*keep, F.size("words").cast("long").alias("n_words"), F.when(some, pairs).otherwise(empty).alias("hits"))
 
 
-def scan(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", lookup: int = LOOKUP) -> DataFrame:
+def scan(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score and matches (label, place, share)."""
     spark = files.sparkSession
     source = files.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     table = scratch.table(licence_words(source, "text", ["row", "id"]), "words")
     some = table.where(F.size("hits") > 0)
 
-    # document frequencies of the licence words, over all files; at most as many rows as the templates have words
-    total = table.count()
-    df = {r["w"]: r["n"] for r in some.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    rarity = {w: (total + 1) / (df.get(w, 0) + 1) for w in vocabulary()}
-    idf = F.create_map(*(x for w in sorted(rarity) for x in (F.lit(w), F.log(F.lit(float(rarity[w]))))))
-
     postings = spark.createDataFrame(
         [(n, t.label, w, p) for n, t in enumerate(TEMPLATES) for p, w in enumerate(t.words.split())], "template int, label string, word string, at int"
     )
     sizes = F.create_map(*(x for n, t in enumerate(TEMPLATES) for x in (F.lit(n), F.lit(len(t.words.split())))))
     shares = F.create_map(*(x for n, t in enumerate(TEMPLATES) for x in (F.lit(n), F.lit(t.share))))
 
-    # 1. the file's rarest licence words find the templates
+    # 1. the file's licence words find the templates
     distinct = F.array_distinct(F.transform("hits", lambda h: h["word"]))
     usable = F.filter(distinct, lambda w: ~w.isin(list(STOP)))
-    ranked = F.slice(F.array_sort(F.transform(usable, lambda w: F.struct((-F.element_at(idf, w)).alias("neg"), w.alias("word")))), 1, lookup)
     templates_of = {w: sorted({n for n, t in enumerate(TEMPLATES) if w in t.words.split()}) for w in vocabulary() if w not in STOP}
     index = F.create_map(*(x for w, ns in sorted(templates_of.items()) for x in (F.lit(w), F.array(*(F.lit(n) for n in ns)))))
-    found = some.withColumn("candidates", F.array_distinct(F.flatten(F.transform(ranked, lambda r: F.element_at(index, r["word"])))))
+    found = some.withColumn("candidates", F.array_distinct(F.flatten(F.transform(usable, lambda w: F.element_at(index, w)))))
 
     # 2. their postings, intersected by relative position; a file's hits of one template stay in that file's row group
     hits = found.select("row", "candidates", F.explode("hits").alias("hit")).select("row", "candidates", "hit.place", "hit.word")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parleylake.llm import toxicity
+from parleylake.llm import licenses, toxicity
 from parleylake.llm.common import Scratch
 from parleylake.plans import queries
 
@@ -29,3 +29,10 @@ def test_toxicity_searches_for_every_text(spark):
     first = found[501]["evidence"][0]
     assert (first["doc_id"], first["label"]) == (500, 1) and abs(first["cosine"] - 1.0) < 1e-9
     assert found[501]["predicted"] == 1 and all(found[i]["predicted"] == int(i % 5 == 0) for i, _ in rows)
+
+
+def test_every_licence_of_a_file_is_found(spark):
+    text = ". ".join(t.words for t in licenses.TEMPLATES)
+    common = [(i, "licensed under the apache license version 2 0") for i in range(1, 40)]
+    rows = licenses.scan(spark.createDataFrame([(0, text), *common], "doc_id long, text string"), Scratch(spark, "t")).where("doc_id = 0").collect()
+    assert {t.label for t in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
