@@ -286,8 +286,7 @@ def rendered_chats(spark, sf_dir):
 @query("""select role, count(*) as n, count_if(regexp_matches(left(text, 400), '\\b(?:apologies|i\\s+apologi[sz]e|i''?m\\s+sorry|i\\s+am\\s+sorry|sorry)\\b[^.]{0,90}?\\b(?:unable|cannot|can''?t|not\\s+able|don''?t\\s+have\\s+the\\s+abilit)', 'i')
  or regexp_matches(left(text, 400), '(?m)^\\s*(?:i''?m|i\\s+am)\\s+(?:unable|not\\s+able)\\s+to\\b', 'i') or regexp_matches(left(text, 400), '(?m)^\\s*i\\s+(?:must\\s+)?(?:decline|refuse)\\b', 'i')) as refusals from conversations group by 1""")
 def refusal_rate_by_role(spark, sf_dir):
-    some = [p for p in text.REFUSAL_PATTERNS if p[0] in ("apology_inability", "leading_unable", "decline_to")]
-    return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(text.refusal("text", some).isNotNull()).alias("refusals"))
+    return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(text.refusal("text").isNotNull()).alias("refusals"))
 
 
 @query("""select template, count(*) as n from (select array_to_string(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' ')[1:12], ' ') as template from conversations where role = 'assistant') group by 1 order by n desc, template limit 10""")

@@ -36,3 +36,10 @@ def test_every_licence_of_a_file_is_found(spark):
     common = [(i, "licensed under the apache license version 2 0") for i in range(1, 40)]
     rows = licenses.scan(spark.createDataFrame([(0, text), *common], "doc_id long, text string"), Scratch(spark, "t")).where("doc_id = 0").collect()
     assert {t.label for t in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
+
+
+def test_all_refusals_are_counted(spark, tmp_path):
+    said = ["I cannot help with that.", "As an AI, I cannot say.", "I do not have the ability.", "It is unable to perform calculations.", "I'm sorry, I can't.", "I am unable to say.", "I must decline.", "Fine."]
+    spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = queries.QUERIES["refusal_rate_by_role"](spark, str(tmp_path)).collect()
+    assert (row["n"], row["refusals"]) == (8, 7)
