@@ -2,7 +2,7 @@
 
 Texts are words of letters and digits, lower case; shingles are ``WIDTH`` words, weighted by
 ln(1 + items / items that hold it). A window as long as an item, around any shingle that some item
-has, gets a 64-bit SimHash of its weighted shingles. Fingerprints are cut into four 16-bit blocks: two
+has, gets a 64-bit SimHash of its weighted shingles, each counted once. Fingerprints are cut into four 16-bit blocks: two
 that differ in at most RADIUS bits agree to RADIUS // 4 bits in one block, so a table of the items
 near each block value finds every item within the radius. What it finds is verified by the exact
 weighted Jaccard similarity of the two shingle sets. (A window of similarity 0.8 shares most of the
@@ -120,10 +120,17 @@ def screen(items: list[tuple[int, str]], holders: dict[int, int] | None = None,
         count = np.array([holders.get(int(k), 1) for k in keys.view(np.int64)])
     weights = np.log1p(total / np.maximum(count, 1))
     places = [np.searchsorted(keys, s) for s in sets]
-    sums = np.array([_signs(keys[p], weights[p]).sum(axis=0) for p in places]) if sets else np.zeros((0, 64))
+    sums = np.array([_signs(keys[p], weights[p]).sum(axis=0, dtype=np.float64) for p in places]) if sets else np.zeros((0, 64))
     return Screen(ids, np.array(lengths, np.int64), keys, weights, float(np.log1p(total)), places, _print(sums) if sets else np.zeros(0, np.uint64))
 
 
+def _repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values seen before, and the place just before each of the same value."""
+    order = np.argsort(values, kind="stable")
+    again = np.flatnonzero(values[order][1:] == values[order][:-1])
+    return order[again + 1], order[again]
+
+
 def _match(own: np.ndarray, at: np.ndarray, screen: Screen, similarity: float) -> list[tuple[int, float, int]]:
     """(item place, similarity, first word) for one document's shingles ``own`` with places ``at`` in the item keys."""
     hits = np.flatnonzero(at >= 0)
@@ -133,7 +140,9 @@ def _match(own: np.ndarray, at: np.ndarray, screen: Screen, similarity: float) -
     low, high = max(0, int(hits[0]) - int(screen.lengths.max())), int(hits[-1]) + int(screen.lengths.max())
     area = slice(low, min(high, len(own)))
     sums = np.zeros((area.stop - low + 1, 64), np.float64)
-    np.cumsum(_signs(own[area], weight[area]), axis=0, out=sums[1:])
+    signs = _signs(own[area], weight[area])
+    np.cumsum(signs, axis=0, out=sums[1:])
+    later, earlier = _repeats(own[area])
     found = []
     for length in np.unique(screen.lengths[candidates]).tolist():
         items = candidates[screen.lengths[candidates] == length]
@@ -142,7 +151,14 @@ def _match(own: np.ndarray, at: np.ndarray, screen: Screen, similarity: float) -
         first = np.unique(np.clip((hits[:, None] - np.arange(width)).ravel(), 0, max(last, 0)))
         end = np.minimum(first + width, len(own))
         begin = np.maximum(first, low)
-        prints = _print(sums[np.minimum(end, area.stop) - low] - sums[begin - low])
+        inside = sums[np.minimum(end, area.stop) - low] - sums[begin - low]
+        close = later - earlier < width
+        if close.any():  # a shingle counts once in a window: not at a place whose earlier one is in it too
+            twice = np.zeros_like(sums)
+            np.add.at(twice, np.maximum(later[close] - width + 1, 0), signs[later[close]])
+            np.subtract.at(twice, earlier[close] + 1, signs[later[close]])
+            inside -= np.cumsum(twice, axis=0)[begin - low]
+        prints = _print(inside)
         windows, which = np.nonzero(screen.lookup(prints, items))
         best: dict[int, tuple[float, int]] = {}
         for window, item in zip(windows.tolist(), items[which].tolist(), strict=True):

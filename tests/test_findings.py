@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parleylake.llm import licenses, toxicity
+from parleylake.llm import decontaminate, licenses, toxicity
 from parleylake.llm.common import Scratch
 from parleylake.plans import queries
 
@@ -38,6 +38,13 @@ def test_every_licence_of_a_file_is_found(spark):
     assert {t.label for t in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
 
 
+def test_copies_of_repetitive_items_are_found(spark):
+    items = [(i, " ".join([f"w{i}x{k}" for k in range(40)] + [f"r{i}y{k}" for k in range(5)] * 10)) for i in range(40)]
+    docs = [(i, f"some words before the item {text} and others after it") for i, text in items]
+    rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in rows) == [(i, i, 1.0) for i, _ in items]
+
+
 def test_all_refusals_are_counted(spark, tmp_path):
     said = ["I cannot help with that.", "As an AI, I cannot say.", "I do not have the ability.", "It is unable to perform calculations.", "I'm sorry, I can't.", "I am unable to say.", "I must decline.", "Fine."]
     spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
