@@ -40,6 +40,13 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(21, int(size).bit_length()))
 
 
+def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the spans one after another, and the span of each."""
+    n = end - begin
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + (begin - np.cumsum(n) + n)[own], own
+
+
 @dataclass
 class Words:
     """Words of a run of texts: hash, text index, first and past-last byte; ``first`` is where each text's words begin."""

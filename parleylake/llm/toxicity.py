@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, each_slice, map_arrow, ship, slices
-from .hashing import LETTERS, words
+from .hashing import LETTERS, spans, words
 
 #: Bounds of what is learned: labelled rows (a hash of the id chooses them) and terms.
 MAX_EXAMPLES = 20_000
@@ -88,13 +88,6 @@ def _counted(column: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarray,
     return both % size, counts, np.searchsorted(both // size, np.arange(n + 1))
 
 
-def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the spans one after another, and the span of each."""
-    n = end - begin
-    own = np.repeat(np.arange(len(n)), n)
-    return np.arange(int(n.sum())) + (begin - np.cumsum(n) + n)[own], own
-
-
 @dataclass
 class Index:
     """Unit example vectors, by example; ``prepare`` lays them out by term."""
@@ -153,13 +146,13 @@ class Index:
                 row[own[own >= 0]] = weights[own >= 0]
             for scores, (terms, weights, skip) in zip(wanted @ dense, some, strict=True):
                 rare = column[terms] < 0
-                at, owner = _spans(starts[terms[rare]], starts[terms[rare] + 1])
+                at, owner = spans(starts[terms[rare]], starts[terms[rare] + 1])
                 scores = scores + np.bincount(places[at], parts[at] * weights[rare][owner], len(self.ids))
                 if skip >= 0:
                     scores[skip] = 0.0
                 bar = np.partition(scores, -self.k)[-self.k] - MARGIN if len(scores) > self.k else 0.0
                 near = np.flatnonzero((scores >= bar) & (scores > 0))
-                at, owner = _spans(self.cuts[near], self.cuts[near + 1])
+                at, owner = spans(self.cuts[near], self.cuts[near + 1])
                 query[terms] = weights
                 cosine = np.round(np.bincount(owner, self.weights[at] * query[self.terms[at]], len(near)), 12)
                 query[terms] = 0.0

@@ -3,7 +3,8 @@
 A shard holds the ids of a run of documents in ascending id order, as bit-planes from the highest bit
 down; each plane is stably partitioned by its bits (zeros first) to give the order of the next. The
 planes are stored in blocks of ``BLOCK_BITS`` bits, each block deflated on its own (zstd) beside the
-count of ones before it, so access, rank and select read a block or two of each plane.
+count of ones before it, so access, rank and select read a block or two of each plane; inside a block
+that was read, counts by 64-bit word answer them. A shard is read from bytes or, by ranges, from a file.
 
 File: magic, then a JSON header (lengths, offsets and rank counts of the blocks, zeros of each plane),
 the document table (ids, token counts) and the blocks.
@@ -13,11 +14,11 @@ from __future__ import annotations
 
 import json
 import struct
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 
 MAGIC = b"PLWM\x01\0\0\0"
 BLOCK_BITS = 1 << 17
@@ -34,9 +35,10 @@ def _unpack(raw: bytes, size: int) -> bytes:
 
 def encode(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits: int = 16) -> bytes:
     """The shard file of the documents' ids, laid end to end."""
-    ids = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
-    if len(ids) and int(ids.max()) >> bits:
+    ids = np.asarray(ids)
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >> bits):
         raise ValueError("id beyond the planes")
+    ids = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
     n, planes, body, at = len(ids), [], [], 0
     current = ids
     for level in range(bits):
@@ -62,34 +64,47 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits: int =
 _HEAD = struct.Struct("<IQQIIII")
 
 
-@dataclass
 class Shard:
-    """A reader over one shard file's bytes."""
-
-    raw: bytes
+    """A reader over one shard: its bytes, or an open file of which only what is asked for is read."""
 
-    def __post_init__(self):
-        if self.raw[: len(MAGIC)] != MAGIC:
-            raise ValueError("not a wavelet shard")
-        self.bits, self.n, self.body_size, self.docs, doc_size, head_size, size = _HEAD.unpack_from(self.raw, len(MAGIC))
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.source = source
+        size = len(source) if isinstance(source, bytes) else source.size()
         at = len(MAGIC) + _HEAD.size
-        self.planes = json.loads(_unpack(self.raw[at : at + head_size], size))["planes"]
-        at += head_size
-        table = np.frombuffer(_unpack(self.raw[at : at + doc_size], 16 * self.docs), "<i8") if self.docs else np.zeros(0, "<i8")
+        start = self._bytes(0, at)
+        if len(start) < at or start[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a wavelet shard")
+        self.bits, self.n, self.body_size, self.docs, doc_size, head_size, json_size = _HEAD.unpack_from(start, len(MAGIC))
+        self.at = at + head_size + doc_size
+        if size != self.at + self.body_size:
+            raise ValueError("cut wavelet shard")
+        self.planes = json.loads(_unpack(self._bytes(at, head_size), json_size))["planes"]
+        table = np.frombuffer(_unpack(self._bytes(at + head_size, doc_size), 16 * self.docs), "<i8") if self.docs else np.zeros(0, "<i8")
         self.doc_ids, self.counts = table[: self.docs], table[self.docs :]
         self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        self.at = at + doc_size
-        if len(self.raw) != self.at + self.body_size:
-            raise ValueError("cut wavelet shard")
-        self._block = lru_cache(maxsize=64)(self._load)
+        self._words = lru_cache(maxsize=64)(self._counted)
+
+    @staticmethod
+    def open(uri: str) -> Shard:
+        store, path = arrow_fs.FileSystem.from_uri(uri)
+        return Shard(store.open_input_file(path))
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        return self.source[at : at + size] if isinstance(self.source, bytes) else self.source.read_at(size, at)
 
     def _load(self, level: int, block: int) -> np.ndarray:
+        """The packed bits of a block."""
         offsets = self.planes[level]["offsets"]
         start = offsets[block]
         following = offsets[block + 1] if block + 1 < len(offsets) else (self.planes[level + 1]["offsets"][0] if level + 1 < self.bits else self.body_size)
         length = min(BLOCK_BITS, self.n - block * BLOCK_BITS)
-        packed = np.frombuffer(_unpack(self.raw[self.at + start : self.at + following], -(-length // 8)), np.uint8)
-        return np.unpackbits(packed, count=length)
+        return np.frombuffer(_unpack(self._bytes(self.at + start, following - start), -(-length // 8)), np.uint8)
+
+    def _counted(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block as 64-bit words, the first bit highest, and the ones before each word."""
+        packed = self._load(level, block)
+        words = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(">u8").astype(np.uint64)
+        return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
     def _rank1(self, level: int, place: int) -> int:
         """Ones of a plane before ``place``."""
@@ -97,10 +112,15 @@ class Shard:
         ranks = self.planes[level]["ranks"]
         if block == len(ranks):
             return self.n - self.planes[level]["zeros"]
-        return ranks[block] + (int(np.count_nonzero(self._block(level, block)[:rest])) if rest else 0)
+        if not rest:
+            return ranks[block]
+        words, before = self._words(level, block)
+        word, bit = divmod(rest, 64)
+        return ranks[block] + int(before[word]) + ((int(words[word]) >> (64 - bit)).bit_count() if bit else 0)
 
     def _bit(self, level: int, place: int) -> int:
-        return int(self._block(level, place // BLOCK_BITS)[place % BLOCK_BITS])
+        block, rest = divmod(place, BLOCK_BITS)
+        return int(self._words(level, block)[0][rest // 64]) >> (63 - rest % 64) & 1
 
     def access(self, place: int) -> int:
         """The id at a place."""
@@ -134,7 +154,13 @@ class Shard:
         ranks = self.planes[level]["ranks"]
         before = ranks if bit else [i * BLOCK_BITS - r for i, r in enumerate(ranks)]
         block = int(np.searchsorted(before, nth, side="right")) - 1
-        return block * BLOCK_BITS + int(np.flatnonzero(self._block(level, block) == bit)[nth - before[block]])
+        words, ones = self._words(level, block)
+        counts = ones if bit else np.arange(len(ones)) * 64 - ones
+        rest = nth - before[block]
+        word = int(np.searchsorted(counts, rest, side="right")) - 1
+        held = int(words[word]) if bit else ~int(words[word])
+        inside = [k for k in range(64) if held >> (63 - k) & 1][rest - int(counts[word])]
+        return block * BLOCK_BITS + word * 64 + inside
 
     def locate(self, token: int, nth: int) -> int:
         """Place of an id's nth occurrence (from 0): select."""
@@ -151,7 +177,7 @@ class Shard:
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             blocks = [self._load(level, b) for b in range(len(self.planes[level]["offsets"]))]
-            ones = (np.concatenate(blocks) if blocks else np.zeros(0, np.uint8)).view(bool)
+            ones = np.unpackbits(np.concatenate([np.zeros(0, np.uint8), *blocks]), count=self.n).view(bool)
             zeros = self.planes[level]["zeros"]
             before = np.empty_like(values)
             before[~ones] = values[:zeros]

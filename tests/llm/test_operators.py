@@ -113,7 +113,49 @@ def test_wavelet_matrix():
     empty = wavelet.Shard(wavelet.encode(np.zeros(0), np.zeros(0), np.zeros(0)))
     assert empty.n == 0 and len(empty.decode()) == 0 and empty.count(3) == 0
     with pytest.raises(ValueError):
-        wavelet.Shard(shard.raw[:-1])
+        wavelet.Shard(shard.source[:-1])
+    wide = np.array([70_000, 5, 131_073])
+    assert wavelet.Shard(wavelet.encode(wide, np.arange(1), np.array([3]), 18)).decode().tolist() == wide.tolist()
+    for wrong in (wide, np.array([-1])):
+        with pytest.raises(ValueError):
+            wavelet.encode(wrong, np.arange(1), np.array([3]))
+
+
+def test_wavelet_file_by_ranges(tmp_path):
+    ids = np.random.default_rng(4).integers(0, 49_408, 140_000)
+    (tmp_path / "a.wvm").write_bytes(wavelet.encode(ids, np.arange(1), np.array([len(ids)])))
+    shard = wavelet.Shard.open(f"file://{tmp_path}/a.wvm")
+    for place in (0, 63, 64, 131_071, 131_072, 139_999):
+        token = int(ids[place])
+        assert shard.access(place) == token and shard.locate(token, shard.count(token, place)) == place
+
+
+def test_encoder_against_the_library():
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    known, encoder = pytest.importorskip("tokenizers").Tokenizer.from_file(path), tokens.Encoder(path)
+    assert encoder.local and encoder.bits == 16
+    rng = np.random.default_rng(5)
+    alphabet = [*"aAbBzZ09.,!?'|<>-_ \t\n\r", "é", "É", "ß", "×", "÷", "ÿ", "Þ", "e\u0301", "\u0301", "\u00a0", "ª", "\x00", "\x1c", "Ж", "中", "<|endoftext|>", "'ll", "İ", "ﬁ", "\u2028", "😀"]
+    texts = ["".join(alphabet[i] for i in rng.integers(len(alphabet), size=rng.integers(0, 40))) for _ in range(3000)] + [None, ""]
+    want = [[*known.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(2):  # the second time all pieces are known
+        ids, counts = encoder.encode(pa.array(texts))
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    encoder.known = tokens.Pieces(5)  # a table that is full at once
+    encoder.reset = lambda reset=encoder.reset: (reset(), encoder.known.__init__(5), encoder.known.add(np.zeros(1, np.uint64), np.zeros(1, np.uint64)))
+    encoder.reset()
+    ids, _ = encoder.encode(pa.array(texts[:200]))
+    assert ids.tolist() == [i for w in want[:200] for i in w]
+
+
+def test_token_files_of_odd_tables(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    none, back = tokens.round_trip(frame(spark, []), Scratch(spark, "t"), path)
+    assert none.count() == 0 and back.count() == 0
+    rows = spark.createDataFrame([(3, "a b"), (3, "a b"), (3, "c"), (None, "d"), (None, None)], "doc_id long, text string").withColumn("part", F.lit("clash"))
+    _, back = tokens.round_trip(rows, Scratch(spark, "t"), path)
+    got = back.orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 3, 3, 3] and got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
 
 
 def test_token_round_trip(spark):
