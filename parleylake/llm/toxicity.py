@@ -3,10 +3,18 @@
 Examples (copies of a text count once) and documents are TF-IDF vectors over all words of the examples, and over
 word beginnings (4, 5 and 6 bytes) whose presence goes with the label; document frequencies come from all documents.
 Terms chosen by chi-square and lift on the examples are only weighted: in a text that has some, they are CHOSEN_SHARE
-of its squared length. Every example's cosine is found, the COMMON most frequent terms by a dense product and the
-others from postings, and the nearest are computed again in full precision, so neighbours are exact. Votes weighted by
-similarity are calibrated by logistic regression on leave-one-out votes, apart for texts with and without chosen terms. Evidence (ids, cosines and labels of the
-nearest examples) is returned.
+of its squared length.
+
+The index is a block-max inverted index: examples of like vectors lie side by side (k-means over the COMMON
+most frequent terms) in blocks of BLOCK, and of each common term every block has its largest weight. Postings of the
+other terms are added up; a block's bound is the best such sum in it and, for the common terms, the query's weights
+times the block's largest. The blocks of the highest bounds give the k-th best cosine so far, and of the others only those
+that may reach it have their common terms multiplied. The nearest are computed again in full precision, so
+neighbours are exact. Votes weighted by similarity are calibrated by logistic regression on leave-one-out votes, apart for texts
+with and without chosen terms. Evidence (ids, cosines and labels of the nearest examples) is returned.
+
+Bounds of what is learned: MAX_EXAMPLES labelled rows, MAX_TERMS terms that weigh more, MAX_CALIBRATION of the
+examples for the calibration. The index holds all words of the examples, and every text is searched for.
 
 Defined results: a text without a word of any example, an empty text and a null text get the smoothed rate
 of such examples; without examples, or with one class only, every score is the smoothed base rate.
@@ -24,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, each_slice, map_arrow, ship, slices
+from .common import Scratch, each_slice, map_arrow, one_thread, ship, slices
 from .hashing import LETTERS, spans, words
 
 #: Bounds of what is learned: labelled rows (a hash of the id chooses them) and terms.
@@ -36,8 +44,10 @@ LIFT = 2.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 CHOSEN_SHARE = 0.9
-#: Terms in the dense product, queries in one product, and more than its error in single precision.
-COMMON, TOGETHER, MARGIN = 512, 64, 1e-4
+#: Common terms, examples of a block, clusters that order them, queries of one product, and more than its error in single precision.
+COMMON, BLOCK, CLUSTERS, TOGETHER, MARGIN = 768, 64, 64, 128, 1e-4
+#: Blocks of the highest bounds that give the first k-th best.
+FIRST = 3
 TABLE_BITS = 20
 
 
@@ -56,12 +66,12 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 class Places:
     """Places of hashes in sorted keys: a table by their low bits, a search where two keys meet there."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.mask = keys, np.uint64((1 << TABLE_BITS) - 1)
+    def __init__(self, keys: np.ndarray, bits: int = TABLE_BITS):
+        self.keys, self.mask = keys, np.uint64((1 << bits) - 1)
         low = (keys & self.mask).astype(np.int64)
-        self.table = np.zeros(1 << TABLE_BITS, np.int32)
+        self.table = np.zeros(1 << bits, np.int32)
         self.table[low] = np.arange(len(keys))
-        self.shared = np.bincount(low, minlength=1 << TABLE_BITS) > 1
+        self.shared = np.bincount(low, minlength=1 << bits) > 1
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 where there is none."""
@@ -78,19 +88,32 @@ class Places:
         return at
 
 
-def _counted(column: pa.Array, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms and counts of all texts, by text; and where each text's begin."""
-    hashes, doc, n = _terms(column)
-    at = places(hashes)
-    hit = at >= 0
-    size = len(places.keys) + 1
-    both, counts = np.unique(doc[hit] * size + at[hit], return_counts=True)
-    return both % size, counts, np.searchsorted(both // size, np.arange(n + 1))
+class Terms:
+    """Terms of texts by their places in sorted keys. Word beginnings are looked up among the chosen terms only, which hold all that count."""
+
+    def __init__(self, keys: np.ndarray, chosen: np.ndarray):
+        self.size = len(keys) + 1
+        self.words, self.begins, self.chosen = Places(keys), Places(keys[chosen], 16), np.flatnonzero(chosen)
+
+    def count(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and counts of all texts, by text; and where each text's begin."""
+        lowered = pc.utf8_lower(pc.fill_null(column, ""))
+        found = words(lowered, LETTERS)
+        at = self.words(found.hashes)
+        hit = at >= 0
+        both = [found.doc[hit] * self.size + at[hit]]
+        for length in PREFIXES if len(self.chosen) else ():
+            value, own = found.prefix(length)
+            at = self.begins(value)
+            hit = at >= 0
+            both.append(found.doc[own[hit]] * self.size + self.chosen[at[hit]])
+        both, counts = np.unique(np.concatenate(both), return_counts=True)
+        return both % self.size, counts, np.searchsorted(both // self.size, np.arange(len(lowered) + 1))
 
 
 @dataclass
 class Index:
-    """Unit example vectors, by example; ``prepare`` lays them out by term."""
+    """Unit example vectors, by example; ``prepare`` lays them out by term and block."""
 
     keys: np.ndarray  # sorted term hashes
     idf: np.ndarray
@@ -99,7 +122,7 @@ class Index:
     labels: np.ndarray
     cuts: np.ndarray  # where each example's terms begin
     terms: np.ndarray
-    weights: np.ndarray
+    counts: np.ndarray
     prior: float
     blank: float
     fits: tuple = ((1.0, 0.0), (1.0, 0.0))  # slope and shift for texts without and with chosen terms
@@ -114,50 +137,110 @@ class Index:
             return weight * np.where(chosen, np.sqrt(CHOSEN_SHARE / own), np.sqrt((1.0 - CHOSEN_SHARE) / rest))
         return weight / np.sqrt(own + rest) if len(weight) else weight
 
+    def _weights(self) -> np.ndarray:
+        """``vector`` of all examples, some at a time."""
+        out = np.zeros(len(self.terms))
+        for first in range(0, len(self.ids), 2000):
+            cuts = self.cuts[first : first + 2001]
+            part, cuts = slice(cuts[0], cuts[-1]), cuts - cuts[0]
+            weight = (1.0 + np.log(self.counts[part])) * self.idf[self.terms[part]]
+            square, chosen = weight * weight, self.chosen[self.terms[part]]
+            own, rest = np.add.reduceat(np.where(chosen, square, 0.0), cuts[:-1]), np.add.reduceat(np.where(chosen, 0.0, square), cuts[:-1])
+            both, whole = (own > 0) & (rest > 0), np.sqrt(own + rest)
+            in_chosen = np.sqrt(CHOSEN_SHARE / np.where(both, own, CHOSEN_SHARE * whole**2))
+            in_rest = np.sqrt((1.0 - CHOSEN_SHARE) / np.where(both, rest, (1.0 - CHOSEN_SHARE) * whole**2))
+            out[part] = weight * np.where(chosen, np.repeat(in_chosen, np.diff(cuts)), np.repeat(in_rest, np.diff(cuts)))
+        return out
+
     def prepare(self) -> None:
         """Tables that are cheaper to make in the worker than to send."""
         if self.tables is not None:
             return
-        at = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.cuts))
-        common = np.argsort(-np.bincount(self.terms, minlength=len(self.keys)), kind="stable")[:COMMON]
-        column = np.full(len(self.keys), -1, np.int64)
+        one_thread()
+        n = len(self.ids)
+        self.weights = self._weights()
+        common = np.sort(np.argsort(-np.bincount(self.terms, minlength=len(self.keys)), kind="stable")[:COMMON])
+        column = np.full(len(self.keys), -1, np.int32)
         column[common] = np.arange(len(common))
         own = column[self.terms]
-        dense = np.zeros((len(common), len(self.ids)), np.float32)
-        dense[own[own >= 0], at[own >= 0]] = self.weights[own >= 0]
+        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.cuts))
+        blocks = -(-n // BLOCK)
+        dense = np.zeros((blocks, len(common), BLOCK), np.float32)
+        dense[at[own >= 0] // BLOCK, own[own >= 0], at[own >= 0] % BLOCK] = self.weights[own >= 0]
         rare = np.flatnonzero(own < 0)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        rare |= self.terms[rare].astype(np.int64) << 32
+        rare.sort()
+        rare &= 0xFFFFFFFF
         starts = np.searchsorted(self.terms[rare], np.arange(len(self.keys) + 1))
-        self.tables = column, dense, starts, at[rare], self.weights[rare].astype(np.float32), np.zeros(len(self.keys))
+        most = np.ascontiguousarray(dense.max(axis=2).T) if blocks else np.zeros((len(common), 0), np.float32)
+        self.tables = column, dense, most, starts, at[rare].astype(np.int64), self.weights[rare].astype(np.float32), np.zeros(len(self.keys)), np.arange(1 << 18)
+
+    def release(self) -> None:
+        self.tables = self.weights = None
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (ties: smaller id), ``skip`` left out."""
-        return next(self.search([(terms, weights, skip)]))
+        return self.search([(terms, weights, skip)])[0]
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray, int]]):
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each (terms, weights, skip)."""
         self.prepare()
-        column, dense, starts, places, parts, query = self.tables
-        for first in range(0, len(queries), TOGETHER):
-            some = queries[first : first + TOGETHER]
-            wanted = np.zeros((len(some), len(dense)), np.float32)
-            for row, (terms, weights, _) in zip(wanted, some, strict=True):
-                own = column[terms]
-                row[own[own >= 0]] = weights[own >= 0]
-            for scores, (terms, weights, skip) in zip(wanted @ dense, some, strict=True):
-                rare = column[terms] < 0
-                at, owner = spans(starts[terms[rare]], starts[terms[rare] + 1])
-                scores = scores + np.bincount(places[at], parts[at] * weights[rare][owner], len(self.ids))
-                if skip >= 0:
-                    scores[skip] = 0.0
-                bar = np.partition(scores, -self.k)[-self.k] - MARGIN if len(scores) > self.k else 0.0
-                near = np.flatnonzero((scores >= bar) & (scores > 0))
-                at, owner = spans(self.cuts[near], self.cuts[near + 1])
-                query[terms] = weights
-                cosine = np.round(np.bincount(owner, self.weights[at] * query[self.terms[at]], len(near)), 12)
-                query[terms] = 0.0
-                kept = np.lexsort((self.ids[near], -cosine))[: self.k]
-                yield near[kept], cosine[kept]
+        column, _, most = self.tables[:3]
+        out: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if not len(self.ids):
+            return out
+        wanted = np.zeros((len(queries), len(most)), np.float32)
+        for row, (terms, weights, _) in zip(wanted, queries, strict=True):
+            own = column[terms]
+            row[own[own >= 0]] = weights[own >= 0]
+        alike = np.argsort((wanted @ most).argmax(axis=1), kind="stable")
+        for start in range(0, len(alike), TOGETHER):
+            group = alike[start : start + TOGETHER]
+            for place, found in zip(group.tolist(), self._together([queries[i] for i in group], wanted[group]), strict=True):
+                out[place] = found
+        return out
+
+    def _together(self, queries: list, wanted: np.ndarray):
+        column, _, most, starts, places, parts, query, count = self.tables
+        rows, blocks = len(queries), most.shape[1]
+        scores = np.zeros((rows, blocks * BLOCK), np.float32)
+        for row, (terms, weights, skip) in zip(scores, queries, strict=True):
+            rare = column[terms] < 0
+            begin = starts[terms[rare]]
+            n = starts[terms[rare] + 1] - begin
+            at = np.repeat(begin - np.cumsum(n) + n, n)
+            at += count[: len(at)] if len(at) <= len(count) else np.arange(len(at))
+            value = np.repeat(weights[rare].astype(np.float32), n)
+            value *= parts[at]
+            row += np.bincount(places[at], value, len(row))
+            if skip >= 0:
+                row[skip] = -2.0  # common terms add less than 2
+        bound = wanted @ most + scores.reshape(rows, blocks, BLOCK).max(axis=2)
+        best = np.argpartition(bound, max(blocks - FIRST, 0), axis=1)[:, max(blocks - FIRST, 0) :]
+        first = np.zeros((rows, blocks), bool)
+        first[np.arange(rows)[:, None], best] = True
+        self._add(first, scores, wanted)
+        seen = scores.reshape(rows, blocks, BLOCK)[np.arange(rows)[:, None], best].reshape(rows, -1)
+        bar = np.maximum(np.partition(seen, -self.k, axis=1)[:, -self.k], 0.0) if seen.shape[1] > self.k else np.zeros(rows)
+        self._add((bound >= bar[:, None] - MARGIN) & ~first, scores, wanted)
+        # a block left out has sums without its common terms, below the bar in any case
+        for values, low, (terms, weights, _) in zip(scores, bar.tolist(), queries, strict=True):
+            near = np.flatnonzero(values >= max(low - MARGIN, 1e-9))
+            if len(near) > self.k:
+                near = near[values[near] >= np.partition(values[near], -self.k)[-self.k] - MARGIN]
+            at, owner = spans(self.cuts[near], self.cuts[near + 1])
+            query[terms] = weights
+            cosine = np.round(np.bincount(owner, self.weights[at] * query[self.terms[at]], len(near)), 12)
+            query[terms] = 0.0
+            kept = np.lexsort((self.ids[near], -cosine))[: self.k]
+            yield near[kept], cosine[kept]
+
+    def _add(self, wanted_blocks: np.ndarray, scores: np.ndarray, wanted: np.ndarray) -> None:
+        """The common terms' part of the scores, for pairs of a query and a block."""
+        dense = self.tables[1]
+        for block in np.flatnonzero(wanted_blocks.any(axis=0)).tolist():
+            rows = np.flatnonzero(wanted_blocks[:, block])
+            scores[rows, block * BLOCK : (block + 1) * BLOCK] += wanted[rows] @ dense[block]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine * cosine
@@ -172,20 +255,52 @@ def _rate(positive: float, total: float, prior: float) -> float:
     return float((positive + prior) / (total + 1.0))
 
 
+def _alike(terms: np.ndarray, weights: np.ndarray, cuts: np.ndarray, n_terms: int, steps: int = 6) -> np.ndarray:
+    """Cluster of each example by its common terms; it only orders the index."""
+    n = len(cuts) - 1
+    common = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[: COMMON // 2]
+    column = np.full(n_terms, -1, np.int32)
+    column[common] = np.arange(len(common))
+    vectors = np.zeros((n, len(common)), np.float32)
+    for first in range(0, n, 2000):
+        part = slice(cuts[first], cuts[min(first + 2000, n)])
+        own, at = column[terms[part]], np.repeat(np.arange(first, min(first + 2000, n)), np.diff(cuts[first : first + 2001]))
+        vectors[at[own >= 0], own[own >= 0]] = weights[part][own >= 0]
+    centres = vectors[:: max(1, n // CLUSTERS)][:CLUSTERS].copy()
+    nearest = np.zeros(n, np.int64)
+    for _ in range(steps):
+        nearest = (vectors @ centres.T).argmax(axis=1)
+        for k in range(len(centres)):
+            total = vectors[nearest == k].sum(axis=0)
+            centres[k] = total / max(float(np.linalg.norm(total)), 1e-9)
+    return nearest
+
+
 def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS, chosen: np.ndarray | None = None) -> Index:
     """``examples``: (id, label, term places, counts); ``chosen``: which terms weigh more."""
-    labels = np.array([e[1] for e in examples], float)
-    prior = _rate(labels.sum(), len(labels), 0.1)
-    blank = [e[1] for e in examples if not len(e[2])]
-    made = [e for e in examples if len(e[2])]
-    nothing = np.zeros(0, np.int64)
-    index = Index(
-        keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], float),
-        np.cumsum([0, *(len(m[2]) for m in made)]), np.concatenate([nothing, *(m[2] for m in made)]).astype(np.int32), nothing, prior, _rate(sum(blank), len(blank), prior), k=k,
-    )
-    index.weights = np.concatenate([np.zeros(0), *(index.vector(m[2], m[3]) for m in made)])
+    none = np.zeros(0, np.int32)
+    ids, labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
+    terms, counts = np.concatenate([none, *(e[2] for e in examples)]), np.concatenate([none, *(e[3] for e in examples)])
+    index = Index(keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, ids, labels, np.cumsum([0, *(len(e[2]) for e in examples)]), terms.astype(np.int32), counts.astype(np.int32), 0.0, 0.0, k=k)
+    return _finish(index)
+
+
+def _finish(index: Index) -> Index:
+    """Examples without terms left out, the others put beside those like them; rates and calibration."""
+    index.prior = _rate(index.labels.sum(), len(index.ids), 0.1)
+    sizes = np.diff(index.cuts)
+    blank = index.labels[sizes == 0]
+    index.blank = _rate(blank.sum(), len(blank), index.prior)
+    some = np.flatnonzero(sizes)
+    index.ids, index.labels, index.cuts = index.ids[some], index.labels[some], np.concatenate([[0], np.cumsum(sizes[some])])
+    if len(some):
+        order = np.argsort(_alike(index.terms, index._weights().astype(np.float32), index.cuts, len(index.keys)), kind="stable")
+        places, _ = spans(index.cuts[order], index.cuts[order + 1])
+        index.ids, index.labels, index.terms, index.counts = index.ids[order], index.labels[order], index.terms[places], index.counts[places]
+        index.cuts = np.concatenate([[0], np.cumsum(sizes[some][order])])
+        del places
     _calibrate(index)
-    index.tables = None
+    index.release()
     return index
 
 
@@ -195,6 +310,7 @@ def _calibrate(index: Index) -> None:
     if n < 20 or len(np.unique(index.labels)) < 2:
         return
     some = range(0, n, -(-n // MAX_CALIBRATION))
+    index.prepare()
     own = [slice(index.cuts[i], index.cuts[i + 1]) for i in some]
     votes = np.array([index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.weights[o], i) for i, o in zip(some, own, strict=True)])])
     x, y = np.log(votes / (1 - votes)), index.labels[list(some)]
@@ -218,16 +334,15 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
     return max(float(beta[0]), 0.05), float(beta[1])
 
 
-def _select(rows: list, positives: int, total: int) -> np.ndarray:
+def _select(key: np.ndarray, pos: np.ndarray, all_: np.ndarray, positives: int, total: int) -> np.ndarray:
     """Sorted hashes of the terms whose chi-square stands out among all that were tried."""
-    if not rows:
+    if not len(key):
         return np.zeros(0, np.uint64)
-    key = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    pos, all_ = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    key, pos, all_ = key.view(np.uint64), pos.astype(float), all_.astype(float)
     a, b = pos, all_ - pos
     c, d = positives - a, total - positives - b
     chi = total * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    good = np.flatnonzero((chi >= 2 * np.log(len(rows) / 0.01)) & (a * total >= LIFT * all_ * positives))
+    good = np.flatnonzero((chi >= 2 * np.log(len(key) / 0.01)) & (a * total >= LIFT * all_ * positives))
     good = good[np.lexsort((key[good], -chi[good]))][:MAX_TERMS]
     return np.sort(key[good])
 
@@ -267,7 +382,7 @@ def learn_terms(examples: DataFrame) -> tuple[np.ndarray, int]:
     if not whole:
         return np.zeros(0, np.uint64), 0
     positives, total = whole[0]["pos"], whole[0]["total"]
-    return _select(list(zip(terms["term"].to_pylist(), terms["pos"].to_pylist(), terms["total"].to_pylist(), strict=True)), positives, total), total
+    return _select(*(terms[c].to_numpy() for c in ("term", "pos", "total")), positives, total), total
 
 
 def example_terms(examples: DataFrame, chosen: np.ndarray) -> pa.Table:
@@ -290,15 +405,15 @@ def example_terms(examples: DataFrame, chosen: np.ndarray) -> pa.Table:
     return map_arrow(examples.select("doc_id", "label", "text"), each_slice(work), "doc_id long, label int, terms array<long>, counts array<int>").toArrow()
 
 
-def frequencies(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
+def frequencies(docs: DataFrame, keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, int]:
     """How many rows have each term; and how many rows there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, chosen))
 
     def work(batches):
-        places, n, rows = Places(shared.value), np.zeros(len(shared.value), np.int64), 0
+        known, n, rows = Terms(*shared.value), np.zeros(len(shared.value[0]), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                n += np.bincount(_counted(part.column("text"), places)[0], minlength=len(n))
+                n += np.bincount(known.count(part.column("text"))[0], minlength=len(n))
                 rows += part.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], names=["term", "n"])
@@ -328,27 +443,37 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
     chosen = scratch.table(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "examples")
     # at most max_examples rows of two numbers, whatever the input
     examples = docs.where("doc_id is not null").join(F.broadcast(chosen), "doc_id")
-    # copies of a text are one example: of at most max_examples rows, by a hash of the text
-    examples = scratch.table(examples.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("first", F.row_number().over(Window.partitionBy("same").orderBy(F.col("label").desc(), "doc_id"))).where("first = 1").select("doc_id", "text", "label"), "different")
-    chosen = examples.select("doc_id", "label")
+    # copies of a text are one example: of at most max_examples ids, by a hash of the text
+    first = F.row_number().over(Window.partitionBy("same").orderBy(F.col("label").desc(), "doc_id"))
+    examples = scratch.table(examples.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("first", first).where("first = 1").select("doc_id", "text", "label", "same"), "different")
+    if examples.count() > max_examples:  # where ids repeat
+        some = scratch.table(examples.select("same", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(max_examples).select("same"), "bounded")
+        examples = examples.join(F.broadcast(some), "same", "left_semi")
     picked, _ = learn_terms(examples)
     learned = example_terms(examples, picked).combine_chunks().sort_by("doc_id")
     terms, cuts = _flat(learned["terms"])
     counts, _ = _flat(learned["counts"])
-    keys, places = np.unique(terms.view(np.uint64), return_inverse=True)
-    df, total = frequencies(docs, keys)
-    idf = np.log((1 + total) / (1 + df)) + 1.0
-    rows = zip(learned["doc_id"].to_pylist(), learned["label"].to_pylist(), cuts[:-1], cuts[1:], strict=True)
-    index = build(keys, idf, [(i, label, places[a:b], counts[a:b]) for i, label, a, b in rows], chosen=np.isin(keys, picked))
+    ids, marks = learned["doc_id"].to_numpy(), learned["label"].to_numpy().astype(float)
+    del learned
+    keys = np.unique(terms).view(np.uint64)
+    keys.sort()
+    places = np.searchsorted(keys, terms.view(np.uint64)).astype(np.int32)
+    del terms
+    pa.default_memory_pool().release_unused()
+    chosen = np.isin(keys, picked)
+    df, total = frequencies(docs, keys, chosen)
+    index = Index(keys, np.log((1 + total) / (1 + df)) + 1.0, chosen, ids, marks, cuts, places, counts, 0.0, 0.0)
+    del places, counts
+    _finish(index)
     shared = spark.sparkContext.broadcast(index)
 
     def work(batches):
         index = shared.value
-        places = Places(index.keys)
+        known = Terms(index.keys, index.chosen)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                terms, counts, cuts = _counted(part.column("text"), places)
+                terms, counts, cuts = known.count(part.column("text"))
                 scores, evidence = np.full(part.num_rows, index.blank), [[] for _ in range(part.num_rows)]
                 some = np.flatnonzero(np.diff(cuts))
                 own = [slice(cuts[i], cuts[i + 1]) for i in some]
@@ -359,7 +484,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
                         evidence[i] = [{"doc_id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for a, c in zip(at[:5], cosine[:5], strict=True)]
                 scores = np.clip(scores, 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
-        index.tables = None  # a worker that goes on to other stages does not keep them
+        index.release()  # a worker that goes on to other stages does not keep them
 
     return map_arrow(docs, work, SCORED)
 

@@ -67,18 +67,37 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"), Scratch(spark, "t")).count() == 0
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("common", [4, 60])
+def test_nearest_is_exact(monkeypatch, common):
     rng = np.random.default_rng(1)
     keys = np.arange(60, dtype=np.uint64)
     examples = [(int(i), int(i % 3 == 0), np.sort(rng.choice(60, rng.integers(1, 12), replace=False)), rng.integers(1, 5, 12).astype(float)) for i in range(700)]
     examples = [(i, y, t, c[: len(t)]) for i, y, t, c in examples]
     idf = rng.uniform(1, 5, 60)
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     index = toxicity.build(keys, idf, examples)
     vectors = {i: dict(zip(t.tolist(), index.vector(t, c).tolist(), strict=True)) for i, _, t, c in examples}
     for i, _, t, c in examples[:60]:
         at, cosine = index.nearest(t, index.vector(t, c))
         want = sorted(((-round(sum(w * vectors[j].get(k, 0) for k, w in vectors[i].items()), 9), j) for j in vectors))[: index.k]
         assert np.allclose(cosine, [-w for w, _ in want], atol=1e-8)
+    own = {int(i): n for n, i in enumerate(index.ids)}
+    for i, _, t, c in examples[:60]:  # without itself, as in the calibration
+        at, cosine = index.nearest(t, index.vector(t, c), own[i])
+        want = sorted((-round(sum(w * vectors[j].get(k, 0) for k, w in vectors[i].items()), 9) for j in vectors if j != i))[: index.k]
+        assert own[i] not in at and np.allclose(cosine, [-w for w in want], atol=1e-8)
+
+
+def test_toxicity_of_repeated_ids_and_ties(spark):
+    texts = ["good day friend", "bad zork word"] * 15
+    rows = [(i // 3, t) for i, t in enumerate(texts)] + [(None, "bad zork word"), (None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("clash")).withColumn("same", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(10)] * 2, "doc_id long, toxic int")
+    got = [sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in toxicity.score(d, labels, Scratch(spark, "t")).collect()) for d in (docs, docs.repartition(3))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    bounded = toxicity.score(docs, labels, Scratch(spark, "t"), max_examples=2)
+    assert bounded.count() == len(rows)
 
 
 # ---------------------------------------------------------------- 2 language
