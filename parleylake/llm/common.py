@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .hashing import mix
 
 #: Bytes of text that a Python kernel holds at a time; a longer text is handled alone.
 CHUNK_BYTES = 2_000_000
@@ -82,6 +83,40 @@ class Scratch:
             fs.delete(status.getPath(), True)
 
 
+#: Bits of a filter over ids, and how many of them an id sets. With more ids it lets more through, never fewer.
+FILTER_BITS, FILTER_PLACES = 25, 3
+
+
+def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each of the filter's places of the ids."""
+    keys = ids.view(np.uint64)
+    places = np.concatenate([mix(keys ^ np.uint64(c + 1)) & np.uint64((1 << FILTER_BITS) - 1) for c in range(FILTER_PLACES)])
+    return (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63))
+
+
+def passes(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids (long) may be in a filter."""
+    word, bit = _filter_places(np.ascontiguousarray(ids))
+    return (table[word] & bit != 0).reshape(FILTER_PLACES, -1).all(axis=0)
+
+
+def bit_filter(rows: DataFrame, ids: Callable[[pa.Table], np.ndarray], columns: list[str]) -> np.ndarray:
+    """A bit set of 2 ** FILTER_BITS bits of the rows' ids (long), whatever their number; ``ids`` finds them from ``columns``."""
+
+    def work(batches):
+        total = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+        for batch in batches:
+            np.bitwise_or.at(total, *_filter_places(np.ascontiguousarray(ids(pa.Table.from_batches([batch])))))
+        word = np.flatnonzero(total)
+        if len(word):
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(total[word].view(np.int64))], names=["word", "bits"])
+
+    found = map_arrow(rows.select(*columns), work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the ids that no model learns from; a null id is never held out."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

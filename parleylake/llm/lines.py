@@ -1,156 +1,495 @@
-"""Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
-
-A line is its set of lower-case words between ASCII blanks. A line goes if an earlier one (by document id,
-then line number) has a set of Jaccard similarity ``percent`` or more. Equal sets are one class at
-first occurrence; classes are joined on their rarest words: tokens are ordered by the count of
-their hash bucket over all lines (then hash), a class is posted under its first
-``n - ceil(t * n) + 1`` tokens, and pairs pass the length filter, the positional filter (what is
-left behind the shared token in both must still reach the overlap) and a parity signature (words in
-one set only flip at most so many bits) before their whole sets are intersected.
-
-Classes that share their rarest tokens with an earlier class are settled against the earliest one
-first, so a large group of near copies costs a pair or two a member; only what is not settled is
-probed against everything. No candidate is dropped.
-
-Defined results: blank lines are kept; null and empty texts have no lines; the lines of repeated ids
-follow one another as one document's would, in their own numbering; rows without an id are left as they are.
+"""Line dedup: an exact set-similarity join of lines.
+
+A line is its set of lower-case words (one-to-one case mapping) between ASCII blanks. A line goes if an earlier one
+(by document id, then line number) has a set of Jaccard similarity ``percent`` or more. Equal sets are one class at first
+occurrence; classes are joined on their rarest words. Rarity is the count of a word's hash bucket over the whole
+corpus, in logarithmic steps (then the hash); there are twice as many buckets as were hit, up to 2 ** COUNT_BITS, so the table
+that is sent out has at most 128 MB, and words still sort by rarity where they outnumber it. A class is posted under its
+first ``n - ceil(t * n) + 1`` words, pairs that meet pass the length filter, the prefix of the smaller set, the positional
+filter (what is left behind the shared word in both must still reach the overlap) and a parity signature (words in one
+set only flip at most so many bits), and are verified on whole sets of 64-bit word hashes.
+
+Of each class the earliest line that passes the filters is verified first; that settles most copies, so a large group of near
+copies costs a pair a member. Only classes that it does not settle and that met others have all their pairs
+verified. No candidate is dropped. Words with more than HOT occurrences have their postings dealt to as many tasks as
+that needs, each against all earlier ones.
+
+Defined results: blank lines are kept; null and empty texts have no lines. Rows that repeat an id are told apart: they
+follow one another by a hash of the text, each in its own numbering; of wholly equal rows all but one lose all lines with a
+word. Rows without an id are left as they are. Columns of any other name pass by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
-BLANKS = r"[ \t\r\f\x0B]+"
-BUCKETS = 1 << 16
-#: Bits of the set that picks the classes whose whole sets are verified; a fixed size.
-FILTER_BITS = 1 << 22
-
-
-def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).where("doc is not null and length(t) > 0")
-    return source.select("doc", F.posexplode(F.split("t", "\n", -1)).alias("line", "words"))
-
-
-def _hashes() -> Column:
-    words = F.filter(F.split(F.lower("words"), BLANKS, -1), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 48).cast("int")
-
-
-def _ranks(lines: DataFrame) -> DataFrame:
-    """One row: how often the words of each hash bucket stand in lines, over all of them."""
-    spark = lines.sparkSession
-    token = lines.select(F.explode(F.split(F.lower("words"), BLANKS, -1)).alias("w")).where("w <> ''")
-    counted = token.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", F.least(F.coalesce("n", F.lit(0)), F.lit(2**31 - 1)).cast("long").alias("n"))))
-    return every.agg(F.transform(pairs, lambda p: p["n"]).alias("ranks"))
-
-
-def describe(docs: DataFrame, scratch: Scratch, text: str, key: str, percent: int) -> DataFrame:
-    """doc, line, n, h1, h2, parity and tokens (rarest first) of every line with a word."""
-    ranks = scratch.table(_ranks(_lines(docs, text, key)), "ranks")
-    # the ranks come in as a scalar: one array of BUCKETS numbers
-    lines = _lines(docs, text, key).select("doc", "line", _hashes().alias("hashes"), ranks.select("ranks").scalar().alias("ranks")).where(F.size("hashes") > 0)
-    low = 0x7FFFFFFF
-    coded = F.array_sort(F.transform("hashes", lambda h: F.shiftleft(F.get("ranks", _bucket(h)), 32).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    tokens = lines.select("doc", "line", F.transform(coded, lambda c: c.bitwiseAND(F.lit(low)).cast("int")).alias("tokens"))
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
-    return scratch.table(tokens.select("doc", "line", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"), parity.alias("parity"), "tokens"), "lines")
-
-
-def _near(percent: int) -> Column:
-    """Length filter and parity signature for a pair of classes x, y."""
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    differ = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+from .common import Scratch, bit_filter, map_arrow, passes, ship, slices
+from .hashing import M2, SPACED, buffers, mix, spans, words
+
+COUNT_BITS, SEGMENT_BITS = 27, 16
+#: Rank steps of a doubling of the count; and the highest rank of a word that stands only once.
+STEPS, ONCE = 8, 8
+HOT = 50_000
+#: Runs of a shared word up to which all its pairs are laid out at once.
+SMALL = 256
+
+
+def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+
+
+def _tasks(docs: DataFrame) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _counted(source: DataFrame) -> DataFrame:
+    """(segment, low, counts): how often words of each hash bucket stand in the texts, a task's share."""
+
+    def merged(parts):
+        bucket = np.concatenate([p[0] for p in parts])
+        key, back = np.unique(bucket, return_inverse=True)
+        return key, np.bincount(back, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
+
+    def work(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = words(pc.utf8_lower(part.column("text")), SPACED)
+                parts.append(np.unique((found.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int32), return_counts=True))
+                held += len(parts[-1][0])
+                if held > 3_000_000:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > 2_000_000:
+                        yield blobs(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield blobs(*merged(parts))
+
+    def blobs(bucket, count):
+        edges = np.searchsorted(bucket, np.arange((1 << COUNT_BITS - SEGMENT_BITS) + 1) << SEGMENT_BITS)
+        some = np.flatnonzero(np.diff(edges))
+        low, counts = (bucket & (1 << SEGMENT_BITS) - 1).astype("<u2"), count.astype("<i8")
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary())], names=["segment", "low", "counts"])
+
+    return map_arrow(source.where("text is not null").select("text"), work, "segment int, low binary, counts binary")
+
+
+def rarity(source: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """Rank of every hash bucket by the count of its words, and how many bits of a hash name the bucket."""
+    tasks = _tasks(source)
+
+    def total(batches):
+        """Sums by segment over rows sorted by segment: one segment of counts is held."""
+        now, sums = None, None
+        for batch in batches:
+            for segment, low, counts in zip(batch.column("segment").to_pylist(), batch.column("low"), batch.column("counts"), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield row(now, sums)
+                    now, sums = segment, np.zeros(1 << SEGMENT_BITS, np.int64)
+                sums[np.frombuffer(low.as_py(), "<u2")] += np.frombuffer(counts.as_py(), "<i8")
+        if now is not None:
+            yield row(now, sums)
+
+    def row(segment, sums):
+        hit = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(hit)]), pa.array([hit.astype("<u2").tobytes()]), pa.array([sums[hit].astype("<i8").tobytes()])], names=["segment", "n", "low", "counts"])
+
+    ordered = _counted(source).repartition(tasks, "segment").sortWithinPartitions("segment")
+    counts = scratch.table(map_arrow(ordered, total, "segment int, n long, low binary, counts binary"), "counts")
+    hit = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(max((2 * hit).bit_length(), SEGMENT_BITS), COUNT_BITS)
+
+    def folded(batches):
+        for batch in batches:
+            out = []
+            for low, own in zip(batch.column("low"), batch.column("counts"), strict=True):
+                sums = np.zeros(1 << SEGMENT_BITS, np.int64)
+                sums[np.frombuffer(low.as_py(), "<u2")] = np.frombuffer(own.as_py(), "<i8")
+                sums = sums.reshape(-1, 1 << COUNT_BITS - bits).sum(axis=1)
+                out.append(np.minimum(np.ceil(STEPS * np.log2(sums + 1.0)), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(out, pa.binary())], names=["segment", "ranks"])
+
+    ranks = np.zeros((1 << COUNT_BITS - SEGMENT_BITS, 1 << SEGMENT_BITS - COUNT_BITS + bits), np.uint8)
+    found = map_arrow(counts, folded, "segment int, ranks binary").toArrow()
+    for segment, raw in zip(found["segment"].to_pylist(), found["ranks"], strict=True):
+        ranks[segment] = np.frombuffer(raw.as_py(), np.uint8)
+    return ranks.reshape(-1), bits
+
+
+class Cut:
+    """The lines with a word of a run of texts: text, line number, and distinct words."""
+
+    def __init__(self, column: pa.Array, keep=None, ranks: np.ndarray | None = None, shift: int = 0):
+        """``keep``: of (text, line number) arrays, which lines to go on with; words come by (rank, hash), or by hash alone."""
+        lowered = pc.utf8_lower(column)
+        raw, offsets = buffers(lowered)
+        breaks = np.flatnonzero(raw == 10)
+        before = np.searchsorted(breaks, offsets)
+        self.n_lines = np.where(np.diff(offsets) > 0, np.diff(before) + 1, 0)
+        found = words(lowered, SPACED)
+        line = np.searchsorted(breaks, found.begin) - before[found.doc]
+        doc, hashes = found.doc, found.hashes
+        if keep is not None:
+            edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            some = np.repeat(keep(doc[edge], line[edge]), np.diff(np.concatenate([edge, [len(doc)]]))) if len(doc) else np.zeros(0, bool)
+            doc, line, hashes = doc[some], line[some], hashes[some]
+        place = (line + before[doc] + doc).astype(np.int64)  # a number of its own for each line, in order
+        if ranks is not None:
+            place = place << 8 | ranks[(hashes >> np.uint64(shift)).astype(np.int64)]
+        order = np.lexsort((hashes, place))
+        hashes, place = hashes[order], place[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])
+        self.hashes, place = hashes[fresh], place[fresh]
+        of_line = place >> 8 if ranks is not None else place
+        self.rank = (place & 255).astype(np.uint8) if ranks is not None else None
+        self.first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]])) if len(of_line) else np.zeros(0, np.int64)
+        at = order[fresh][self.first]
+        self.doc, self.line = doc[at], line[at]
+        self.n = np.diff(np.concatenate([self.first, [len(of_line)]]))
+
+    def sums(self, values: np.ndarray, how=np.add) -> np.ndarray:
+        return how.reduceat(values, self.first) if len(self.first) else values[:0]
+
+
+LINES = "row long, doc long, hash long, line int, n int, h1 long, h2 long, parity long, rare array<long>"
+
+
+def describe(source: DataFrame, scratch: Scratch, ranks: np.ndarray, bits: int, percent: int) -> DataFrame:
+    """A row for each line with a word, its rarest words (0 for those that stand once); and for each text one of line -1, ``n`` its lines.
+
+    ``source``: row, doc, text, hash.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(ranks)
+    shift = 64 - bits
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                cut = Cut(part.column("text"), ranks=shared.value, shift=shift)
+                n = cut.n
+                keep = np.where(n * 100 >= (n + 1) * percent, n - -(-n * percent // 100) + 1, 0)
+                places, _ = spans(cut.first, cut.first + keep)
+                rare = np.where(cut.rank[places] > ONCE, cut.hashes[places].view(np.int64), 0)
+                mixed, other = mix(cut.hashes), mix(cut.hashes ^ M2)
+                flips = np.uint64(1) << (cut.hashes & np.uint64(63))
+                own = [part.column(c) for c in ("row", "doc", "hash")]
+                texts, none = part.num_rows, pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(texts, -1, np.int32)), pa.array(cut.n_lines.astype(np.int32)), none, none, none, pa.nulls(texts, pa.list_(pa.int64()))], names=NAMES)
+                if len(n):
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(rare))
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(cut.doc)) for c in own), pa.array(cut.line.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(cut.sums(v, how).view(np.int64)) for v, how in ((mixed, np.add), (other, np.add), (flips, np.bitwise_xor))), lists], names=NAMES)
+
+    return scratch.table(map_arrow(source.select("row", "doc", "hash", "text"), work, LINES), "lines")
+
+
+NAMES = [c.split()[0] for c in LINES.split(", ")]
+POSTINGS = "key long, index_only boolean, doc long, hash long, line int, meta long, parity long"
+INDEX, PROBE = 1, 2
+
+
+def _postings(classes: DataFrame, ranks: np.ndarray, bits: int) -> DataFrame:
+    """A row for each rare word of a class; of a hot word one to be probed with and one for each share of the probes."""
+    shared = classes.sparkSession.sparkContext.broadcast(ranks)
+    shift = np.uint64(64 - bits)
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("rare")
+            size = pc.list_value_length(lists).to_numpy()
+            token, owner = pc.list_flatten(lists).to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            some = np.flatnonzero(token != 0)
+            token, owner, at = token[some], owner[some], at[some]
+            count = np.exp2(shared.value[(token >> shift).astype(np.int64)].astype(float) / STEPS)
+            shares = 1 + (count // HOT).astype(np.int64)
+            hot = np.flatnonzero(shares > 1)
+            role = np.where(shares > 1, PROBE, INDEX | PROBE)
+            chunk = (token[hot] ^ mix(batch.column("hash").to_numpy().view(np.uint64)[owner[hot]])) % shares[hot].astype(np.uint64)
+            key = token.copy()
+            key[hot] = mix(token[hot] + chunk)
+            again = np.repeat(hot, shares[hot])
+            chunks = np.arange(len(again)) - np.repeat(np.cumsum(shares[hot]) - shares[hot], shares[hot])
+            key = np.concatenate([key, mix(token[again] + chunks.astype(np.uint64))])
+            owner, at, role = np.concatenate([owner, owner[again]]), np.concatenate([at, at[again]]), np.concatenate([role, np.full(len(again), INDEX)])
+            meta = batch.column("n").to_numpy().astype(np.int64)[owner] << 32 | at.astype(np.int64) << 2 | role
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role == INDEX), *(batch.column(c).take(take) for c in ("doc", "hash", "line")), pa.array(meta), batch.column("parity").take(take)], names=[c.split()[0] for c in POSTINGS.split(", ")])
+
+    return map_arrow(classes.select("doc", "hash", "line", "n", "parity", "rare"), work, POSTINGS)
+
+
+def _near(x: tuple, y: tuple, percent: int) -> np.ndarray:
+    """Length, prefix, positional and parity filters for postings x and y of one word; (n, at, parity) each."""
+    n1, at1, p1 = x
+    n2, at2, p2 = y
+    both = n1 + n2
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
+    keep = small * 100 >= large * percent
     # sets of Jaccard t or more have at most (1 - t) / (1 + t) of both sizes in one of them only
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
-
-
-def _positional(percent: int) -> Column:
-    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    return left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-
-
-def _earlier() -> Column:
-    return (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
-
-
-def _pair(swapped: Column) -> list[Column]:
-    """The earlier and the later of x and y."""
-    x, y = F.struct(F.col("x.doc").alias("doc"), F.col("x.line").alias("line")), F.struct(F.col("y.doc").alias("doc"), F.col("y.line").alias("line"))
-    return [F.when(swapped, y).otherwise(x).alias("xf"), F.when(swapped, x).otherwise(y).alias("yf")]
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(doc, line) of the later lines of the pairs whose whole sets reach the threshold."""
-    pairs = scratch.table(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("xf.doc").alias("doc"), F.col("xf.line").alias("line")).unionByName(pairs.select(F.col("yf.doc").alias("doc"), F.col("yf.line").alias("line"))).distinct()
-    place = F.pmod(F.xxhash64("doc", "line"), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    words = wanted.groupBy(word.cast("long").alias("id")).agg(F.bit_or(bit).alias("bits"))
-    every = lines.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
-    table = scratch.table(every.select(F.transform("all", lambda p: p["bits"]).alias("bits")), "filter")
-    some = lines.select("doc", "line", "n", "tokens", table.select("bits").scalar().alias("bits")).where(F.get("bits", word.cast("int")).bitwiseAND(bit) != 0)
-    sets = scratch.table(some.select(F.struct("doc", "line").alias("f"), "n", "tokens").join(wanted.select(F.struct("doc", "line").alias("f")), "f", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("f").alias("xf"), F.col("tokens").alias("tx")), "xf").join(sets.select(F.col("f").alias("yf"), F.col("tokens").alias("ty")), "yf")
-    shared = F.size(F.array_intersect("tx", "ty"))
-    return scratch.table(both.where(shared * 100 >= (F.size("tx") + F.size("ty") - shared) * percent).select("yf.doc", "yf.line").distinct(), "settled")
-
-
-def duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
-    """(doc, line, removed) of every line with a word."""
-    lines = describe(docs, scratch, text, key, percent)
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
-    # sets too small to be like an unequal one are not posted
-    prefix = F.when(F.col("n") * 100 >= (F.col("n") + 1) * percent, F.slice("tokens", 1, keep))
-    found = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first(prefix).alias("rare"))
-    classes = scratch.table(found.select("first.doc", "first.line", "n", "parity", "rare"), "classes")
-    posted = classes.where("rare is not null")
-
-    # the two rarest tokens of each class against the earliest class there
-    heads = posted.select("doc", "line", "n", "parity", F.explode(F.slice("rare", 1, 2)).alias("key"))
-    earliest = heads.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "parity")).alias("x")).select("key", "x.*")
-    pairs = earliest.alias("x").join(heads.alias("y"), F.col("x.key") == F.col("y.key")).where(_earlier() & _near(percent))
-    settled = _verified(pairs.select(*_pair(F.lit(False))), lines, scratch, percent)
-
-    # the larger set of a pair is found under any of its posted tokens, the smaller one under the few first
-    # ones; the pair counts if the later line is not settled yet
-    marked = posted.join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.col("settled").isNull())
-    postings = marked.select("doc", "line", "n", "parity", "open", F.posexplode("rare").alias("at", "key"))
-    leading = postings.where((F.col("n") - F.col("at")) * (100 + percent) >= F.col("n") * 2 * percent)
-    later_open = F.when(_earlier(), F.col("y.open")).otherwise(F.col("x.open"))
-    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line"))
-    probed = postings.alias("x").join(leading.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") >= F.col("y.n")) & _near(percent) & _positional(percent) & other & later_open)
-    more = _verified(probed.select(*_pair(~_earlier())), lines, scratch, percent)
-
-    gone = settled.unionByName(more)
-    firsts = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti").withColumn("gone", F.lit(False))
-    return lines.select("doc", "line").join(firsts, ["doc", "line"], "left").select("doc", "line", F.coalesce("gone", F.lit(True)).alias("removed"))
+    keep &= np.bitwise_count(p1 ^ p2) * np.int64(100 + percent) <= both * (100 - percent)
+    keep &= np.minimum(n1 - at1, n2 - at2) * (100 + percent) >= both * percent
+    # the smaller set has a shared word among fewer first ones, as the larger one leaves it less room
+    first = np.where(n1 <= n2, at1, at2)
+    return keep & ((small - first) * (100 + percent) >= small * 2 * percent)
+
+
+class _Found:
+    """For later lines: the earliest line that passes the filters, and whether others do; or all of them."""
+
+    def __init__(self, table: pa.Table, percent: int, wanted: np.ndarray | None):
+        self.table, self.percent, self.wanted = table, percent, wanted
+        meta = table["meta"].to_numpy()
+        self.n, self.at = meta >> 32, (meta >> 2) & ((1 << 30) - 1)
+        self.role, self.parity = meta & 3, table["parity"].to_numpy().view(np.uint64)
+        self.id = [table[c].to_numpy() for c in ("doc", "hash", "line")]
+        self.left, self.right = [], []
+
+    def test(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs of places, i before j."""
+        some = (self.role[i] & INDEX != 0) & (self.role[j] & PROBE != 0)
+        if self.wanted is not None:
+            some &= self.wanted[j]
+        if not some.all():
+            i, j = i[some], j[some]
+        good = _near((self.n[i], self.at[i], self.parity[i]), (self.n[j], self.at[j], self.parity[j]), self.percent)
+        i, j = i[good], j[good]
+        same = (self.id[0][i] == self.id[0][j]) & (self.id[1][i] == self.id[1][j]) & (self.id[2][i] == self.id[2][j])
+        self.left.append(i[~same])
+        self.right.append(j[~same])
+
+    def rows(self) -> pa.RecordBatch | None:
+        i, j = np.concatenate(self.left or [np.zeros(0, np.int64)]), np.concatenate(self.right or [np.zeros(0, np.int64)])
+        if not len(i):
+            return None
+        more = np.zeros(len(i), bool)
+        if self.wanted is None:
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], j[1:] != j[:-1]])
+            more = np.diff(np.concatenate([np.flatnonzero(first), [len(j)]])) > 1
+            i, j = i[first], j[first]
+        columns = [self.table[c].combine_chunks().take(pa.array(k)) for k in (j, i) for c in ("doc", "hash", "line")]
+        return pa.RecordBatch.from_arrays([*columns, self.table["key"].combine_chunks().take(pa.array(j)), pa.array(more)], names=[c.split()[0] for c in PAIRS.split(", ")])
+
+
+PAIRS = "doc long, hash long, line int, doc2 long, hash2 long, line2 int, key long, more boolean"
+
+
+def _pairs(postings: DataFrame, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """Pairs (a line, an earlier one) that pass the filters under a shared word: the earliest and whether there are more, or all for the lines that ``wanted`` may hold."""
+    shared = postings.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+    ordered = postings.repartition(_tasks(postings), "key").sortWithinPartitions("key", "index_only", "doc", "hash", "line")
+
+    def mask(table):
+        return None if shared is None else passes(shared.value, _identity(table))
+
+    def small(table, begin, end):
+        """All pairs of runs of at most SMALL rows without hot shares."""
+        found = _Found(table, percent, mask(table))
+        active, _ = spans(begin, end)
+        last = np.repeat(end, end - begin)
+        step = 1
+        while len(active):
+            some = active + step < last
+            active, last = active[some], last[some]
+            found.test(active, active + step)
+            step += 1
+        return found.rows()
+
+    def long(probes, others, whole):
+        """Probes against earlier lines, block by block; once the earliest is known a probe waits no longer."""
+        table = pa.concat_tables([probes, others]) if not whole else probes
+        found, split = _Found(table, percent, mask(table)), 0 if whole else probes.num_rows
+        order = np.lexsort((found.id[2], found.id[1], found.id[0]))
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        first = order[order >= split] if not whole else order
+        hits = np.zeros(table.num_rows, np.int64)
+        probing = order[(found.role[order] & PROBE != 0) & ((order < split) | whole)]
+        for start in range(0, len(first), 512):
+            block = first[start : start + 512]
+            open_ = probing[(hits[probing] < 2) | (shared is not None)]
+            open_ = open_[where[open_] > where[block[0]]]
+            for some in np.array_split(open_, max(1, len(open_) // 2048)):
+                i, j = np.repeat(block, len(some)), np.tile(some, len(block))
+                before = where[i] < where[j]
+                got = len(found.right)
+                found.test(i[before], j[before])
+                for right in found.right[got:]:
+                    np.add.at(hits, right, 1)
+        return found.rows()
+
+    def work(batches):
+        held, probes = None, None  # rows of the last run; and the probes of a hot run that is streamed through
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece = pa.Table.from_batches([batch])
+            held = piece if held is None else pa.concat_tables([held, piece])
+            keys = held["key"].to_numpy()
+            last = len(keys) - int(np.argmax(np.concatenate([keys[::-1] != keys[-1], [True]])))  # where the last run begins
+            yield from runs(held.slice(0, last), probes)
+            if last:
+                probes = None
+            held = held.slice(last)
+            if held.num_rows > 4 * HOT and held["index_only"][-1].as_py():  # a hot run: its probes come first
+                only = held["index_only"].combine_chunks()
+                own = held.filter(pc.invert(only))
+                probes = own if probes is None else pa.concat_tables([probes, own])
+                row = long(probes, held.filter(only), False)
+                if row is not None:
+                    yield row
+                held = None
+        if held is not None:
+            yield from runs(held, probes)
+
+    def runs(table, probes):
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        keys = table["key"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        begin, end = edges[:-1], edges[1:]
+        only = table["index_only"].to_numpy()
+        if probes is not None and probes["key"][0].as_py() == keys[0]:
+            row = long(probes, table.slice(0, int(end[0])), False)
+            if row is not None:
+                yield row
+            begin, end = begin[1:], end[1:]
+        hot = only[end - 1] if len(end) else np.zeros(0, bool)
+        little = ~hot & (end - begin <= SMALL) & (end - begin > 1)
+        if little.any():
+            row = small(table, begin[little], end[little])
+            if row is not None:
+                yield row
+        for a, b in zip(begin[(hot | (end - begin > SMALL))].tolist(), end[(hot | (end - begin > SMALL))].tolist(), strict=True):
+            own = table.slice(a, b - a)
+            is_hot = bool(only[b - 1])
+            row = long(own.filter(pc.invert(own["index_only"])), own.filter(own["index_only"]), False) if is_hot else long(own, None, True)
+            if row is not None:
+                yield row
+
+    return map_arrow(ordered, work, PAIRS)
+
+
+def _identity(table) -> np.ndarray:
+    """A 64-bit name of each line."""
+    doc, hash_, line = (table[c].to_numpy() for c in ("doc", "hash", "line"))
+    return mix(mix(doc.view(np.uint64) ^ mix(hash_.view(np.uint64))) + line.astype(np.uint64)).view(np.int64)
+
+
+def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, hash, line, words): whole sets of lines that may be among the ``wanted`` (doc, hash, line)."""
+    lines = bit_filter(wanted, _identity, ["doc", "hash", "line"])
+    texts = bit_filter(wanted, lambda t: mix(t["doc"].to_numpy().view(np.uint64) ^ mix(t["hash"].to_numpy().view(np.uint64))).view(np.int64), ["doc", "hash"])
+    shared = source.sparkSession.sparkContext.broadcast((lines, texts))
+
+    def work(batches):
+        lines, texts = shared.value
+        for batch in batches:
+            doc, hash_ = (batch.column(c).to_numpy().view(np.uint64) for c in ("doc", "hash"))
+            some = batch.filter(pa.array(passes(texts, mix(doc ^ mix(hash_)).view(np.int64))))
+            for part in slices(some, "text") if some.num_rows else ():
+                doc, hash_ = (part.column(c).to_numpy().view(np.uint64) for c in ("doc", "hash"))
+                own = mix(doc ^ mix(hash_))
+                cut = Cut(part.column("text"), keep=lambda d, n, own=own: passes(lines, mix(own[d] + n.astype(np.uint64)).view(np.int64)))
+                if len(cut.n):
+                    ends = np.concatenate([cut.first[1:], [len(cut.hashes)]])
+                    raw = [cut.hashes[a:b].tobytes() for a, b in zip(cut.first.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(cut.doc)), part.column("hash").take(pa.array(cut.doc)), pa.array(cut.line.astype(np.int32)), pa.array(raw, pa.binary())], names=["doc", "hash", "line", "words"])
+
+    return map_arrow(source.where("doc is not null and text is not null").select("doc", "hash", "text"), work, "doc long, hash long, line int, words binary")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(doc, hash, line) of the later lines of the pairs whose whole sets reach the threshold."""
+    wanted = pairs.select("doc", "hash", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("hash2").alias("hash"), F.col("line2").alias("line"))).distinct()
+    sets = scratch.table(_sets(source, wanted).join(wanted, ["doc", "hash", "line"], "left_semi"), "sets")
+    other = sets.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
+    both = pairs.join(sets, ["doc", "hash", "line"]).join(other, ["doc2", "hash2", "line2"])
+
+    def work(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("words"), batch.column("words2"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                all_ = np.concatenate([x, y])
+                all_.sort()
+                shared = int(np.count_nonzero(all_[1:] == all_[:-1]))
+                good.append(shared * 100 >= (len(all_) - shared) * percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc", "hash", "line")], names=["doc", "hash", "line"]).filter(pa.array(good, pa.bool_()))
+
+    return scratch.table(map_arrow(both.select("doc", "hash", "line", "words", "words2"), work, "doc long, hash long, line int").distinct(), "settled")
+
+
+def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Of ``source`` (row, doc, text, hash): the described lines, and those of them that stay (doc, hash, line)."""
+    ship(source.sparkSession)
+    ranks, bits = rarity(source, scratch)
+    lines = describe(source, scratch, ranks, bits, percent)
+    named = lines.where("line >= 0 and doc is not null")
+    first = F.min(F.struct("doc", "hash", "line", "n", "parity", "rare")).alias("c")
+    classes = scratch.table(named.groupBy("h1", "h2").agg(first).select("c.*"), "classes")
+    met = _pairs(_postings(classes.where(F.size("rare") > 0), ranks, bits), percent)
+    earliest = F.min(F.struct("doc2", "hash2", "line2")).alias("e")
+    varied = (F.max("more") | (F.min(F.struct("doc2", "hash2", "line2")) < F.max(F.struct("doc2", "hash2", "line2")))).alias("more")
+    pairs = scratch.table(met.groupBy("doc", "hash", "line").agg(earliest, varied).select("doc", "hash", "line", "e.*", "more"), "pairs")
+    settled = _verified(pairs, source, scratch, percent)
+    open_ = scratch.table(pairs.where("more").select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti"), "open")
+    if open_.limit(1).count():
+        # all pairs of what is open: postings under its words only
+        asked = classes.join(open_, ["doc", "hash", "line"], "left_semi").select(F.explode("rare").alias("word")).where("word <> 0")
+        tokens = source.sparkSession.sparkContext.broadcast(bit_filter(asked, lambda t: t["word"].to_numpy(), ["word"]))
+
+        def kept(batches):
+            for batch in batches:
+                lists = batch.column("rare")
+                flat = pc.list_flatten(lists).to_numpy()
+                flat = np.where(passes(tokens.value, flat), flat, 0)
+                size = pc.list_value_length(lists).to_numpy()
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "hash", "line", "n", "parity")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "hash", "line", "n", "parity", "rare"])
+
+        some = map_arrow(classes.where(F.size("rare") > 0), kept, "doc long, hash long, line int, n int, parity long, rare array<long>")
+        every = _pairs(_postings(some, ranks, bits), percent, bit_filter(open_, _identity, ["doc", "hash", "line"]))
+        every = every.drop("key", "more").join(open_, ["doc", "hash", "line"], "left_semi").distinct()
+        settled = settled.unionByName(_verified(scratch.table(every, "pairs"), source, scratch, percent))
+    return lines, classes.select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti")
+
+
+def _removed(source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(row, doc, n_lines, removed): a row for each row of ``source``."""
+    lines, firsts = duplicates(source, scratch, percent)
+    # of wholly equal rows the first keeps its lines
+    copies = lines.where("line = -1 and doc is not null").groupBy("doc", "hash").agg(F.min("row").alias("own"), F.count("*").alias("k")).where("k > 1").select("doc", "hash", "own")
+    kept = firsts.withColumn("stays", F.lit(True))
+    marked = lines.select("row", "doc", "hash", "line", "n").join(kept, ["doc", "hash", "line"], "left").join(copies, ["doc", "hash"], "left")
+    stays = F.coalesce("stays", F.lit(False)) & F.coalesce(F.col("row") == F.col("own"), F.lit(True)) | F.col("doc").isNull()
+    gone = F.collect_list(F.when((F.col("line") >= 0) & ~stays, F.col("line")))
+    return marked.groupBy("row").agg(F.first("doc").alias("doc"), F.max(F.when(F.col("line") < 0, F.col("n"))).cast("long").alias("n_lines"), F.array_sort(gone).alias("removed"))
 
 
 def summary(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0): a row for each row of ``docs``."""
-    found = duplicates(docs, scratch, text, key, percent).where("removed")
-    lists = found.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    count = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0)
-    return (
-        docs.select(F.col(key).alias("doc_id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
-        .join(lists, F.col("doc_id").cast("long") == F.col("doc"), "left")
-        .select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-    )
+    source = _source(docs, text, key).withColumn("row", F.monotonically_increasing_id())
+    return _removed(source, scratch, percent).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def clean(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; other columns as they are."""
-    found = duplicates(docs, scratch, text, key, percent).where("removed")
-    lists = found.groupBy("doc").agg(F.collect_set("line").alias("__removed"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__removed", i)), "\n")
-    joined = docs.join(lists, F.col(key).cast("long") == F.col("doc"), "left")
-    return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)
+    kept = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")), "rows")
+    source = kept.select("row", F.col("own")[key].cast("long").alias("doc"), F.col("own")[text].cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    lists = _removed(source, scratch, percent).where(F.size("removed") > 0).select("row", "removed")
+    left = F.array_join(F.filter(F.split(F.col("own")[text], "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    joined = kept.join(lists, "row", "left")
+    columns = [F.when(F.col("removed").isNull(), F.col("own")[c]).otherwise(left).alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns)

@@ -226,7 +226,23 @@ def test_ogg_crc_and_damage():
 # ---------------------------------------------------------------- 5 lines
 
 
-def test_lines_against_brute_force(spark):
+def brute_lines(rows, percent=80):
+    """(id, text) rows to the removed line numbers of each; rows of one id follow by their hash, as the operator has it."""
+    seen, out = [], {}
+    for i, _ in sorted(((i, (doc, h)) for i, (doc, _, h) in enumerate(rows) if doc is not None), key=lambda x: (x[1], x[0])):
+        doc, text, h = rows[i]
+        gone = []
+        for n, line in enumerate(text.split("\n") if text else []):
+            own = {w for w in re.split(r"[ \t\r\f\x0b]+", line.lower()) if w}
+            if own:
+                if any(len(own & s) * 100 >= percent * len(own | s) for s in seen):
+                    gone.append(n)
+                seen.append(own)
+        out[i] = gone
+    return [out.get(i, []) for i in range(len(rows))]
+
+
+def line_texts():
     base = [sentence(i, 12 + i % 9) for i in range(40)]
     texts = []
     for i in range(60):
@@ -234,23 +250,43 @@ def test_lines_against_brute_force(spark):
         own = []
         for k in rng.integers(40, size=4):
             words = base[k].split()
-            words[rng.integers(len(words))] = f"edit{rng.integers(3)}"
+            for _ in range(rng.integers(1, 4)):
+                words[rng.integers(len(words))] = f"edit{rng.integers(3)}"
             own.append(" ".join(words))
         texts.append("\n".join([*own, "", "the footer"]))
-    texts += ODD
-    got = {r["doc_id"]: r for r in lines.summary(frame(spark, texts), Scratch(spark, "t")).collect()}
-    seen = []
-    for i, text in enumerate(texts):
-        gone = []
-        for n, line in enumerate(text.split("\n") if text else []):
-            own = {w for w in re.split(r"[ \t\r\f\x0b]+", line.lower()) if w}
-            if own:
-                if any(len(own & s) * 100 >= 80 * len(own | s) for s in seen):
-                    gone.append(n)
-                seen.append(own)
-        assert got[i]["removed"] == gone and got[i]["n_removed"] == len(gone), i
-    cleaned = {r["doc_id"]: r["text"] for r in lines.clean(frame(spark, texts), Scratch(spark, "t")).collect()}
-    assert all((cleaned[i] or "").count("\n") + bool(texts[i]) == got[i]["n_lines"] - got[i]["n_removed"] or got[i]["n_lines"] == got[i]["n_removed"] for i in range(len(texts)) if texts[i])
+    return texts + ODD + ["a\n\na\n", "\n", "Ä b c d e\nä B C D E f"]
+
+
+@pytest.mark.parametrize("hot,small", [(50_000, 256), (3, 4), (1, 2)])
+def test_lines_against_brute_force(spark, monkeypatch, hot, small):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "SMALL", small)
+    texts = line_texts()
+    ids = [i // 2 if i % 3 else i for i in range(len(texts))]  # ids that repeat
+    ids[5] = ids[17] = None
+    rows = [*zip(ids, texts, strict=True), (4, texts[2]), (4, texts[2]), (1000, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for c in ("doc", "row", "hash", "line", "removed"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = defaultdict(list)
+    for (doc, text), gone in zip(rows, brute_lines([(d, t, hashes[t]) for d, t in rows]), strict=True):
+        want[doc, text].append(gone)
+    got = defaultdict(list)
+    kept = Scratch(spark, "t")
+    for r in lines.summary(docs, kept).collect():
+        got[r["doc_id"], r["n_lines"]].append(r["removed"])
+    by_size = defaultdict(list)
+    for (doc, text), gone in want.items():
+        by_size[doc, len(text.split("\n")) if text else 0] += gone
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_size.items()}
+    cleaned = lines.clean(docs, Scratch(spark, "t"))
+    assert cleaned.columns == docs.columns
+    expect = sorted((str(doc), "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone) if text else str(text)) for (doc, text), all_ in want.items() for gone in all_)
+    assert sorted((str(r["doc_id"]), str(r["text"]) if not r["text"] else r["text"]) for r in cleaned.collect()) == expect
+
+
+def test_lines_of_an_empty_table(spark):
     assert lines.summary(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
