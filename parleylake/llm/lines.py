@@ -10,8 +10,9 @@ filter (what is left behind the shared word in both must still reach the overlap
 set only flip at most so many bits), and are verified on whole sets of 64-bit word hashes.
 
 Of each class the earliest line that passes the filters is verified first; that settles most copies, so a large group of near
-copies costs a pair a member. Only classes that it does not settle and that met others have all their pairs
-verified. No candidate is dropped. Words with more than HOT occurrences have their postings dealt to as many tasks as
+copies costs a pair a member. Classes that it does not settle have the other lines verified that were listed, LISTED
+at most under a word; those of longer lists that are still open are probed again and have all their pairs verified. No
+candidate is dropped. Words with more than HOT occurrences have their postings dealt to as many tasks as
 that needs, each against all earlier ones.
 
 Defined results: blank lines are kept; null and empty texts have no lines. Rows that repeat an id are told apart: they
@@ -36,6 +37,8 @@ STEPS, ONCE = 8, 8
 HOT = 50_000
 #: Runs of a shared word up to which all its pairs are laid out at once.
 SMALL = 256
+#: Earlier lines that a word gives a line at first.
+LISTED = 16
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -243,7 +246,7 @@ def _near(x: tuple, y: tuple, percent: int) -> np.ndarray:
 
 
 class _Found:
-    """For later lines: the earliest line that passes the filters, and whether others do; or all of them."""
+    """For later lines: the earliest ones that pass the filters, and whether there are more; or all of them."""
 
     def __init__(self, table: pa.Table, percent: int, wanted: np.ndarray | None):
         self.table, self.percent, self.wanted = table, percent, wanted
@@ -274,18 +277,21 @@ class _Found:
         if self.wanted is None:
             order = np.lexsort((i, j))
             i, j = i[order], j[order]
-            first = np.concatenate([[True], j[1:] != j[:-1]])
-            more = np.diff(np.concatenate([np.flatnonzero(first), [len(j)]])) > 1
-            i, j = i[first], j[first]
+            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])), [len(j)]])
+            size = np.diff(edges)
+            nth, more = np.arange(len(j)) - np.repeat(edges[:-1], size), np.repeat(size > LISTED, size)
+            i, j, more = i[nth < LISTED], j[nth < LISTED], more[nth < LISTED]
         columns = [self.table[c].combine_chunks().take(pa.array(k)) for k in (j, i) for c in ("doc", "hash", "line")]
-        return pa.RecordBatch.from_arrays([*columns, self.table["key"].combine_chunks().take(pa.array(j)), pa.array(more)], names=[c.split()[0] for c in PAIRS.split(", ")])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(more)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
 
-PAIRS = "doc long, hash long, line int, doc2 long, hash2 long, line2 int, key long, more boolean"
+LINE = ["doc", "hash", "line"]
+PAIR = [*LINE, *(f"{c}2" for c in LINE)]
+PAIRS = "doc long, hash long, line int, doc2 long, hash2 long, line2 int, more boolean"
 
 
 def _pairs(postings: DataFrame, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """Pairs (a line, an earlier one) that pass the filters under a shared word: the earliest and whether there are more, or all for the lines that ``wanted`` may hold."""
+    """Pairs (a line, an earlier one) that pass the filters under a shared word: LISTED of a line and whether there are more, or all for the lines that ``wanted`` may hold."""
     shared = postings.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
     ordered = postings.repartition(_tasks(postings), "key").sortWithinPartitions("key", "index_only", "doc", "hash", "line")
 
@@ -317,7 +323,7 @@ def _pairs(postings: DataFrame, percent: int, wanted: np.ndarray | None = None)
         probing = order[(found.role[order] & PROBE != 0) & ((order < split) | whole)]
         for start in range(0, len(first), 512):
             block = first[start : start + 512]
-            open_ = probing[(hits[probing] < 2) | (shared is not None)]
+            open_ = probing[(hits[probing] <= LISTED) | (shared is not None)]
             open_ = open_[where[open_] > where[block[0]]]
             for some in np.array_split(open_, max(1, len(open_) // 2048)):
                 i, j = np.repeat(block, len(some)), np.tile(some, len(block))
@@ -410,12 +416,16 @@ def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(source.where("doc is not null and text is not null").select("doc", "hash", "text"), work, "doc long, hash long, line int, words binary")
 
 
-def _verified(pairs: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _all_sets(pairs: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
+    """Whole sets of all lines of the pairs."""
+    wanted = pairs.select(*LINE).unionByName(pairs.select(*(F.col(f"{c}2").alias(c) for c in LINE))).distinct()
+    return scratch.table(_sets(source, wanted).join(wanted, LINE, "left_semi"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(doc, hash, line) of the later lines of the pairs whose whole sets reach the threshold."""
-    wanted = pairs.select("doc", "hash", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("hash2").alias("hash"), F.col("line2").alias("line"))).distinct()
-    sets = scratch.table(_sets(source, wanted).join(wanted, ["doc", "hash", "line"], "left_semi"), "sets")
-    other = sets.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
-    both = pairs.join(sets, ["doc", "hash", "line"]).join(other, ["doc2", "hash2", "line2"])
+    other = sets.select(*(F.col(c).alias(f"{c}2") for c in LINE), F.col("words").alias("words2"))
+    both = pairs.join(sets, LINE).join(other, [f"{c}2" for c in LINE])
 
     def work(batches):
         for batch in batches:
@@ -439,12 +449,15 @@ def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[
     named = lines.where("line >= 0 and doc is not null")
     first = F.min(F.struct("doc", "hash", "line", "n", "parity", "rare")).alias("c")
     classes = scratch.table(named.groupBy("h1", "h2").agg(first).select("c.*"), "classes")
-    met = _pairs(_postings(classes.where(F.size("rare") > 0), ranks, bits), percent)
-    earliest = F.min(F.struct("doc2", "hash2", "line2")).alias("e")
-    varied = (F.max("more") | (F.min(F.struct("doc2", "hash2", "line2")) < F.max(F.struct("doc2", "hash2", "line2")))).alias("more")
-    pairs = scratch.table(met.groupBy("doc", "hash", "line").agg(earliest, varied).select("doc", "hash", "line", "e.*", "more"), "pairs")
-    settled = _verified(pairs, source, scratch, percent)
-    open_ = scratch.table(pairs.where("more").select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti"), "open")
+    met = scratch.table(_pairs(_postings(classes.where(F.size("rare") > 0), ranks, bits), percent), "met")
+    sets = _all_sets(met, source, scratch)
+    other = F.struct(*(f"{c}2" for c in LINE))
+    pairs = scratch.table(met.groupBy(*LINE).agg(F.min(other).alias("e"), (F.min(other) < F.max(other)).alias("others"), F.max("more").alias("more")).select(*LINE, "e.*", "others", "more"), "pairs")
+    settled = _verified(pairs, sets, scratch, percent)
+    left = scratch.table(pairs.where("others").join(settled, LINE, "left_anti"), "left")
+    rest = met.drop("more").join(left.select(*LINE), LINE, "left_semi").distinct().join(left, PAIR, "left_anti")
+    settled = settled.unionByName(_verified(rest, sets, scratch, percent))
+    open_ = scratch.table(left.where("more").select(*LINE).join(settled, LINE, "left_anti"), "open")
     if open_.limit(1).count():
         # all pairs of what is open: postings under its words only
         asked = classes.join(open_, ["doc", "hash", "line"], "left_semi").select(F.explode("rare").alias("word")).where("word <> 0")
@@ -461,8 +474,8 @@ def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[
 
         some = map_arrow(classes.where(F.size("rare") > 0), kept, "doc long, hash long, line int, n int, parity long, rare array<long>")
         every = _pairs(_postings(some, ranks, bits), percent, bit_filter(open_, _identity, ["doc", "hash", "line"]))
-        every = every.drop("key", "more").join(open_, ["doc", "hash", "line"], "left_semi").distinct()
-        settled = settled.unionByName(_verified(scratch.table(every, "pairs"), source, scratch, percent))
+        every = scratch.table(every.drop("more").join(open_, LINE, "left_semi").distinct(), "pairs")
+        settled = settled.unionByName(_verified(every, _all_sets(every, source, scratch), scratch, percent))
     return lines, classes.select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti")
 
 
