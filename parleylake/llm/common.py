@@ -19,7 +19,7 @@ from ..session import ship
 from .hashing import mix
 
 #: Bytes of text that a Python kernel holds at a time; a longer text is handled alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,52 +1,54 @@
 """N-gram Jaccard join with signature trees.
 
 Documents are sets of word shingles. Equal sets are one class from the start. Sets of Jaccard similarity
-t or more differ in at most d shingles, d from their sizes, so of more than d parts of the hash space one
-holds the same shingles of both: classes meet in groups of one equal part. Parts are cut by size range
-(see ``Parts``), need no counts over the corpus, and hold several shingles, so a group has near
-copies in it and hardly anything else, whatever the size of the corpus. Inside a group
-a signature tree is joined with itself: nodes hold the OR of their members' token bitmaps, their range
+t or more differ in at most d shingles, d from their sizes, so of more than d parts of the hash space some
+hold the same shingles of both: classes meet in groups of one equal part. Parts are cut by size range
+(see ``Parts``), need no counts over the corpus, and hold a shingle at least, so a group has sets that share all of a part,
+whatever the size of the corpus. Sets with too many empty parts post a second cut besides, and those that have them there too the
+first of their shingles by hash, as a prefix filter asks; an empty part is never posted.
+
+Inside a group a signature tree is joined with itself: nodes hold the OR of their members' token bitmaps, their range
 of set sizes, and the range of their components; the dual traversal drops a pair of nodes whose largest
 possible overlap is less than what their smallest sizes need, or whose members are linked already.
-What is left is verified on the whole sets.
+What is left is verified on the whole sets of 64-bit hashes. All groups of a run of rows are one forest, traversed level by level.
 
 Groups are range-partitioned by (part, component, size), so one of any size is spread over tasks as
-nodes of at most ``NODE`` members, and nodes of a spread group are joined pair by pair after the same
+subtrees of at most ``NODE`` members, and the roots of a spread group are joined pair by pair after the same
 pruning. Cheap chains along each group link most copies before that; linked members are never paired
 again, so a large group of near copies costs a few pairs a member, not all pairs. No link is lost:
 every pair that shares a group and is not linked by then is bounded or verified.
 
 Defined results: texts without a word have an empty set, link with nothing and are their own
 component; a text of fewer words than a shingle has its whole sequence as one; rows of a null id get
-a null component. Rows that repeat an id share a component.
+a null component. Rows that repeat an id are one document: each has its own set, and they share a component with
+all that any of them links with.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
-from math import exp, factorial, sqrt
+from math import erfc, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, ship, slices
+from .common import Scratch, bit_filter, map_arrow, passes, ship, slices
 from .components import components
-from .hashing import SPACED, M2, mix, shingles, words
+from .hashing import M2, SPACED, mix, shingles, spans, words
 
 #: Bits of a group's key. Parts that collide only add candidates.
 KEY_BITS = 48
-#: The fewest shingles that a part is posted with, where the sizes allow it.
-FULL = 4
+#: The fewest shingles that count for a part, where the sizes allow it; and the share of sets that may have too few such parts.
+FULL, WEAK = 4, 0.03
 #: Bits of a class's token bitmap; a smaller one leaves many more pairs below the threshold.
 BITMAP = 2048
-NODE = 512
+NODE = 1024
 FANOUT = 8
-#: Bits of the filter that picks the texts to verify; with more classes it lets more through, never fewer.
-FILTER_BITS = 25
 CHAIN = (1, 2, 4, 8, 16)
 
 
@@ -82,9 +84,9 @@ class Parts:
     """How the hash space is cut for pairs whose smaller set is of one size range.
 
     The sets of such a pair differ in at most ``differ`` shingles, so of ``count`` parts at least
-    ``count - differ`` are equal in both. Parts of fewer than ``full`` shingles say little; a set that has
-    at most ``spare = count - differ - 1`` of those posts the others only, any other set posts all. Of two sets that link,
-    one with no more than ``spare`` shares a full part with the other; two with more share a part of any kind.
+    ``count - differ`` are equal in both. A set with at most ``spare = count - differ - 1`` parts of fewer than ``full`` shingles
+    has one of the others among them, so it meets any set that it links with under a full part. A weak set, with more of those,
+    meets at least the sets that are not weak, which post their full parts, as it does; weak ones meet by a second cut.
     """
 
     count: int
@@ -98,23 +100,37 @@ class Parts:
         """For a smaller set of ``low`` to ``high`` shingles."""
         largest = high * 100 // percent
         differ = (100 - percent) * (high + largest) // (100 + percent)
+
+        def weak(count: int, full: int) -> float:
+            """The share of sets of ``low`` shingles with too many parts of fewer than ``full``."""
+            each, spare = low / count, count - differ - 1
+            mean = count * sum(exp(-each) * each**k / factorial(k) for k in range(full))
+            if mean > 30:
+                return 0.5 * erfc((spare + 0.5 - mean) / sqrt(2 * mean))
+            term = total = exp(-mean)
+            for k in range(1, min(spare, 200) + 1):
+                term *= mean / k
+                total += term
+            return 1.0 - total
+
+        step = 1 + differ // 50
+        most = differ + 3 + (differ + 1) // 3
         for full in range(FULL, 0, -1):
-            for count in range(differ + 1, differ + 3 + (differ + 1) // 6):
-                each = low / count
-                weak = count * sum(exp(-each) * each**k / factorial(k) for k in range(full))
-                if weak + 3 * sqrt(weak) <= count - differ - 1 + 0.05:
+            for count in range(differ + 1, differ + 3 + (differ + 1) // 6 if full > 1 else most, step):
+                if weak(count, full) <= WEAK:
                     return Parts(count, count - differ - 1, full, largest)
-        return Parts(differ + 1, 0, 1, largest)
+        count = min(range(differ + 1, most, step), key=lambda c: weak(c, 1))
+        return Parts(count, count - differ - 1, 1, largest)
 
-    def keys(self, own: np.ndarray, sums: np.ndarray, range_id: int) -> np.ndarray:
-        """Keys of a sorted set's parts; ``sums`` are the running sums of its mixed hashes, from 0."""
+    def keys(self, own: np.ndarray, sums: np.ndarray, name: int) -> tuple[np.ndarray, bool]:
+        """Keys of a sorted set's full parts, and whether it is weak; ``sums`` are the running sums of its mixed hashes, from 0."""
         step = (1 << 64) // self.count
         edges = np.searchsorted(own, np.arange(1, self.count, dtype=np.uint64) * np.uint64(step))
         edges = np.concatenate([[0], edges, [len(own)]])
         part = np.arange(self.count, dtype=np.uint64)
-        keys = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(part + np.uint64(range_id << 32)))
-        weak = np.diff(edges) < self.full
-        return keys[~weak] if int(weak.sum()) <= self.spare else keys
+        keys = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(part + np.uint64(name << 32)))
+        some = np.diff(edges) >= self.full
+        return keys[some], self.count - int(some.sum()) > self.spare
 
 
 def part_keys(own: np.ndarray, percent: int) -> np.ndarray:
@@ -123,11 +139,21 @@ def part_keys(own: np.ndarray, percent: int) -> np.ndarray:
     borders = size_ranges(percent, 1 << n.bit_length())
     at = bisect_right(borders, n) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64)])
-    out = []
+    out, again = [np.zeros(0, np.uint64)], None
     for k in range(max(at - 1, 0), at + 1):  # as the larger set of a pair, and as the smaller
         parts = Parts.of(borders[k], borders[k + 1] - 1, percent)
-        if n <= parts.largest:
-            out.append(parts.keys(own, sums, k))
+        if n > parts.largest:
+            continue
+        keys, weak = parts.keys(own, sums, 2 * k)
+        out.append(keys)
+        if weak:
+            if again is None:  # the same set by other hashes
+                other = np.sort(mix(own ^ M2))
+                again = other, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(other), dtype=np.uint64)])
+            keys, weak = parts.keys(*again, 2 * k + 1)
+            out.append(keys)
+        if weak:
+            out.append(mix(own[: n - -(-n * percent // 100) + 1] ^ np.uint64((k << 32) + 1)))
     return (np.concatenate(out) >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
@@ -189,23 +215,32 @@ def _shared_groups(described: DataFrame, classes: DataFrame, tasks: int) -> Data
     def work(batches):
         first, tail, shared_tail = True, None, False
         for table in _whole_runs(batches, "key"):
-            if tail is not None and shared_tail:
+            keys = table["key"].to_numpy()
+            goes_on = tail is not None and tail["key"][0].as_py() == keys[0]  # a run longer than a table
+            if tail is not None and (shared_tail or goes_on):
                 yield from tail.to_batches()
-            size = np.diff(_runs(table["key"].to_numpy()))
+            size = np.diff(_runs(keys))
             kept = size > 1
-            kept[0] |= first
+            kept[0] |= first or goes_on
             first = False
             tail, shared_tail = table.slice(table.num_rows - int(size[-1])), bool(kept[-1])
             yield from table.slice(0, table.num_rows - int(size[-1])).filter(pa.array(np.repeat(kept[:-1], size[:-1]))).to_batches()
         if tail is not None:
             yield from tail.to_batches()
 
-    return map_arrow(ordered, work, "key long, rep long").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep").select("key", "rep", "n")
+    return map_arrow(ordered, work, "key long, rep long").join(classes.select("rep", F.col("n_shingles").alias("n")).distinct(), "rep").select("key", "rep", "n")
 
 
 PAIRS = "a long, b long"
 
 
+def _different(groups: DataFrame) -> DataFrame:
+    """Of groups of the same members one; those of a single member go."""
+    one, two = F.bit_xor(F.xxhash64("rep", "n")).alias("h1"), F.bit_xor(F.xxhash64("n", F.lit(1), "rep")).alias("h2")
+    members = groups.groupBy("key").agg(one, two, F.count("*").alias("k")).where("k > 1")
+    return groups.join(members.groupBy("h1", "h2", "k").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _fits(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
 
@@ -236,55 +271,22 @@ def _chains(groups: DataFrame, percent: int, tasks: int) -> DataFrame:
     return map_arrow(ordered, work, PAIRS).distinct()
 
 
-def _filter_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of the filter's three places of each id."""
-    keys = ids.view(np.uint64)
-    places = np.concatenate([mix(keys ^ np.uint64(c)) & np.uint64((1 << FILTER_BITS) - 1) for c in (1, 2, 3)])
-    return (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63))
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of 2 ** FILTER_BITS bits with the ids' places; its size does not depend on how many there are."""
-
-    def work(batches):
-        total = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-        for batch in batches:
-            np.bitwise_or.at(total, *_filter_words(batch.column("id").to_numpy()))
-        word = np.flatnonzero(total)
-        if len(word):
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(total[word].view(np.int64))], names=["word", "bits"])
-
-    found = map_arrow(ids, work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def _wanted_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, n, shingles): whole sets, 5 bytes a shingle, of the texts whose ids pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+    """(rep, n, shingles): whole sets of the texts whose ids pass a filter of ``ids``."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, lambda t: t["id"].to_numpy(), ["id"]))
 
     def work(batches):
         table = shared.value
         for batch in batches:
             keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            word, bit = _filter_words(np.ascontiguousarray(keys))
-            there = (table[word] & bit != 0).reshape(3, -1).all(axis=0)
-            wanted = batch.filter(pa.array(there))
+            wanted = batch.filter(pa.array(passes(table, keys)))
             for part in slices(wanted, "text") if wanted.num_rows else ():
                 own = sets(part.column("text"), width)
-                blobs = [np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for s in own]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["rep", "n", "shingles"])
 
     return map_arrow(docs.where("doc_id is not null"), work, "rep long, n long, shingles binary")
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
-
-
 def _overlap_bound(bits1: np.ndarray, n1: np.ndarray, bits2: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """The most shingles that two sets can share: what has no bit in the other is not shared."""
     return np.minimum(n1 - np.bitwise_count(bits1 & ~bits2).sum(axis=1), n2 - np.bitwise_count(bits2 & ~bits1).sum(axis=1))
@@ -315,15 +317,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     joined = pairs.join(left, "a").join(right, "b")
 
     def work(batches):
-        kept_raw, kept = None, None
         for batch in batches:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != kept_raw:
-                    kept_raw, kept = x, _unpack(x)
-                other = _unpack(y)
-                both = np.concatenate([kept, other])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(common * 100 >= percent * (len(both) - common))
@@ -333,146 +330,148 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     return map_arrow(joined.select("a", "b", "sa", "sb"), work, PAIRS).distinct()
 
 
-class Tree:
-    """A signature tree over members sorted by (component, size): OR bitmaps, size ranges, component ranges by level."""
+class Forest:
+    """Signature trees of groups over members sorted by (component, size): OR bitmaps, and ranges of sizes and components, by level.
+
+    ``edges`` are where the groups begin and the last one ends. Every group has a root on the top level.
+    """
 
-    def __init__(self, rep: np.ndarray, n: np.ndarray, component: np.ndarray, bitmap: np.ndarray):
-        self.rep, self.n, self.component, self.bitmap = rep, n, component, bitmap
+    def __init__(self, rep: np.ndarray, n: np.ndarray, component: np.ndarray, bitmap: np.ndarray, edges: np.ndarray):
+        self.rep, self.roots = rep, np.arange(len(edges) - 1)
         excess = n - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
         self.levels = [(bitmap, n, n, component, component, excess)]
-        while len(self.levels[-1][0]) > 1:
-            bits, low, high, first, last, over = self.levels[-1]
-            cuts = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts), np.maximum.reduceat(over, cuts)))
-
-    def pairs(self, other: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members of both trees that may reach the threshold and are of different components."""
-        depth = max(len(self.levels), len(other.levels)) - 1
-        x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for level in range(depth, -1, -1):
-            mine, theirs = self.levels[min(level, len(self.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
-            if level < depth:
-                x, y = self._open(x, y, mine, level < len(self.levels) - 1, theirs, level < len(other.levels) - 1)
-            keep = self._possible(mine, x, theirs, y, percent, self is other)
+        self.children: list[np.ndarray] = []  # of each level but the lowest: where the nodes' children begin, and end
+        size = np.diff(edges)
+        while (size > 1).any():
+            above = -(-size // FANOUT)
+            first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), above)
+            cuts = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(above) - above, above)) * FANOUT
+            bits, low, high, one, two, over = self.levels[-1]
+            self.levels.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(one, cuts), np.maximum.reduceat(two, cuts), np.maximum.reduceat(over, cuts)))
+            self.children.append(np.append(cuts, len(bits)))
+            size = above
+
+    def joined(self, percent: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of members under pairs of roots x, y that may reach the threshold and are of different components."""
+        for level in range(len(self.levels) - 1, -1, -1):
+            keep = self._possible(self.levels[level], x, y, percent)
             x, y = x[keep], y[keep]
+            if level:
+                begin = self.children[level - 1]
+                width = begin[y + 1] - begin[y]
+                inner, owner = spans(begin[x], begin[x + 1])
+                each = width[owner]
+                y, _ = spans(begin[y][owner], begin[y][owner] + each)
+                x = np.repeat(inner, each)
+                ordered = x <= y  # a node with itself gives each pair of children once
+                x, y = x[ordered], y[ordered]
         return x, y
 
-    @staticmethod
-    def _open(x, y, mine, split_x, theirs, split_y):
-        fx, fy = FANOUT if split_x else 1, FANOUT if split_y else 1
-        steps_x, steps_y = np.repeat(np.arange(fx), fy), np.tile(np.arange(fy), fx)
-        x, y = (x[:, None] * fx + steps_x).ravel(), (y[:, None] * fy + steps_y).ravel()
-        there = (x < len(mine[0])) & (y < len(theirs[0]))
-        return x[there], y[there]
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """``joined`` of each tree with itself."""
+        return self.joined(percent, self.roots, self.roots)
 
     @staticmethod
-    def _possible(mine, x, theirs, y, percent, same):
-        bits1, low1, high1, first1, last1, over1 = mine
-        bits2, low2, high2, first2, last2, over2 = theirs
-        keep = (x <= y) if same else np.ones(len(x), bool)
+    def _possible(nodes: tuple, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        bits, low, high, first, last, over = nodes
         # some two members of different components, and sizes that can be near enough
-        keep &= ~((first1[x] == last1[x]) & (first2[y] == last2[y]) & (first1[x] == first2[y]))
-        keep &= (high1[x] * 100 >= percent * low2[y]) & (high2[y] * 100 >= percent * low1[x])
+        keep = ~((first[x] == last[x]) & (first[y] == last[y]) & (first[x] == first[y]))
+        keep &= (high[x] * 100 >= percent * low[y]) & (high[y] * 100 >= percent * low[x])
         at = np.flatnonzero(keep)
-        for start in range(0, len(at), 4096):
-            own = at[start : start + 4096]
+        for start in range(0, len(at), 8192):
+            own = at[start : start + 8192]
             a, b = x[own], y[own]
-            shared = np.bitwise_count(bits1[a] & bits2[b]).sum(axis=1).astype(np.int64) + np.minimum(over1[a], over2[b])
-            most = np.minimum(shared, np.minimum(high1[a], high2[b]))
+            # a member's shingles beyond the other side's bits are not shared
+            shared = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(over[a], over[b])
+            most = np.minimum(shared, np.minimum(high[a], high[b]))
             # overlap o of sets of n1 and n2 shingles reaches the threshold where o * (100 + percent) >= percent * (n1 + n2)
-            keep[own] = most * (100 + percent) >= percent * (low1[a] + low2[b])
+            keep[own] = most * (100 + percent) >= percent * (low[a] + low[b])
         return keep
 
 
-NODES = "key long, node long, size int, low long, high long, first long, last long, members binary"
+FOUND = "a long, b long, key long, node long, size int, low long, high long, first long, last long, members binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _emit(forest: Forest, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    pairs = np.sort(np.stack([forest.rep[x], forest.rep[y]], axis=1), axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _nodes(groups: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
-    """Bottom nodes of the groups' trees, where a group still has members of different components."""
+def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs (a, b) that the traversal of each subtree leaves; and the subtrees of groups that may be spread over more than one, with their members."""
     labelled = groups.join(labels, groups["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", "bitmap"), "rep")
+    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("n_shingles").alias("n"), "bitmap"), ["rep", "n"])
     ordered = left.repartitionByRange(tasks, "key", "component", "n", "rep").sortWithinPartitions("key", "component", "n", "rep").withColumn("part", F.spark_partition_id())
 
     def work(batches):
-        count = 0
+        count, opening, held = 0, None, []
         for table in _whole_runs(batches, "key"):
             keys = table["key"].to_numpy()
             rep, n, component, part = (table[c].to_numpy() for c in ("rep", "n", "component", "part"))
-            bitmap = table["bitmap"].combine_chunks()
+            bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
             edges = _runs(keys)
+            cuts = np.unique(np.concatenate([edges, *(np.arange(a, b, NODE) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False) if b - a > NODE)])).astype(np.int64)
+            forest = Forest(rep, n, component, bits, cuts)
+            pairs = _emit(forest, *forest.pairs(percent))
+            if len(pairs):
+                nothing = [pa.nulls(len(pairs), t) for t in _KINDS[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nothing], names=_NAMES)
             rows = []
-            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-                for start in range(a, b, NODE):
-                    end = min(start + NODE, b)
-                    members = rep[start:end].tobytes() + n[start:end].tobytes() + component[start:end].tobytes() + b"".join(bitmap[start:end].to_pylist())
-                    rows.append((int(keys[a]), int(part[0]) << 32 | count, end - start, int(n[start:end].min()), int(n[start:end].max()), int(component[start:end].min()), int(component[start:end].max()), members))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                # the first and the last group of a task may go on in another; so may a run longer than a table
+                whole = keys[a] != keys[0] and keys[a] != keys[-1] and (a == 0 or keys[a - 1] != keys[a]) and keys[b] != keys[a]
+                if not whole:
+                    members = rep[a:b].tobytes() + n[a:b].tobytes() + component[a:b].tobytes() + bits[a:b].tobytes()
+                    rows.append((None, None, int(keys[a]), int(part[0]) << 32 | count, b - a, int(n[a:b].min()), int(n[a:b].max()), int(component[a:b].min()), int(component[a:b].max()), members))
                     count += 1
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
-
-    return scratch.table(map_arrow(ordered, work, NODES), "nodes")
-
-
-def _tree(size: int, raw: bytes) -> Tree:
-    values = np.frombuffer(raw, np.int64, 3 * size)
-    bits = np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, BITMAP // 64)
-    return Tree(values[:size], values[size : 2 * size], values[2 * size :], bits)
-
-
-def _small(size: int, raws: list[bytes], percent: int) -> pa.RecordBatch:
-    """Pairs of members inside nodes of one small size, by the bounds that the tree uses at its bottom."""
-    values = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)
-    rep, n, component = (np.ascontiguousarray(values[:, 8 * size * k : 8 * size * (k + 1)]).view(np.int64) for k in range(3))
-    bits = np.ascontiguousarray(values[:, 24 * size :]).view(np.uint64).reshape(len(raws), size, BITMAP // 64)
-    i, j = np.triu_indices(size, 1)
-    node, pair = np.nonzero((component[:, i] != component[:, j]) & _fits(n[:, i], n[:, j], percent))
-    x, y = i[pair], j[pair]
-    keep = np.zeros(len(node), bool)
-    for start in range(0, len(node), 65536):
-        own = slice(start, start + 65536)
-        k, a, b = node[own], x[own], y[own]
-        keep[own] = _overlap_bound(bits[k, a], n[k, a], bits[k, b], n[k, b]) * (100 + percent) >= percent * (n[k, a] + n[k, b])
-    pairs = np.unique(np.sort(np.stack([rep[node, x][keep], rep[node, y][keep]], axis=1), axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the dual traversal leaves, in each node and between the nodes of a spread group."""
-
-    def emit(one: Tree, two: Tree):
-        x, y = one.pairs(two, percent)
-        pairs = np.sort(np.stack([one.rep[x], two.rep[y]], axis=1), axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def alone(batches):
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for size in np.unique(sizes).tolist():
-                raws = batch.column("members").filter(pa.array(sizes == size)).to_pylist()
-                if size <= 2 * FANOUT:  # a bottom node or two: all of one size at once
-                    yield _small(size, raws, percent)
-                else:
-                    for raw in raws:
-                        tree = _tree(size, raw)
-                        yield emit(tree, tree)
-
-    def between(batches):
+            # those of the table's last key wait for the next table; a task's first key may be spread, others if they have several subtrees
+            opening = int(keys[0]) if opening is None else opening
+            every, last = held + rows, int(keys[-1])
+            times = Counter(r[2] for r in every)
+            held = [r for r in every if r[2] == last]
+            sure = [r for r in every if r[2] != last and (r[2] == opening or times[r[2]] > 1)]
+            if sure:
+                yield _node_rows(sure)
+        if held:
+            yield _node_rows(held)
+
+    return map_arrow(ordered, work, FOUND)
+
+
+def _node_rows(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def _between(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of two subtrees of a spread group, after the same pruning of the roots."""
+
+    def members(size: int, raw: bytes) -> tuple:
+        values = np.frombuffer(raw, np.int64, 3 * size)
+        return values[:size], values[size : 2 * size], values[2 * size :], np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, BITMAP // 64)
+
+    def work(batches):
         for batch in batches:
             for s1, m1, s2, m2 in zip(batch.column("size").to_pylist(), batch.column("members"), batch.column("size2").to_pylist(), batch.column("members2"), strict=True):
-                yield emit(_tree(s1, m1.as_py()), _tree(s2, m2.as_py()))
+                both = [np.concatenate(c) for c in zip(members(s1, m1.as_py()), members(s2, m2.as_py()), strict=True)]
+                forest = Forest(*both, np.array([0, s1, s1 + s2]))
+                pairs = _emit(forest, *forest.joined(percent, np.zeros(1, np.int64), np.ones(1, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    inside = map_arrow(nodes.where("size > 1 and first <> last").select("size", "members"), alone, PAIRS)
     spread = nodes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     some = nodes.join(spread, "key", "left_semi")
     other = some.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "low", "high", "first", "last", "members")))
     linked = (F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))
     near = (F.col("high") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low") * percent)
     across = some.join(other, "key").where((F.col("node") < F.col("node2")) & near & ~linked)
-    return inside.unionByName(map_arrow(across.select("size", "members", "size2", "members2"), between, PAIRS)).distinct()
+    return map_arrow(across.select("size", "members", "size2", "members2"), work, PAIRS)
+
+
+def _candidates(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, tasks: int, scratch: Scratch) -> DataFrame:
+    found = scratch.table(_traversed(groups, labels, classes, percent, tasks), "traversed")
+    return found.where("a is not null").select("a", "b").unionByName(_between(found.where("a is null").drop("a", "b"), percent)).distinct()
 
 
 def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -> DataFrame:
@@ -486,13 +485,18 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = scratch.table(_describe(docs, width, percent), "described")
     first = scratch.table(described.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "first")
-    classes = described.where(F.length("bitmap") > 0).drop("parts").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bitmap").dropDuplicates(["rep"])
-    classes = scratch.table(classes, "classes")
-    groups = scratch.table(_shared_groups(described, classes, tasks), "groups")
+    classes = described.where(F.length("bitmap") > 0).drop("parts").join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", "d1", "d2", "n_shingles", "bitmap")
+    # an id that repeats may stand for several sets; each is there once
+    classes = scratch.table(classes.dropDuplicates(["rep", "d1", "d2"]).select("rep", "n_shingles", "bitmap"), "classes")
+    groups = scratch.table(_different(scratch.table(_shared_groups(described, classes, tasks), "shared")), "groups")
     links = scratch.table(_verify(_possible_pairs(_chains(groups, percent, tasks), classes, percent), docs, width, percent, scratch), "links")
+    # rows of one id are one document, whichever classes their sets are of
+    owned = described.select("doc_id", "n_shingles", "d1", "d2").join(first, ["d1", "d2"], "left")
+    several = described.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
+    same = owned.join(several, "doc_id", "left_semi").where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.table(links.unionByName(same), "links")
     labels = components(links, scratch)
-    more = scratch.table(_verify(_candidates(_nodes(groups, labels, classes, tasks, scratch), percent), docs, width, percent, scratch), "links")
+    more = scratch.table(_verify(_candidates(groups, labels, classes, percent, tasks, scratch), docs, width, percent, scratch), "links")
     labels = components(links.unionByName(more), scratch)
-    owned = described.select("doc_id", "n_shingles", "d1", "d2").join(first, ["d1", "d2"], "left")
     found = owned.join(labels, owned["rep"] == labels["node"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))

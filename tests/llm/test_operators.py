@@ -359,12 +359,48 @@ def test_signature_tree_loses_nothing():
         row[s % np.uint64(shingle_join.BITMAP)] = 1
     packed = np.packbits(bits, axis=1).view(np.uint64)
     n = np.array([len(s) for s in sets])
-    tree = shingle_join.Tree(np.arange(len(sets)), n, np.arange(len(sets)), packed)
-    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in tree.pairs(tree, 90)), strict=True)}
-    for i in range(len(sets)):
-        for j in range(i):
-            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j])):
-                assert (j, i) in found
+    for edges in ([0, len(sets)], [0, 1, 130, 131, len(sets)]):
+        forest = shingle_join.Forest(np.arange(len(sets)), n, np.arange(len(sets)), packed, np.array(edges))
+        got = [{tuple(sorted(p)) for p in zip(*(x.tolist() for x in how), strict=True)} for how in (forest.pairs(90), *([forest.joined(90, np.array([1]), np.array([3]))] if len(edges) > 2 else []))]
+        group = np.searchsorted(edges, np.arange(len(sets)), side="right")
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j])):
+                    assert group[i] != group[j] or (j, i) in got[0]
+                    assert (group[j], group[i]) != (2, 4) or (j, i) in got[1]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_groups_of_unrelated_sets_grow_in_proportion(percent):
+    rng, pairs = np.random.default_rng(9), []
+    for count in (2000, 4000, 8000):
+        keys = np.concatenate([shingle_join.part_keys(np.sort(rng.integers(0, 2**64, int(rng.integers(5, 80)), dtype=np.uint64)), percent) for _ in range(count)])
+        size = np.unique(keys, return_counts=True)[1]
+        pairs.append(int((size * (size - 1) // 2).sum()))
+    assert pairs[-1] <= 8  # no shared shingle, no shared group
+
+
+def test_shingle_join_of_repeated_and_null_ids(spark):
+    a, b, c = sentence(1, 60), sentence(2, 60), sentence(3, 60)
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (9, c), (9, c), (4, c + " tail"), (4, sentence(4, 60)), (12, sentence(4, 60)), (None, a), (None, None), (20, ""), (21, ""), (30, "two words"), (31, "Two  words")]
+    got = shingle_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t")).collect()
+    want = {1: 1, 5: 1, 7: 1, 9: 4, 4: 4, 12: 4, None: None, 20: 20, 21: 21, 30: 30, 31: 30}
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+    assert shingle_join.link(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_spread_groups_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "NODE", 4)
+    monkeypatch.setattr(shingle_join, "CHAIN", (1,))
+    words, texts = sentence(7, 80).split(), []
+    for i in range(60):
+        rng = np.random.default_rng(i)
+        own = list(words)
+        for at in rng.integers(len(own), size=3):
+            own[at] = f"edit{i}x{at}"
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.link(frame(spark, texts), Scratch(spark, "t"), 3, 80).collect()}
+    assert [got[i] for i in range(60)] == brute_components(texts, 3, 80)[1]
 
 
 def test_components(spark):
