@@ -4,9 +4,10 @@ Texts are words of letters and digits, lower case; shingles are ``WIDTH`` words,
 ln(1 + items / items that hold it). A window as long as an item, around any shingle that some item
 has, gets a 64-bit SimHash of its weighted shingles, each counted once. Fingerprints are cut into four 16-bit blocks: two
 that differ in at most RADIUS bits agree to RADIUS // 4 bits in one block, so a table of the items
-near each block value finds every item within the radius. What it finds is verified by the exact
+near each block value finds every item within the radius, whichever shingles it has. What it finds is verified by the exact
 weighted Jaccard similarity of the two shingle sets. (A window of similarity 0.8 shares most of the
-item's shingles, so none that could pass is left out by looking only around shared ones.)
+item's shingles, so none that could pass is left out by fingerprinting only around shared ones.) Long texts
+are taken SPAN words at a time, so what is held does not grow with a text's length or with how often a shingle recurs.
 
 Items come in blocks of ``ITEM_BLOCK``, each a pass over the documents, so what is held and sent is
 bounded whatever the benchmark's size.
@@ -33,7 +34,9 @@ from .hashing import ALNUM, shingles, words
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 19
-ITEM_BLOCK = 1024
+ITEM_BLOCK = 4096
+#: Window starts that are fingerprinted together.
+SPAN = 16384
 FILTER_BITS = 20
 
 
@@ -135,44 +138,61 @@ def _match(own: np.ndarray, at: np.ndarray, screen: Screen, similarity: float) -
     """(item place, similarity, first word) for one document's shingles ``own`` with places ``at`` in the item keys."""
     hits = np.flatnonzero(at >= 0)
     starts, owner = screen.holders
-    candidates = np.unique(np.concatenate([owner[starts[k] : starts[k + 1]] for k in np.unique(at[hits])]))
+    held = [owner[starts[k] : starts[k + 1]] for k in np.unique(at[hits])]
+    lengths = np.unique(screen.lengths[np.unique(np.concatenate(held))]).tolist()
     weight = np.where(at >= 0, screen.weights[at], screen.other)
-    low, high = max(0, int(hits[0]) - int(screen.lengths.max())), int(hits[-1]) + int(screen.lengths.max())
-    area = slice(low, min(high, len(own)))
-    sums = np.zeros((area.stop - low + 1, 64), np.float64)
-    signs = _signs(own[area], weight[area])
+    longest = lengths[-1] - WIDTH + 1
+    best: dict[int, tuple[float, int]] = {}
+    begin = max(0, int(hits[0]) - longest + 1)
+    while begin <= hits[-1]:
+        # the windows that begin here, and what they reach
+        area = slice(begin, min(begin + SPAN + longest, len(own)))
+        near = hits[(hits >= begin) & (hits < begin + SPAN + longest)]
+        if len(near):
+            _in_area(own[area], at[area], weight[area], near - begin, begin, len(own), lengths, screen, similarity, best)
+        later = hits[hits >= begin + SPAN]
+        begin = max(begin + SPAN, int(later[0]) - longest + 1) if len(later) else len(own)
+    return [(item, value, a) for item, (value, a) in sorted(best.items())]
+
+
+def _in_area(own, at, weight, hits, begin, total, lengths, screen, similarity, best) -> None:
+    """Windows that begin in the first SPAN places of an area and hold a shared shingle; the best of each item goes to ``best``."""
+    signs = _signs(own, weight)
+    sums = np.zeros((len(own) + 1, 64), np.float64)
     np.cumsum(signs, axis=0, out=sums[1:])
-    later, earlier = _repeats(own[area])
-    found = []
-    for length in np.unique(screen.lengths[candidates]).tolist():
-        items = candidates[screen.lengths[candidates] == length]
+    later, earlier = _repeats(own)
+    for length in lengths:
+        items = np.flatnonzero(screen.lengths == length)
         width = length - WIDTH + 1
-        last = len(own) - width  # a document shorter than the item is one window
-        first = np.unique(np.clip((hits[:, None] - np.arange(width)).ravel(), 0, max(last, 0)))
+        last = max(total - width, 0) - begin  # a document shorter than the item is one window
+        cover = np.zeros(len(own) + 1, np.int64)
+        np.add.at(cover, np.clip(hits - width + 1, 0, None), 1)
+        np.subtract.at(cover, hits + 1, 1)
+        first = np.flatnonzero(np.cumsum(cover) > 0)
+        first = np.unique(np.minimum(first[first < SPAN], last))
+        first = first[first >= 0]
+        if not len(first):
+            continue
         end = np.minimum(first + width, len(own))
-        begin = np.maximum(first, low)
-        inside = sums[np.minimum(end, area.stop) - low] - sums[begin - low]
+        inside = sums[end] - sums[first]
         close = later - earlier < width
         if close.any():  # a shingle counts once in a window: not at a place whose earlier one is in it too
             twice = np.zeros_like(sums)
             np.add.at(twice, np.maximum(later[close] - width + 1, 0), signs[later[close]])
             np.subtract.at(twice, earlier[close] + 1, signs[later[close]])
-            inside -= np.cumsum(twice, axis=0)[begin - low]
+            inside -= np.cumsum(twice, axis=0)[first]
         prints = _print(inside)
         windows, which = np.nonzero(screen.lookup(prints, items))
-        best: dict[int, tuple[float, int]] = {}
         for window, item in zip(windows.tolist(), items[which].tolist(), strict=True):
             a, b = int(first[window]), int(end[window])
             values, index = np.unique(own[a:b], return_index=True)
-            inside = at[a:b][index]
-            shared = np.isin(inside, screen.sets[item])
-            common = float(screen.weights[inside[shared]].sum())
+            places = at[a:b][index]
+            shared = np.isin(places, screen.sets[item])
+            common = float(screen.weights[places[shared]].sum())
             union = float(weight[a:b][index].sum()) + float(screen.weights[screen.sets[item]].sum()) - common
             value = common / union if union else 0.0
             if value >= similarity - 1e-12 and value > best.get(item, (0.0, 0))[0] + 1e-12:
-                best[item] = (value, a)
-        found += [(item, value, a) for item, (value, a) in best.items()]
-    return found
+                best[item] = (value, begin + a)
 
 
 MATCHES = "doc_id long, item_id long, similarity double, first_word long, n_words long"

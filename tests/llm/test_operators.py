@@ -427,6 +427,59 @@ def test_decontamination(spark):
     assert decontaminate.matches(frame(spark, texts), bench.where("false")).count() == 0
 
 
+def brute_windows(texts, items, similarity=0.8):
+    """(text, item) pairs with some window of the item's length whose weighted shingles are that similar; and the best similarity."""
+    cut = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = {n: grams(cut(t)) for n, t in enumerate(items)}
+    held = defaultdict(int)
+    for own in sets.values():
+        for g in own:
+            held[g] += 1
+    weight = lambda g: np.log1p(len(items) / held[g]) if g in held else np.log1p(len(items))
+    out = {}
+    for i, text in enumerate(texts):
+        words = cut(text)
+        for n, own in sets.items():
+            length = len(cut(items[n]))
+            for a in range(max(1, len(words) - length + 1)) if own else ():
+                window = grams(words[a : a + length])
+                if window & own:
+                    value = sum(map(weight, window & own)) / sum(map(weight, window | own))
+                    if value >= similarity:
+                        out[i, n] = max(out.get((i, n), 0.0), value)
+    return out
+
+
+def edited(text, seed, edits):
+    rng, words = np.random.default_rng(seed), text.split()
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(words))), rng.integers(3)
+        words[at : at + (kind != 1)] = [] if kind == 0 else [f"new{seed}x{at}"]
+    return " ".join(words)
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SPAN", 64)
+    items = [sentence(2000 + i, 12 + 3 * i) for i in range(30)] + [" ".join(["chorus one two three four"] * 8 + sentence(5, 20).split())]
+    items += [items[3], edited(items[20], 1, 2)]
+    texts = [f"{sentence(i, 40)} {edited(items[i % len(items)], i, i % 3)} {sentence(900 + i, 40)}" for i in range(120)]
+    texts += [items[-3], " ".join([items[2]] * 60), " ".join(items[9].split()[:-1])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(frame(spark, texts), bench).collect()}
+    want = brute_windows(texts, items)
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(got) >= 0.98 * len(want) > 60
+
+
+def test_decontamination_of_repeated_and_null_ids(spark):
+    item = sentence(1, 30)
+    docs = spark.createDataFrame([(1, item), (1, item), (1, sentence(2, 30)), (None, item), (None, None), (2, "")], "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("similarity", F.lit("clash"))
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (1, 1, None) for i in (7, 7, None)], key=str)
+
+
 # ---------------------------------------------------------------- 8 urls
 
 
