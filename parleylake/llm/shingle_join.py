@@ -49,7 +49,10 @@ FULL, WEAK = 4, 0.03
 BITMAP = 2048
 NODE = 1024
 FANOUT = 8
-CHAIN = (1, 2, 4, 8, 16)
+#: Steps of the chains along a group, and the groups of a member that chains run along.
+CHAIN, HOMES = (1, 2, 4), 6
+#: Pairs of members whose trees are traversed at a time.
+TOGETHER = 1 << 22
 
 
 def sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -247,7 +250,9 @@ def _fits(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 
 def _chains(groups: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs near each other along the groups, a few a member: cheap links, not all of them."""
-    ordered = groups.repartitionByRange(tasks, "key", "n", "rep").sortWithinPartitions("key", "n", "rep")
+    # near copies share most groups, and so those of their smallest keys
+    homes = groups.groupBy("rep", "n").agg(F.slice(F.array_sort(F.collect_set("key")), 1, HOMES).alias("keys")).select(F.explode("keys").alias("key"), "rep", "n")
+    ordered = homes.repartitionByRange(tasks, "key", "n", "rep").sortWithinPartitions("key", "n", "rep")
 
     def work(batches):
         seen = np.zeros((0, 2), np.int64)
@@ -414,9 +419,14 @@ def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent
             bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
             edges = _runs(keys)
             cuts = np.unique(np.concatenate([edges, *(np.arange(a, b, NODE) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False) if b - a > NODE)])).astype(np.int64)
-            forest = Forest(rep, n, component, bits, cuts)
-            pairs = _emit(forest, *forest.pairs(percent))
-            if len(pairs):
+            weight = np.cumsum(np.diff(cuts).astype(np.int64) ** 2)
+            edge = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(TOGETHER, int(weight[-1]) + TOGETHER, TOGETHER), side="right"), [len(cuts) - 1]]))
+            for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                a, b = int(cuts[x]), int(cuts[y])
+                forest = Forest(rep[a:b], n[a:b], component[a:b], bits[a:b], cuts[x : y + 1] - a)
+                pairs = _emit(forest, *forest.pairs(percent))
+                if not len(pairs):
+                    continue
                 nothing = [pa.nulls(len(pairs), t) for t in _KINDS[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nothing], names=_NAMES)
             rows = []

@@ -282,11 +282,15 @@ def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.n
     ids, labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
     terms, counts = np.concatenate([none, *(e[2] for e in examples)]), np.concatenate([none, *(e[3] for e in examples)])
     index = Index(keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, ids, labels, np.cumsum([0, *(len(e[2]) for e in examples)]), terms.astype(np.int32), counts.astype(np.int32), 0.0, 0.0, k=k)
-    return _finish(index)
+    _finish(index)
+    some = _calibration_places(index)
+    index.fits = _fits(*_votes(index, some), index.labels[some])
+    index.release()
+    return index
 
 
 def _finish(index: Index) -> Index:
-    """Examples without terms left out, the others put beside those like them; rates and calibration."""
+    """Examples without terms left out, the others put beside those like them; rates."""
     index.prior = _rate(index.labels.sum(), len(index.ids), 0.1)
     sizes = np.diff(index.cuts)
     blank = index.labels[sizes == 0]
@@ -299,25 +303,50 @@ def _finish(index: Index) -> Index:
         index.ids, index.labels, index.terms, index.counts = index.ids[order], index.labels[order], index.terms[places], index.counts[places]
         index.cuts = np.concatenate([[0], np.cumsum(sizes[some][order])])
         del places
-    _calibrate(index)
-    index.release()
     return index
 
 
-def _calibrate(index: Index) -> None:
-    """Logistic regressions of the label on the logit of the leave-one-out vote: of all, then of texts without and with chosen terms."""
+def _calibration_places(index: Index) -> np.ndarray:
+    """The examples whose leave-one-out votes calibrate; none where there are too few or all are of one class."""
     n = len(index.ids)
     if n < 20 or len(np.unique(index.labels)) < 2:
-        return
-    some = range(0, n, -(-n // MAX_CALIBRATION))
+        return np.zeros(0, np.int64)
+    return np.arange(0, n, -(-n // MAX_CALIBRATION))
+
+
+def _votes(index: Index, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leave-one-out votes of examples, and which of them have chosen terms."""
     index.prepare()
     own = [slice(index.cuts[i], index.cuts[i + 1]) for i in some]
-    votes = np.array([index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.weights[o], i) for i, o in zip(some, own, strict=True)])])
-    x, y = np.log(votes / (1 - votes)), index.labels[list(some)]
-    with_chosen = np.array([index.chosen[index.terms[o]].any() for o in own])
-    whole = _fit(x, y)
+    votes = [index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.weights[o], int(i)) for i, o in zip(some, own, strict=True)])]
+    return np.array(votes, float), np.array([index.chosen[index.terms[o]].any() for o in own], bool)
+
+
+def _fits(votes: np.ndarray, with_chosen: np.ndarray, labels: np.ndarray) -> tuple:
+    """Logistic regressions of the label on the logit of the vote, of texts without and with chosen terms; of all where a kind has too few."""
+    if not len(votes):
+        return (1.0, 0.0), (1.0, 0.0)
+    x = np.log(votes / (1 - votes))
+    whole = _fit(x, labels)
     groups = [with_chosen == g for g in (False, True)]
-    index.fits = tuple(_fit(x[g], y[g]) if g.sum() >= 20 and len(np.unique(y[g])) == 2 else whole for g in groups)
+    return tuple(_fit(x[g], labels[g]) if g.sum() >= 20 and len(np.unique(labels[g])) == 2 else whole for g in groups)
+
+
+def _calibrated_on(spark, shared, some: np.ndarray, labels: np.ndarray) -> tuple:
+    """``_fits`` of a broadcast index, its votes found on the executors."""
+    if not len(some):
+        return _fits(np.zeros(0), np.zeros(0, bool), labels)
+
+    def work(batches):
+        for batch in batches:
+            places = batch.column("id").to_numpy()
+            votes, with_chosen = _votes(shared.value, places)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(votes), pa.array(with_chosen)], names=["place", "vote", "chosen"])
+        shared.value.release()
+
+    step = int(some[1] - some[0])
+    found = map_arrow(spark.range(0, int(some[-1]) + 1, step, 4), work, "place long, vote double, chosen boolean").toArrow().sort_by("place")
+    return _fits(found["vote"].to_numpy(), found["chosen"].to_numpy(), labels[some])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
@@ -466,9 +495,12 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
     del places, counts
     _finish(index)
     shared = spark.sparkContext.broadcast(index)
+    fits = _calibrated_on(spark, shared, _calibration_places(index), index.labels)
+    del index
 
     def work(batches):
         index = shared.value
+        index.fits = fits
         known = Terms(index.keys, index.chosen)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
