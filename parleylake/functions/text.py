@@ -175,6 +175,21 @@ def reason_head(message: Column | str, length: int = 80) -> Column:
 
 
 def get_path(json_text: Column | str, path: str) -> Column:
-    """Value at a dotted path through a JSON text (``a.b.0``), null where it is missing."""
-    steps = "".join(f"[{p}]" if p.lstrip("-").isdigit() else f".{p}" for p in path.split("."))
-    return F.get_json_object(json_text, "$" + steps)
+    """Value at a dotted path through a JSON text (``a.b.0``, ``a.-1`` from the end), null where it is missing."""
+    steps = path.split(".")
+    value = F.col(json_text) if isinstance(json_text, str) else json_text
+    run: list[str] = []
+    for step in [*steps, None]:
+        backwards = step is not None and step.startswith("-") and step[1:].isdigit()
+        if step is not None and not backwards:
+            run.append(f"[{step}]" if step.isdigit() else f".{step}")
+            continue
+        if run:
+            value = F.get_json_object(value, "$" + "".join(run))
+            run = []
+        if backwards:
+            # counted from the end: elements stay JSON texts until the path ends
+            length = F.json_array_length(value)
+            place = F.concat(F.lit("$["), (length + int(step)).cast("string"), F.lit("]"))
+            value = F.when(length >= -int(step), F.call_function("get_json_object", value, place))
+    return value

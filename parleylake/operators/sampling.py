@@ -108,15 +108,32 @@ def exposure(steps: DataFrame, fractions: list[float], order: str = "step", toke
     return running.select("*", marks).where(F.col("run") >= F.col("fraction") * F.col("all")).groupBy("fraction").agg(F.min(order).alias(order))
 
 
-def pack(rows: DataFrame, seed: str, ident: str, length: str, budget: int, window: int = 1024) -> DataFrame:
-    """``batch`` numbers: rows in hash order, sorted by length inside windows, cut where the token budget is reached.
+def pack(rows: DataFrame, seed: str, ident: str, length: str, budget: int, window: int = 1024, max_sequences: int | None = None) -> DataFrame:
+    """``window`` and ``batch`` numbers: rows in hash order, sorted by length inside windows, a batch closed before it would go over.
 
-    Windows are runs of about ``window`` hash neighbours (by range), so each is packed in its own task.
+    Windows are runs of about ``window`` hash neighbours (by range), so each is packed on its own, in one bounded group. A batch has
+    at most ``budget`` tokens and ``max_sequences`` rows; a row longer than the budget is a batch of its own.
     """
     keyed = rows.withColumn("order_key", T.order_key(seed, ident))
-    total = keyed.count()
-    slots = max(1, -(-total // window))
+    slots = max(1, -(-keyed.count() // window))
     place = F.conv(F.substr("order_key", F.lit(1), F.lit(8)), 16, 10).cast("long") * slots / F.lit(1 << 32)
     inside = keyed.withColumn("window", F.floor(place))
-    run = F.sum(length).over(Window.partitionBy("window").orderBy(length, "order_key").rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("batch", F.floor((run - 1) / budget)).drop("order_key")
+    tokens = F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long"))
+    item = F.struct(tokens.alias("tokens"), "order_key", F.struct(*rows.columns).alias("own"))
+
+    def step(done: Column, x: Column) -> Column:
+        over = done["held"] + x["tokens"] > budget
+        if max_sequences is not None:
+            over = over | (done["n"] >= max_sequences)
+        close = (done["n"] > 0) & over
+        batch = done["batch"] + F.when(close, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        held = F.when(close, x["tokens"]).otherwise(done["held"] + x["tokens"])
+        n = F.when(close, F.lit(1).cast("long")).otherwise(done["n"] + F.lit(1).cast("long"))
+        return F.struct(batch.alias("batch"), held.alias("held"), n.alias("n"), F.concat(done["out"], F.array(batch)).alias("out"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("batch"), zero.alias("held"), zero.alias("n"), F.array().cast("array<bigint>").alias("out"))
+    windows = inside.groupBy("window").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    numbered = windows.withColumn("batches", F.aggregate("items", start, step, lambda done: done["out"]))
+    placed = numbered.select("window", "batches", F.posexplode("items").alias("at", "item"))
+    return placed.select("item.own.*", "window", F.get("batches", F.col("at")).alias("batch"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 
 from ..session import ship
-from ..operators import annotation, contamination, conversations, dedup, metrics, mixture, preferences, sampling, validators
+from ..operators import annotation, contamination, conversations, dedup, metrics, mixture, outputs, preferences, sampling, validators
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,14 +111,22 @@ def merkle_fingerprint(spark, sf_dir):
 # ---------------------------------------------------------------- contamination
 
 
-@query("""select b.item_id as heldout, list_sort(list(d.doc_id)) as training from benchmark b join documents d on sha256(b.text) = sha256(d.text) group by 1""")
+def with_copies(spark, sf_dir, changed) -> DataFrame:
+    """Documents, and a changed copy of every benchmark item under an id of its own."""
+    copies = texts(spark, sf_dir, "benchmark", "item_id").select((F.col("id") + 1_000_000_000).alias("id"), changed(F.col("text")).alias("text"))
+    return texts(spark, sf_dir).unionByName(copies)
+
+
+@query("""select b.item_id as heldout, list_sort(list(d.id)) as training from benchmark b join (select doc_id as id, text from documents union all select item_id + 1000000000, text from benchmark) d on sha256(b.text) = sha256(d.text) group by 1""")
 def contam_l1(spark, sf_dir):
-    return contamination.exact_matches(texts(spark, sf_dir, "benchmark", "item_id"), texts(spark, sf_dir))
+    return contamination.exact_matches(texts(spark, sf_dir, "benchmark", "item_id"), with_copies(spark, sf_dir, lambda t: t))
 
 
-@query(f"""select b.item_id as heldout, list_sort(list(d.doc_id)) as training from benchmark b join documents d on {NORM.format("b.text")} = {NORM.format("d.text")} group by 1""")
+@query(f"""select b.item_id as heldout, list_sort(list(d.id)) as training from benchmark b join (select doc_id as id, text from documents union all select item_id + 1000000000, '  ' || replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', chr(9) || ' ') || chr(10) from benchmark) d
+on {NORM.format("b.text")} = {NORM.format("d.text")} group by 1""")
 def contam_l2(spark, sf_dir):
-    return contamination.normalized_matches(texts(spark, sf_dir, "benchmark", "item_id"), texts(spark, sf_dir))
+    changed = lambda t: F.concat(F.lit("  "), F.replace(F.translate(t, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "), F.lit("\t ")), F.lit("\n"))
+    return contamination.normalized_matches(texts(spark, sf_dir, "benchmark", "item_id"), with_copies(spark, sf_dir, changed))
 
 
 GRAMS = """h as (select item_id as heldout, list_distinct([t[i:i+4] for i in range(1, length(t) - 3)]) as g from (select item_id, {norm} as t from benchmark) where length(t) >= 5),
@@ -131,14 +139,9 @@ f as (select heldout, training, shared, shared / (own_size + size - shared) as j
 """
 
 
-@query("with " + GRAMS.format(norm=N_DOC, max_df=100) + """
+@query("with " + GRAMS.format(norm=N_DOC, max_df=1000) + """
 select heldout, training, shared, jaccard, containment, rank from (select *, row_number() over (partition by heldout order by shared desc, training desc) as rank from f where jaccard >= 0.5 or (not short and containment >= 0.6)) where rank <= 5""")
 def contam_l3_char5(spark, sf_dir):
-    return char5(spark, sf_dir, contamination.Thresholds(max_df=100))
-
-
-@query()
-def contam_l3_char5_whole(spark, sf_dir):
     return char5(spark, sf_dir, contamination.Thresholds())
 
 
@@ -155,17 +158,12 @@ def contam_l4_edit(spark, sf_dir):
     return contamination.edit_matches(found, held, docs, limits)
 
 
-@query("with " + GRAMS.format(norm=N_DOC, max_df=100) + f""",
+@query("with " + GRAMS.format(norm=N_DOC, max_df=1000) + f""",
 q as (select b.item_id as heldout, 1 as level, d.doc_id::varchar as training from benchmark b join documents d on b.text = d.text
  union all select b.item_id, 2, d.doc_id::varchar from benchmark b join documents d on {NORM.format("b.text")} = {NORM.format("d.text")}
  union all select heldout, 3, training::varchar from f where jaccard >= 0.5 or (not short and containment >= 0.6))
 select heldout, list_sort(list_distinct(list(level))) as levels, count(distinct training) as n_training from q group by 1""")
 def contamination_queue(spark, sf_dir):
-    return screened(spark, sf_dir, contamination.Thresholds(max_df=100))
-
-
-@query()
-def contamination_queue_whole(spark, sf_dir):
     return screened(spark, sf_dir, contamination.Thresholds())
 
 
@@ -283,8 +281,10 @@ def rendered_chats(spark, sf_dir):
     return chats(spark, sf_dir).select("id", text.sha(conversations.render(F.col("messages"))).alias("rendered"))
 
 
-@query("""select role, count(*) as n, count_if(regexp_matches(left(text, 400), '\\b(?:apologies|i\\s+apologi[sz]e|i''?m\\s+sorry|i\\s+am\\s+sorry|sorry)\\b[^.]{0,90}?\\b(?:unable|cannot|can''?t|not\\s+able|don''?t\\s+have\\s+the\\s+abilit)', 'i')
- or regexp_matches(left(text, 400), '(?m)^\\s*(?:i''?m|i\\s+am)\\s+(?:unable|not\\s+able)\\s+to\\b', 'i') or regexp_matches(left(text, 400), '(?m)^\\s*i\\s+(?:must\\s+)?(?:decline|refuse)\\b', 'i')) as refusals from conversations group by 1""")
+REFUSED = " or ".join("regexp_matches(left(text, {0}), '(?im){1}')".format(text.REFUSAL_WINDOW, pattern.replace("'", "''")) for _, pattern in text.REFUSAL_PATTERNS)
+
+
+@query(f"select role, count(*) as n, count_if({REFUSED}) as refusals from conversations group by 1")
 def refusal_rate_by_role(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(text.refusal("text").isNotNull()).alias("refusals"))
 
@@ -298,13 +298,13 @@ def refusal_template_topk(spark, sf_dir):
 @query("""select conv_id, turn, case when contains(lower(text), 'cannot help') or contains(lower(text), 'can''t help') or contains(lower(text), 'unable to') or contains(lower(text), 'not supported') or contains(lower(text), 'unsupported') then 'UNSUPPORTED'
  when contains(text, '?') or contains(lower(text), 'could you clarify') or contains(lower(text), 'please provide') or contains(lower(text), 'which one') then 'CLARIFY' else 'ANSWER' end as decision from conversations where role = 'assistant'""")
 def prose_decisions(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", metrics.prose_decision("text").alias("decision"))
+    return read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", outputs.prose_decision("text").alias("decision"))
 
 
 @query()
 def parsed_outputs(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", metrics.parsed("text", F.lit(False)).alias("p")).select("conv_id", "turn", "p.decision", "p.status", F.size("p.calls").alias("n_calls"))
+    return rows.select("conv_id", "turn", outputs.parsed("text", F.lit(False)).alias("p")).select("conv_id", "turn", "p.decision", "p.status", F.size("p.calls").alias("n_calls"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -650,10 +650,21 @@ def review_queue(spark, sf_dir):
     return annotation.review_queue(items, items.where("item % 50 = 0"), ["es"], 20, "r")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as n from events),
+c as (select user_id, event_id, event_type, n, null::varchar as prev_hash, sha256('|' || event_type) as hash from e where n = 1
+union all select e.user_id, e.event_id, e.event_type, e.n, c.hash, sha256(c.hash || '|' || e.event_type) from e join c on e.user_id = c.user_id and e.n = c.n + 1),
+t as (select user_id, event_id, event_type, prev_hash, case when event_id % 7 = 0 then sha256('x' || hash) else hash end as hash from c),
+v as (select *, lag(hash) over (partition by user_id order by event_id) as before from t)
+select user_id, count(*) as entries, count_if(prev_hash is distinct from before or hash <> sha256(coalesce(prev_hash, '') || '|' || event_type)) as broken from v group by 1""")
 def hash_chain_check(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("prev_hash", F.lit(None).cast("string")).withColumn("hash", annotation.chain_hash(F.col("prev_hash"), F.col("event_type")))
-    return annotation.verify_chain(rows, "event_id", ["event_type"], ["user_id"])
+    """Chains of each user's events, some entries of which were changed later."""
+    events = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
+    linked = F.aggregate("events", F.array().cast("array<string>"), lambda done, x: F.concat(done, F.array(annotation.chain_hash(F.try_element_at(done, F.lit(-1)), x["event_type"]))))
+    rows = events.withColumn("hashes", linked).select("user_id", "hashes", F.posexplode("events").alias("n", "e"))
+    own = F.get("hashes", F.col("n"))
+    changed = F.when(F.col("e.event_id") % 7 == 0, F.sha2(F.concat(F.lit("x"), own), 256)).otherwise(own)
+    entries = rows.select("user_id", "e.event_id", "e.event_type", F.when(F.col("n") > 0, F.get("hashes", F.col("n") - 1)).alias("prev_hash"), changed.alias("hash"))
+    return annotation.verify_chain(entries, "event_id", ["event_type"], ["user_id"])
 
 
 @query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")

@@ -1,9 +1,5 @@
 """Registered queries on small tables where a cut of the work would show."""
 
-import numpy as np
-
-from parleylake.llm import decontaminate, licenses, toxicity
-from parleylake.llm.common import Scratch
 from parleylake.plans import queries
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards brew potions"
@@ -13,38 +9,12 @@ def test_screen_keeps_ngrams_of_many_documents(spark, tmp_path):
     spark.createDataFrame([(7, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, f"{PASSAGE} number {i}") for i in range(150)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.QUERIES["contam_l4_edit"](spark, str(tmp_path)).count() == 150
-    top = queries.QUERIES["contam_l3_char5_whole"](spark, str(tmp_path)).collect()
+    top = queries.QUERIES["contam_l3_char5"](spark, str(tmp_path)).collect()
     assert len(top) == 5 and all(r["containment"] == 1.0 for r in top)
-    (entry,) = queries.QUERIES["contamination_queue_whole"](spark, str(tmp_path)).collect()
+    (entry,) = queries.QUERIES["contamination_queue"](spark, str(tmp_path)).collect()
     assert (entry["heldout"], entry["levels"], entry["n_training"]) == (7, [3], 150)
 
 
-def test_toxicity_searches_for_every_text(spark):
-    pool = np.random.default_rng(1).choice([a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"], (200, 12))
-    rows = [(i, " ".join(pool[i]) + (" zorkface" if i % 5 == 0 else "")) for i in range(200)]
-    odd = "an unlisted insult of other words"
-    docs = spark.createDataFrame([*rows, (500, odd), (501, odd)], "doc_id long, text string")
-    labels = spark.createDataFrame([*((i, int(i % 5 == 0)) for i, _ in rows), (500, 1)], "doc_id long, toxic int")
-    found = {r["doc_id"]: r for r in toxicity.score(docs, labels, Scratch(spark, "t")).collect()}
-    first = found[501]["evidence"][0]
-    assert (first["doc_id"], first["label"]) == (500, 1) and abs(first["cosine"] - 1.0) < 1e-9
-    assert found[501]["predicted"] == 1 and all(found[i]["predicted"] == int(i % 5 == 0) for i, _ in rows)
-
-
-def test_every_licence_of_a_file_is_found(spark):
-    text = ". ".join(t.words for t in licenses.TEMPLATES)
-    common = [(i, "licensed under the apache license version 2 0") for i in range(1, 40)]
-    rows = licenses.scan(spark.createDataFrame([(0, text), *common], "doc_id long, text string"), Scratch(spark, "t")).where("doc_id = 0").collect()
-    assert {t.label for t in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
-
-
-def test_copies_of_repetitive_items_are_found(spark):
-    items = [(i, " ".join([f"w{i}x{k}" for k in range(40)] + [f"r{i}y{k}" for k in range(5)] * 10)) for i in range(40)]
-    docs = [(i, f"some words before the item {text} and others after it") for i, text in items]
-    rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in rows) == [(i, i, 1.0) for i, _ in items]
-
-
 def test_all_refusals_are_counted(spark, tmp_path):
     said = ["I cannot help with that.", "As an AI, I cannot say.", "I do not have the ability.", "It is unable to perform calculations.", "I'm sorry, I can't.", "I am unable to say.", "I must decline.", "Fine."]
     spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parleylake.functions import stats, text
-from parleylake.operators import adapters, annotation, dedup, metrics, mixture, preferences, sampling, validators
+from parleylake.operators import adapters, annotation, dedup, metrics, mixture, outputs, preferences, sampling, validators
 from parleylake.sources import readers, writers
 from parleylake.streaming import incremental
 
@@ -50,10 +50,48 @@ def test_trajectories():
 
 
 def test_output_parser():
-    assert metrics.parse_output("<tool_call><function=f><parameter=q>1</parameter></function></tool_call>")["calls"] == [{"name": "f", "arguments": '{"q":"1"}', "id": None}]
-    assert metrics.parse_output("<tool_call>{")["errors"] == ["UNCLOSED_TOOL_CALL"]
-    assert metrics.parse_output("", True)["errors"] == ["EOS_WITHOUT_OUTPUT"]
-    assert [metrics.parse_output(t)["decision"] for t in ("I am unable to.", "Which?", "Yes.")] == ["UNSUPPORTED", "CLARIFY", "ANSWER"]
+    parse = outputs.parse_output
+    read = lambda raw: [(c["name"], json.loads(c["arguments"])) for c in parse(raw)["calls"]]
+    assert parse("<tool_call><function=f><parameter=q>1</parameter></function></tool_call>")["calls"] == [{"name": "f", "arguments": '{"q":"1"}', "id": None}]
+    two = "<tool_call>\n<function=a>\n<parameter=x>\n1, 2\n3\n</parameter>\n</function>\n</tool_call>"
+    assert read(two + two.replace("=a", "=b")) == [("a", {"x": "1, 2\n3"}), ("b", {"x": "1, 2\n3"})]
+    assert read("<TOOL_CALL><Function=get_time></function></tool_call>") == [("get_time", {})]
+    assert read('<tool_call>[{"name":"a","arguments":"{\\"x\\":1}","id":"7"},{"name":"b"}]</tool_call>') == [("a", {"x": 1}), ("b", {})]
+    around = parse(f"Let me look.<think>hm <b> ok</think> {two}<|end|>")
+    assert (around["decision"], around["status"], around["content"]) == ("CALL", "RAW_VALID", "Let me look. <|end|>")
+    wrong = {
+        "<tool_call>{": "UNCLOSED_TOOL_CALL", "a </tool_call>": "UNCLOSED_TOOL_CALL", "<tool_call>[]</tool_call>": "EMPTY_TOOL_CALL",
+        "<tool_call>no call</tool_call>": "MALFORMED_TOOL_CALL[0]", "<tool_call>{\"name\":</tool_call>": "MALFORMED_TOOL_CALL[0]",
+        "<tool_call><function=a><parameter=x>1</function></tool_call>": "MALFORMED_ARGUMENTS[0]", two + "<tool_call><function=a></tool_call>": "MALFORMED_TOOL_CALL[1]",
+        '<tool_call>{"arguments":{}}</tool_call>': "INVALID_TOOL_CALL[0]", '<tool_call>{"name":"a","arguments":[]}</tool_call>': "INVALID_ARGUMENTS[0]",
+        '<tool_call>{"name":"a","arguments":"{"}</tool_call>': "MALFORMED_ARGUMENTS[0]",
+    }
+    for raw, code in wrong.items():
+        got = parse(raw)
+        assert (got["status"], got["decision"], got["calls"]) == ("FORMAT_ERROR", "ANSWER", []) and got["errors"][0].startswith(code), raw
+    assert parse("", True)["errors"] == ["EOS_WITHOUT_OUTPUT"] and parse(None)["status"] == "RAW_VALID"
+    assert [parse(t)["decision"] for t in ("I am unable to.", "Which?", "Please provide it", "Yes.")] == ["UNSUPPORTED", "CLARIFY", "CLARIFY", "ANSWER"]
+
+
+def test_packing(spark):
+    rows = [(i, (i * 37) % 900 + (2000 if i == 5 else 0)) for i in range(300)] + [(300, None), (7, 30)]
+    for most in (None, 3):
+        got = sampling.pack(spark.createDataFrame(rows, "item long, size long"), "s", "item", "size", 1000, 64, most).collect()
+        batches = {}
+        for r in got:
+            batches.setdefault((r["window"], r["batch"]), []).append(r["size"] or 0)
+        assert len(got) == len(rows)
+        assert all(sum(b) <= 1000 or len(b) == 1 for b in batches.values()) and all(most is None or len(b) <= most for b in batches.values())
+        for (window, number), own in batches.items():  # no batch was closed too soon
+            after = batches.get((window, number + 1))
+            assert after is None or sum(own) + min(after) > 1000 or len(own) == most
+
+
+def test_paths(spark):
+    row = spark.createDataFrame([('{"a":{"b":[1,{"c":"x"},[5,6]]}}',)], "j string")
+    paths = ["a.b.0", "a.b.-2.c", "a.b.-1.-1", "a.b.-4", "a.z", "a.b.1.c"]
+    got = row.select(*(text.get_path("j", p).alias(str(n)) for n, p in enumerate(paths))).first()
+    assert list(got) == ["1", "x", "6", None, None, "x"]
 
 
 def test_quotas():
