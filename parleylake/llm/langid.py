@@ -1,6 +1,6 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model per language is trained on a bounded sample of labelled rows, stored in sorted hash
+One model per language is trained on a bounded sample of labelled text, one piece of each language at least, stored in sorted hash
 arrays (``ngram_lm``), and the language with the lowest cross-entropy per character wins. Texts
 whose cross-entropy is above what ``reject_quantile`` of the calibration texts of that language
 reach are marked ``rejected``; ``score`` is a posterior with a temperature fitted on the same texts.
@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_lm
@@ -27,8 +27,9 @@ from .hashing import buffers
 
 UNDETERMINED = "und"
 ORDER = 4
-#: Bound of the learning sample: characters a language, expected; rows are chosen by a hash of their id.
-SAMPLE_CHARS = 1_000_000
+#: Bound of the learning sample: characters a language, and those of the pieces that texts are cut into for it. A hash of id, text and
+#: place chooses the pieces.
+SAMPLE_CHARS, PIECE = 1_000_000, 8_000
 
 
 @lru_cache(maxsize=1)
@@ -92,21 +93,37 @@ class LanguageModel:
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, sample_chars: int = SAMPLE_CHARS, reject_quantile: float = 0.995) -> LanguageModel:
-    """Fit on rows with a text and a language; ``sample_chars`` bounds what is read of each language."""
-    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).where("n > 0").withColumn("part", F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.col("n")))
-    share = {r["l"]: r["part"] for r in sizes.collect()}
-    if not share:
+    """Fit on rows with a text and a language; of each language at most ``sample_chars`` characters are read, in pieces of PIECE.
+
+    Equal pieces count once. Which pieces are learned from depends on the rows alone, not on their order.
+    """
+    rows = rows.where((F.length(text) > 0) & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = rows.withColumn("h", F.xxhash64("k", "t"))
+    draw = F.pmod(F.xxhash64("h", "at"), F.lit(1 << 53)) / float(1 << 53)
+    piece = F.substr("t", F.col("at") * PIECE + 1, F.lit(PIECE))
+    first = F.struct(draw.alias("draw"), piece.alias("t"))
+    sizes = rows.withColumn("at", F.lit(0)).groupBy("l").agg(F.sum(F.length("t")).alias("n"), F.min(first).alias("least")).collect()
+    if not sizes:
         return LanguageModel([], None, 1.0, np.zeros(0))
-    draw: Column = (F.xxhash64("k", F.lit("langid")) % 1_000_000_007 + 1_000_000_007) % 1_000_000_007 / 1_000_000_007.0
-    rate = F.coalesce(*(F.when(F.col("l") == name, part) for name, part in share.items()))
-    sample = rows.where(draw < rate).select("k", "t", "l").toPandas().sort_values("k", kind="stable")
-    languages = sorted(sample["l"].unique())
+    # somewhat more than the budget is drawn, and cut to it here
+    rate = F.coalesce(*(F.when(F.col("l") == r["l"], min(1.0, 1.2 * sample_chars / r["n"])) for r in sizes))
+    pieces = rows.withColumn("at", F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / PIECE).cast("int"))))
+    drawn = pieces.withColumn("draw", draw).where(F.col("draw") < rate).select("l", "draw", piece.alias("t")).groupBy("l", "t").agg(F.min("draw").alias("draw"))
+    sample: dict[str, list[tuple[float, str]]] = {r["l"]: [(r["least"]["draw"], r["least"]["t"])] for r in sizes}
+    for r in drawn.collect():
+        sample[r["l"]].append((r["draw"], r["t"]))
+    languages = sorted(sample)
     train, check = [], []
     for name in languages:
-        texts = pa.array(sample.loc[sample["l"] == name, "t"].tolist(), pa.string())
-        text_codes, first, last = codes(texts)
-        each = [text_codes[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        kept, held = [], 0
+        for _, own in sorted(set(sample[name])):
+            if held >= sample_chars:
+                break
+            kept.append(own)
+            held += len(own)
+        texts = pa.array(kept, pa.string())
+        text_codes, begin, end = codes(texts)
+        each = [text_codes[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         fifth = len(each) // 5
         check.append(texts[len(each) - fifth :])
         train.append(each[: len(each) - fifth])

@@ -3,7 +3,8 @@
 Every text is cut into words once and only the places of licence words are kept. A file looks up
 the templates by all its licence words but the commonest (STOP); postings
 are intersected by relative position (place in the file less place in the template), and a template
-counts where enough of its words agree on one offset and its mandatory key phrase stands there.
+counts where enough of its words agree on one offset and its mandatory key phrase stands inside the words that it covers
+there, SLACK words more or less. Every offset at which enough words agree is tried; the best that holds the phrase is given.
 
 Defined results: null and empty texts have no words, no labels and score 0. A template that stands
 several times counts once. Repeated rows each get an answer under their own id (rows of an equal
@@ -49,6 +50,9 @@ TEMPLATES = (
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
 
+#: Words by which a phrase may stand before or after a template's own span.
+SLACK = 3
+
 #: Words too common to look a licence up by; they still count when a template is verified.
 STOP = ("the", "is", "to", "a", "of", "and", "in", "or", "this", "any", "with", "are", "use", "0", "2", "3", "4", "v")
 
@@ -113,11 +117,14 @@ def scan(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc
         .withColumn("share", F.col("n") / F.element_at(sizes, F.col("template")))
         .where(F.col("share") >= F.element_at(shares, F.col("template")))
     )
-    best = agreed.groupBy("row", "template", "label").agg(F.max(F.struct("share", (-F.col("start")).alias("neg"))).alias("top"))
 
-    # 3. the mandatory key phrase, anywhere from the match's start on
-    some_keys = some.select("row", F.array(*(F.array_max(_phrase_places(F.col("hits"), t.key)) for t in TEMPLATES)).alias("key_at"))
-    verified = best.join(some_keys, "row").where(F.element_at("key_at", F.col("template") + 1) >= -F.col("top.neg"))
+    # 3. the mandatory key phrase, inside the span that the template covers
+    some_keys = some.select("row", F.array(*(_phrase_places(F.col("hits"), t.key) for t in TEMPLATES)).alias("key_at"))
+    spans = F.create_map(*(x for n, t in enumerate(TEMPLATES) for x in (F.lit(n), F.lit(len(t.words.split()) - len(t.key.split())))))
+    last = F.col("start") + F.element_at(spans, F.col("template")) + SLACK
+    inside = F.exists(F.element_at("key_at", F.col("template") + 1), lambda k: (k >= F.col("start") - SLACK) & (k <= last))
+    held = agreed.join(some_keys, "row").where(inside)
+    verified = held.groupBy("row", "template", "label").agg(F.max(F.struct("share", (-F.col("start")).alias("neg"))).alias("top"))
     matched = verified.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", (-F.col("top.neg")).alias("place"), F.col("top.share").alias("share")))).alias("matches"))
 
     places = F.flatten(F.array(*(_phrase_places(F.col("hits"), p) for p, _ in BASE)))

@@ -16,6 +16,7 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,15 +174,24 @@ def encode_column(df: DataFrame, text: str = "text", media: str = "media", keep:
     return map_arrow(source, each_slice(work, "__text"), schema)
 
 
-DECODED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+DECODED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, page_us array<long>, error string"
+
+
+def sample_features(payload: bytes) -> str:
+    """Mean, root mean square and peak about the middle of 8-bit samples, and how often they cross it."""
+    values = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    if not len(values):
+        return "samples=0"
+    crossings = int(np.count_nonzero((values[1:] < 0) != (values[:-1] < 0)))
+    return f"samples={len(values)};mean={values.sum() / len(values):.4f};rms={(float((values * values).sum()) / len(values)) ** 0.5:.4f};peak={int(np.abs(values).max())};crossings={crossings}"
 
 
 def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """What the stored bytes hold: sizes, digests and a feature line, or ``error``."""
+    """What the stored bytes hold: sizes, digests, a line of container and sample features, the time at each page's end, or ``error``."""
 
     def read(raw: bytes | None) -> tuple:
         if raw is None:
-            return (None,) * 7 + ("no media",)
+            return (None,) * 8 + ("no media",)
         stored = (len(raw), hashlib.sha256(raw).hexdigest())
         try:
             streams = parse(raw)
@@ -189,11 +199,11 @@ def decode_column(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (
             note = next(s for s in streams.values() if s.packets[0] == NOTE_MAGIC)
             n_bytes = int(note.packets[1])
         except (ValueError, StopIteration, IndexError, struct.error) as broken:
-            return (None, None, None, None, *stored, None, str(broken) or type(broken).__name__)
-        feature = f"ogg;streams={len(streams)};pages={sum(s.pages for s in streams.values())};packets={sum(len(s.packets) for s in streams.values())};rate={rate};duration_us={marks[-1] if marks else 0};marks={len(marks)}"
-        return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature, None)
+            return (None, None, None, None, *stored, None, None, str(broken) or type(broken).__name__)
+        container = f"ogg;streams={len(streams)};pages={sum(s.pages for s in streams.values())};packets={sum(len(s.packets) for s in streams.values())};rate={rate};duration_us={marks[-1] if marks else 0}"
+        return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, f"{container};{sample_features(payload)}", marks, None)
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = list(zip(*map(read, batch.column(media).to_pylist()), strict=True))

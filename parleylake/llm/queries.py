@@ -37,7 +37,7 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = ogg.encode_column(read(spark, sf_dir, "documents"))
+    stored = Scratch(spark, "op4").table(ogg.encode_column(read(spark, sf_dir, "documents")), "media")
     return ogg.decode_column(stored).drop("error")
 
 

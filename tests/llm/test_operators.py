@@ -114,6 +114,19 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_languages_of_null_ids_and_huge_texts(spark):
+    cat, hund = "the cat and the hat sat on the mat with a rat ", "der hund und die katze essen heute gern würste "
+    rows = [(None, cat * 3 + str(i), "en") for i in range(200)] + [(1, hund * 4000, "de"), (1, hund * 4000, "de"), (2, "", "fr"), (3, "   ", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("k", F.lit("clash")).withColumn("h", F.lit("clash"))
+    for budget in (500, 20_000):
+        models = [langid.learn(d, sample_chars=budget) for d in (docs, docs.repartition(3))]
+        assert models[0].languages == ["de", "en", "it"]
+        got = [sorted((r["lang_pred"], r["score"]) for r in langid.identify(docs, m).collect()) for m in models]
+        assert got[0] == got[1]
+        found = {r["lang_pred"] for r in langid.identify(docs.where("lang = 'de'"), models[0]).collect()}
+        assert found == {"de"}
+
+
 # ---------------------------------------------------------------- 3 tokens
 
 
@@ -203,6 +216,19 @@ def test_ogg_round_trip(spark):
         assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and row["tail_crc32"] == zlib.crc32(payload[-16:])
 
 
+def test_ogg_of_null_damaged_and_repeated_media(spark):
+    good = ogg.encode(ogg.pad(b"abc"), b"3")
+    rows = [(1, None), (1, b""), (None, good), (None, good), (2, good[:-1]), (3, b"noise")]
+    docs = spark.createDataFrame(rows, "doc_id long, media binary").withColumn("feature", F.lit("clash"))
+    got = ogg.decode_column(docs).collect()
+    assert len(got) == 6 and [r["error"] is None for r in got] == [False, False, True, True, False, False]
+    (one, two) = (r for r in got if r["error"] is None)
+    assert one == two and one["n_bytes"] == 3 and one["payload_bytes"] == 192 and one["page_us"] == [192 * 1_000_000 // ogg.RATE]
+    values = np.frombuffer(ogg.pad(b"abc"), np.uint8).astype(int) - 128
+    assert f"mean={values.mean():.4f};" in one["feature"] and f"peak={abs(values).max()};" in one["feature"]
+    assert ogg.decode_column(ogg.encode_column(frame(spark, []))).count() == 0
+
+
 def test_ogg_crc_and_damage():
     def slow(data):
         crc = 0
@@ -552,3 +578,29 @@ def test_licences(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     assert [got[i]["labels"] for i in range(6)] == ["mit", "reserved", "gpl,gpl-3.0", "cc-by,cc-by-nc-4.0", "cc-by", ""]
     assert licenses.scan(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def brute_templates(text):
+    """Labels of the templates that stand somewhere with enough words in place and their phrase inside."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set()
+    for t in licenses.TEMPLATES:
+        own, key = t.words.split(), t.key.split()
+        for start in range(-len(own) + 1, len(words)):
+            same = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(own))
+            inside = any(words[k : k + len(key)] == key for k in range(max(start - licenses.SLACK, 0), start + len(own) - len(key) + licenses.SLACK + 1))
+            if same / len(own) >= t.share and inside:
+                out.add(t.label)
+    return out
+
+
+def test_licence_templates_against_brute_force(spark):
+    apache, far = "licensed under the apache license version", " word" * 500
+    texts = [apache + far + " apache license version 2 0", f"{apache} 2 0{far} {apache}", f"{apache} x{far} {apache} 2 0"]
+    for i in range(60):
+        rng = np.random.default_rng(i)
+        parts = [edited(licenses.TEMPLATES[k].words, i, int(rng.integers(3))) for k in rng.integers(len(licenses.TEMPLATES), size=3)]
+        texts.append(f"{sentence(i, 5)}. ".join(parts))
+    rows = [*enumerate(texts), (0, texts[1]), (None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("label", F.lit("clash"))
+    got = sorted(((r["doc_id"], tuple(sorted({m["label"] for m in r["matches"]}))) for r in licenses.scan(docs, Scratch(spark, "t")).collect()), key=str)
+    assert got == sorted(((i, tuple(sorted(brute_templates(t)))) for i, t in rows), key=str)
