@@ -30,7 +30,7 @@ from .hashing import M1, M2, buffers, mix, spans
 SHARD_TOKENS = 4_000_000
 END = 1
 #: Slots of a worker's table of known pieces; it starts afresh when half of them are taken.
-SLOT_BITS = 21
+SLOT_BITS = 20
 
 # The settings under which a text's ids are those of its pieces in order.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]

@@ -45,7 +45,7 @@ PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 CHOSEN_SHARE = 0.9
 #: Common terms, examples of a block, clusters that order them, queries of one product, and more than its error in single precision.
-COMMON, BLOCK, CLUSTERS, TOGETHER, MARGIN = 768, 64, 64, 128, 1e-4
+COMMON, BLOCK, CLUSTERS, TOGETHER, MARGIN = 512, 64, 64, 128, 1e-4
 #: Blocks of the highest bounds that give the first k-th best.
 FIRST = 3
 TABLE_BITS = 20
@@ -122,7 +122,7 @@ class Index:
     labels: np.ndarray
     cuts: np.ndarray  # where each example's terms begin
     terms: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # two bytes each where that is enough
     prior: float
     blank: float
     fits: tuple = ((1.0, 0.0), (1.0, 0.0))  # slope and shift for texts without and with chosen terms
@@ -130,7 +130,7 @@ class Index:
     tables: tuple | None = None
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1.0 + np.log(counts)) * self.idf[terms]
+        weight = (1.0 + np.log(np.asarray(counts, float))) * self.idf[terms]
         square, chosen = weight * weight, self.chosen[terms]
         own, rest = np.sum(square[chosen]), np.sum(square[~chosen])
         if own and rest:
@@ -138,45 +138,57 @@ class Index:
         return weight / np.sqrt(own + rest) if len(weight) else weight
 
     def _weights(self) -> np.ndarray:
-        """``vector`` of all examples, some at a time."""
-        out = np.zeros(len(self.terms))
+        """``vector`` of all examples in single precision, some at a time; and the factors of each example's chosen and other terms."""
+        out, self.scale = np.zeros(len(self.terms), np.float32), np.ones((2, len(self.ids)))
         for first in range(0, len(self.ids), 2000):
             cuts = self.cuts[first : first + 2001]
             part, cuts = slice(cuts[0], cuts[-1]), cuts - cuts[0]
-            weight = (1.0 + np.log(self.counts[part])) * self.idf[self.terms[part]]
+            weight = (1.0 + np.log(self.counts[part].astype(float))) * self.idf[self.terms[part]]
             square, chosen = weight * weight, self.chosen[self.terms[part]]
             own, rest = np.add.reduceat(np.where(chosen, square, 0.0), cuts[:-1]), np.add.reduceat(np.where(chosen, 0.0, square), cuts[:-1])
             both, whole = (own > 0) & (rest > 0), np.sqrt(own + rest)
-            in_chosen = np.sqrt(CHOSEN_SHARE / np.where(both, own, CHOSEN_SHARE * whole**2))
-            in_rest = np.sqrt((1.0 - CHOSEN_SHARE) / np.where(both, rest, (1.0 - CHOSEN_SHARE) * whole**2))
-            out[part] = weight * np.where(chosen, np.repeat(in_chosen, np.diff(cuts)), np.repeat(in_rest, np.diff(cuts)))
+            some = slice(first, first + len(own))
+            self.scale[0, some] = np.sqrt(CHOSEN_SHARE / np.where(both, own, CHOSEN_SHARE * whole**2))
+            self.scale[1, some] = np.sqrt((1.0 - CHOSEN_SHARE) / np.where(both, rest, (1.0 - CHOSEN_SHARE) * whole**2))
+            factor = np.repeat(self.scale[:, some], np.diff(cuts), axis=1)
+            out[part] = weight * np.where(chosen, factor[0], factor[1])
         return out
 
+    def _exact(self, at: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """Weights in full precision of the given terms of the given examples."""
+        terms = self.terms[at]
+        return (1.0 + np.log(self.counts[at].astype(float))) * self.idf[terms] * np.where(self.chosen[terms], self.scale[0, example], self.scale[1, example])
+
     def prepare(self) -> None:
         """Tables that are cheaper to make in the worker than to send."""
         if self.tables is not None:
             return
         one_thread()
-        n = len(self.ids)
-        self.weights = self._weights()
+        n, weights = len(self.ids), self._weights()
         common = np.sort(np.argsort(-np.bincount(self.terms, minlength=len(self.keys)), kind="stable")[:COMMON])
         column = np.full(len(self.keys), -1, np.int32)
         column[common] = np.arange(len(common))
-        own = column[self.terms]
-        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.cuts))
         blocks = -(-n // BLOCK)
         dense = np.zeros((blocks, len(common), BLOCK), np.float32)
-        dense[at[own >= 0] // BLOCK, own[own >= 0], at[own >= 0] % BLOCK] = self.weights[own >= 0]
-        rare = np.flatnonzero(own < 0)
+        owner, rare = np.zeros(len(self.terms), np.int32), []
+        for first in range(0, n, 2000):
+            cuts = self.cuts[first : first + 2001]
+            part = slice(int(cuts[0]), int(cuts[-1]))
+            at, own = np.repeat(np.arange(first, first + len(cuts) - 1), np.diff(cuts)), column[self.terms[part]]
+            owner[part] = at
+            some = own >= 0
+            dense[at[some] // BLOCK, own[some], at[some] % BLOCK] = weights[part][some]
+            rare.append(np.flatnonzero(~some) + part.start)
+        rare = np.concatenate([np.zeros(0, np.int64), *rare])
         rare |= self.terms[rare].astype(np.int64) << 32
         rare.sort()
+        starts = np.searchsorted(rare, np.arange(len(self.keys) + 1, dtype=np.int64) << 32)
         rare &= 0xFFFFFFFF
-        starts = np.searchsorted(self.terms[rare], np.arange(len(self.keys) + 1))
         most = np.ascontiguousarray(dense.max(axis=2).T) if blocks else np.zeros((len(common), 0), np.float32)
-        self.tables = column, dense, most, starts, at[rare].astype(np.int64), self.weights[rare].astype(np.float32), np.zeros(len(self.keys)), np.arange(1 << 18)
+        self.tables = column, dense, most, starts, owner[rare], weights[rare], np.zeros(len(self.keys)), np.arange(1 << 18)
 
     def release(self) -> None:
-        self.tables = self.weights = None
+        self.tables = self.scale = None
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (ties: smaller id), ``skip`` left out."""
@@ -230,7 +242,7 @@ class Index:
                 near = near[values[near] >= np.partition(values[near], -self.k)[-self.k] - MARGIN]
             at, owner = spans(self.cuts[near], self.cuts[near + 1])
             query[terms] = weights
-            cosine = np.round(np.bincount(owner, self.weights[at] * query[self.terms[at]], len(near)), 12)
+            cosine = np.round(np.bincount(owner, self._exact(at, near[owner]) * query[self.terms[at]], len(near)), 12)
             query[terms] = 0.0
             kept = np.lexsort((self.ids[near], -cosine))[: self.k]
             yield near[kept], cosine[kept]
@@ -276,12 +288,16 @@ def _alike(terms: np.ndarray, weights: np.ndarray, cuts: np.ndarray, n_terms: in
     return nearest
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint16 if not len(counts) or int(counts.max()) < 1 << 16 else np.int32)
+
+
 def build(keys: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS, chosen: np.ndarray | None = None) -> Index:
     """``examples``: (id, label, term places, counts); ``chosen``: which terms weigh more."""
     none = np.zeros(0, np.int32)
     ids, labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
     terms, counts = np.concatenate([none, *(e[2] for e in examples)]), np.concatenate([none, *(e[3] for e in examples)])
-    index = Index(keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, ids, labels, np.cumsum([0, *(len(e[2]) for e in examples)]), terms.astype(np.int32), counts.astype(np.int32), 0.0, 0.0, k=k)
+    index = Index(keys, idf, np.zeros(len(keys), bool) if chosen is None else chosen, ids, labels, np.cumsum([0, *(len(e[2]) for e in examples)]), terms.astype(np.int32), _narrow(counts), 0.0, 0.0, k=k)
     _finish(index)
     some = _calibration_places(index)
     index.fits = _fits(*_votes(index, some), index.labels[some])
@@ -298,7 +314,7 @@ def _finish(index: Index) -> Index:
     some = np.flatnonzero(sizes)
     index.ids, index.labels, index.cuts = index.ids[some], index.labels[some], np.concatenate([[0], np.cumsum(sizes[some])])
     if len(some):
-        order = np.argsort(_alike(index.terms, index._weights().astype(np.float32), index.cuts, len(index.keys)), kind="stable")
+        order = np.argsort(_alike(index.terms, index._weights(), index.cuts, len(index.keys)), kind="stable")
         places, _ = spans(index.cuts[order], index.cuts[order + 1])
         index.ids, index.labels, index.terms, index.counts = index.ids[order], index.labels[order], index.terms[places], index.counts[places]
         index.cuts = np.concatenate([[0], np.cumsum(sizes[some][order])])
@@ -318,7 +334,7 @@ def _votes(index: Index, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leave-one-out votes of examples, and which of them have chosen terms."""
     index.prepare()
     own = [slice(index.cuts[i], index.cuts[i + 1]) for i in some]
-    votes = [index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.weights[o], int(i)) for i, o in zip(some, own, strict=True)])]
+    votes = [index.vote(at, cosine) for at, cosine in index.search([(index.terms[o], index.vector(index.terms[o], index.counts[o]), int(i)) for i, o in zip(some, own, strict=True)])]
     return np.array(votes, float), np.array([index.chosen[index.terms[o]].any() for o in own], bool)
 
 
@@ -491,7 +507,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
     pa.default_memory_pool().release_unused()
     chosen = np.isin(keys, picked)
     df, total = frequencies(docs, keys, chosen)
-    index = Index(keys, np.log((1 + total) / (1 + df)) + 1.0, chosen, ids, marks, cuts, places, counts, 0.0, 0.0)
+    index = Index(keys, np.log((1 + total) / (1 + df)) + 1.0, chosen, ids, marks, cuts, places, _narrow(counts), 0.0, 0.0)
     del places, counts
     _finish(index)
     shared = spark.sparkContext.broadcast(index)
