@@ -23,10 +23,12 @@ CHUNK_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_parleylake_shared", None)
     if not folder:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         folder = context._parleylake_shared = "file://" + tempfile.mkdtemp(prefix="parleylake-")
     return folder.rstrip("/")
 
