@@ -45,7 +45,7 @@ PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 CHOSEN_SHARE = 0.9
 #: Common terms, examples of a block, clusters that order them, queries of one product, and more than its error in single precision.
-COMMON, BLOCK, CLUSTERS, TOGETHER, MARGIN = 512, 64, 64, 128, 1e-4
+COMMON, BLOCK, CLUSTERS, TOGETHER, MARGIN = 512, 64, 64, 256, 1e-4
 #: Blocks of the highest bounds that give the first k-th best.
 FIRST = 3
 TABLE_BITS = 20
@@ -157,7 +157,7 @@ class Index:
     def _exact(self, at: np.ndarray, example: np.ndarray) -> np.ndarray:
         """Weights in full precision of the given terms of the given examples."""
         terms = self.terms[at]
-        return (1.0 + np.log(self.counts[at].astype(float))) * self.idf[terms] * np.where(self.chosen[terms], self.scale[0, example], self.scale[1, example])
+        return self.tables[-1][self.counts[at]] * self.idf[terms] * np.where(self.chosen[terms], self.scale[0, example], self.scale[1, example])
 
     def prepare(self) -> None:
         """Tables that are cheaper to make in the worker than to send."""
@@ -184,8 +184,9 @@ class Index:
         rare.sort()
         starts = np.searchsorted(rare, np.arange(len(self.keys) + 1, dtype=np.int64) << 32)
         rare &= 0xFFFFFFFF
+        logs = 1.0 + np.log(np.maximum(np.arange(int(self.counts.max(initial=0)) + 1), 1.0))
         most = np.ascontiguousarray(dense.max(axis=2).T) if blocks else np.zeros((len(common), 0), np.float32)
-        self.tables = column, dense, most, starts, owner[rare], weights[rare], np.zeros(len(self.keys)), np.arange(1 << 18)
+        self.tables = column, dense, most, starts, owner[rare].astype(np.int64), weights[rare], np.zeros(len(self.keys)), np.arange(1 << 18), logs
 
     def release(self) -> None:
         self.tables = self.scale = None
@@ -213,7 +214,7 @@ class Index:
         return out
 
     def _together(self, queries: list, wanted: np.ndarray):
-        column, _, most, starts, places, parts, query, count = self.tables
+        column, _, most, starts, places, parts, query, count, _ = self.tables
         rows, blocks = len(queries), most.shape[1]
         scores = np.zeros((rows, blocks * BLOCK), np.float32)
         for row, (terms, weights, skip) in zip(scores, queries, strict=True):
@@ -519,19 +520,31 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, learnable=None,
         index.fits = fits
         known = Terms(index.keys, index.chosen)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        def scored(held):
+            """Rows of (ids, queries) of some slices, searched for together."""
+            queries = [q for _, own in held for q in own]
+            scores, evidence = np.full(len(queries), index.blank), [[] for _ in queries]
+            some = [i for i, (terms, _, _) in enumerate(queries) if len(terms)]
+            for i, (at, cosine) in zip(some, index.search([queries[i] for i in some]), strict=True):
+                if len(at):
+                    scores[i] = index.calibrated(index.vote(at, cosine), queries[i][0])
+                    evidence[i] = [{"doc_id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for a, c in zip(at[:5], cosine[:5], strict=True)]
+            scores = np.clip(scores, 0.0, 1.0)
+            ids = pa.concat_arrays([ids for ids, _ in held])
+            return pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+
+        held, rows = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 terms, counts, cuts = known.count(part.column("text"))
-                scores, evidence = np.full(part.num_rows, index.blank), [[] for _ in range(part.num_rows)]
-                some = np.flatnonzero(np.diff(cuts))
-                own = [slice(cuts[i], cuts[i + 1]) for i in some]
-                found = index.search([(terms[o], index.vector(terms[o], counts[o]), -1) for o in own])
-                for i, o, (at, cosine) in zip(some.tolist(), own, found, strict=True):
-                    if len(at):
-                        scores[i] = index.calibrated(index.vote(at, cosine), terms[o])
-                        evidence[i] = [{"doc_id": int(index.ids[a]), "cosine": float(c), "label": int(index.labels[a])} for a, c in zip(at[:5], cosine[:5], strict=True)]
-                scores = np.clip(scores, 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+                own = [(terms[a:b], index.vector(terms[a:b], counts[a:b]), -1) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+                held.append((part.column("doc_id"), own))
+                rows += part.num_rows
+                if rows >= 3 * TOGETHER:
+                    yield scored(held)
+                    held, rows = [], 0
+        if held:
+            yield scored(held)
         index.release()  # a worker that goes on to other stages does not keep them
 
     return map_arrow(docs, work, SCORED)
