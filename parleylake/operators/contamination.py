@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Bits of the hashes that n-grams of the corpus pass by in the word probe: at most 2 ** PROBE_BITS numbers are broadcast.
+PROBE_BITS = 20
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -86,13 +89,17 @@ def queue(levels: list[tuple[int, DataFrame]]) -> DataFrame:
 
 def word_probe(heldout: DataFrame, training: DataFrame, n: int = 8, share: float = 0.5, min_chars: int = 12) -> DataFrame:
     """(heldout, corpus, covered, total, contained): places of word n-grams found in one corpus, or the whole text found exactly."""
-    def grams(df: DataFrame) -> DataFrame:
-        return df.withColumn("norm", T.normalize("text")).withColumn("words", F.split("norm", " ")).withColumn("grams", T.word_ngrams(F.col("words"), n)).drop("words")
-
-    left = grams(heldout).select(F.col("id").alias("heldout"), "norm", F.size("grams").alias("total"), F.posexplode_outer("grams").alias("place", "gram"))
-    right = grams(training).select("corpus", F.explode("grams").alias("gram")).join(left.select("gram").distinct(), "gram", "left_semi").distinct()
+    items, texts = heldout.withColumn("norm", T.normalize("text")), training.withColumn("norm", T.normalize("text"))
+    left = items.withColumn("grams", T.text_word_ngrams("norm", n)).select(F.col("id").alias("heldout"), F.size("grams").alias("total"), F.posexplode_outer("grams").alias("place", "gram"))
+    # hashes of few bits drop most other n-grams before the shuffle, whatever the number of held-out ones; the n-grams themselves decide
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(1 << PROBE_BITS)).alias("bucket")
+    buckets = F.broadcast(left.where("gram is not null").select(bucket).distinct())
+    # outer, so that no filter on the n-grams is put below, where it would work them out a second time
+    near = texts.select("corpus", F.explode_outer(T.text_word_ngrams("norm", n)).alias("gram")).select("corpus", "gram", bucket).join(buckets, "bucket", "left_semi")
+    right = near.select("corpus", "gram").join(left.select("gram").distinct(), "gram", "left_semi").distinct()
     covered = left.join(right, "gram").groupBy("heldout", "corpus", "total").agg(F.count_distinct("place").alias("covered"))
-    whole = grams(heldout).where(F.length("norm") >= min_chars).select(F.col("id").alias("heldout"), "norm").join(grams(training).select("corpus", "norm").distinct(), "norm").select("heldout", "corpus", F.lit(True).alias("exact")).distinct()
+    # texts meet the held-out ones before they are shuffled
+    whole = items.where(F.length("norm") >= min_chars).select(F.col("id").alias("heldout"), "norm").join(texts.select("corpus", "norm"), "norm").select("heldout", "corpus", F.lit(True).alias("exact")).distinct()
     both = covered.join(whole, ["heldout", "corpus"], "full")
     return both.select("heldout", "corpus", F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("exact", F.lit(False)) | F.coalesce(F.col("covered") / F.col("total") >= share, F.lit(False))).alias("contained"))
 
