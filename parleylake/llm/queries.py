@@ -64,7 +64,7 @@ URL_RULES = [
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES, scratch=Scratch(spark, "op8"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
