@@ -11,6 +11,8 @@ Inside a group a signature tree is joined with itself: nodes hold the OR of thei
 of set sizes, and the range of their components; the dual traversal drops a pair of nodes whose largest
 possible overlap is less than what their smallest sizes need, or whose members are linked already.
 What is left is verified on the whole sets of 64-bit hashes. All groups of a run of rows are one forest, traversed level by level.
+A pair comes out of the first of the groups it meets in. A first traversal gives the likeliest pairs of two components only, in each group;
+they link most. Groups where it held others back, and spread ones, are traversed again with the components of then, for all that is not linked.
 
 Groups are range-partitioned by (part, component, size), so one of any size is spread over tasks as
 subtrees of at most ``NODE`` members, and the roots of a spread group are joined pair by pair after the same
@@ -51,6 +53,10 @@ NODE = 1024
 FANOUT = 8
 #: Steps of the chains along a group, and the groups of a member that chains run along.
 CHAIN, HOMES = (1, 2, 4), 6
+#: The smallest keys of a member's groups, which tell where a pair has met before. Beyond them a pair may come out more than once, never less.
+FIRST = 16
+#: Pairs of two components that a group gives at first.
+LIKELIEST = 4
 #: Pairs of members whose trees are traversed at a time.
 TOGETHER = 1 << 22
 
@@ -248,11 +254,16 @@ def _fits(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
 
 
-def _chains(groups: DataFrame, percent: int, tasks: int) -> DataFrame:
+def _homes(groups: DataFrame) -> DataFrame:
+    """(rep, n, homes): the smallest keys of each member's groups, in order."""
+    return groups.groupBy("rep", "n").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("homes"))
+
+
+def _chains(homes: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs near each other along the groups, a few a member: cheap links, not all of them."""
     # near copies share most groups, and so those of their smallest keys
-    homes = groups.groupBy("rep", "n").agg(F.slice(F.array_sort(F.collect_set("key")), 1, HOMES).alias("keys")).select(F.explode("keys").alias("key"), "rep", "n")
-    ordered = homes.repartitionByRange(tasks, "key", "n", "rep").sortWithinPartitions("key", "n", "rep")
+    some = homes.select(F.explode(F.slice("homes", 1, HOMES)).alias("key"), "rep", "n")
+    ordered = some.repartitionByRange(tasks, "key", "n", "rep").sortWithinPartitions("key", "n", "rep")
 
     def work(batches):
         seen = np.zeros((0, 2), np.int64)
@@ -339,10 +350,11 @@ class Forest:
     """Signature trees of groups over members sorted by (component, size): OR bitmaps, and ranges of sizes and components, by level.
 
     ``edges`` are where the groups begin and the last one ends. Every group has a root on the top level.
+    ``key`` names each member's group, ``homes`` has the first keys of its groups by rows; without them a pair may have met before.
     """
 
-    def __init__(self, rep: np.ndarray, n: np.ndarray, component: np.ndarray, bitmap: np.ndarray, edges: np.ndarray):
-        self.rep, self.roots = rep, np.arange(len(edges) - 1)
+    def __init__(self, rep: np.ndarray, n: np.ndarray, component: np.ndarray, bitmap: np.ndarray, edges: np.ndarray, key: np.ndarray | None = None, homes: np.ndarray | None = None):
+        self.rep, self.key, self.homes, self.roots = rep, key, homes, np.arange(len(edges) - 1)
         excess = n - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
         self.levels = [(bitmap, n, n, component, component, excess)]
         self.children: list[np.ndarray] = []  # of each level but the lowest: where the nodes' children begin, and end
@@ -357,7 +369,7 @@ class Forest:
             size = above
 
     def joined(self, percent: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of members under pairs of roots x, y that may reach the threshold and are of different components."""
+        """Places of members under pairs of roots x, y that may reach the threshold, are of different components, and have not met before."""
         for level in range(len(self.levels) - 1, -1, -1):
             keep = self._possible(self.levels[level], x, y, percent)
             x, y = x[keep], y[keep]
@@ -370,7 +382,36 @@ class Forest:
                 x = np.repeat(inner, each)
                 ordered = x <= y  # a node with itself gives each pair of children once
                 x, y = x[ordered], y[ordered]
-        return x, y
+        if self.homes is None:
+            return x, y
+        fresh = self._fresh(x, y)
+        return x[fresh], y[fresh]
+
+    def _fresh(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs have no earlier group in common, as far as their first keys tell."""
+        out = np.ones(len(x), bool)
+        for start in range(0, len(x), 8192):
+            a, b = x[start : start + 8192], y[start : start + 8192]
+            one, two = self.homes[a], self.homes[b]
+            common = (one[:, :, None] == two[:, None, :]).any(axis=2) & (one < self.key[a][:, None])
+            out[start : start + 8192] = ~common.any(axis=1)
+        return out
+
+    def likeliest(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs are among the LIKELIEST of their components and group by the bound of their similarity."""
+        bits, n, _, component, _, over = self.levels[0]
+        shared = np.zeros(len(x), np.int64)
+        for start in range(0, len(x), 8192):
+            a, b = x[start : start + 8192], y[start : start + 8192]
+            shared[start : start + 8192] = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(over[a], over[b])
+        one, two = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+        order = np.lexsort((-shared / np.maximum(n[x] + n[y], 1), two, one, self.key[x]))
+        same = np.zeros(len(x), bool)
+        same[1:] = np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in (self.key[x], one, two)])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+        out = np.zeros(len(x), bool)
+        out[order] = np.arange(len(x)) - head < LIKELIEST
+        return out
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """``joined`` of each tree with itself."""
@@ -404,11 +445,23 @@ def _emit(forest: Forest, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) that the traversal of each subtree leaves; and the subtrees of groups that may be spread over more than one, with their members."""
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of at most FIRST keys as rows, filled up with more than any key."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(size), FIRST), 1 << 62, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, homes: DataFrame, percent: int, tasks: int, few: bool) -> DataFrame:
+    """Pairs (a, b) that the traversal of each subtree leaves; and the subtrees of groups that may be spread over more than one, with their members.
+
+    ``few``: of pairs the likeliest, and besides keys only, of groups with others and of groups that may be spread.
+    """
     labelled = groups.join(labels, groups["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("n_shingles").alias("n"), "bitmap"), ["rep", "n"])
+    left = labelled.join(mixed, "key", "left_semi").join(classes.select("rep", F.col("n_shingles").alias("n"), "bitmap").join(homes, ["rep", "n"]), ["rep", "n"])
     ordered = left.repartitionByRange(tasks, "key", "component", "n", "rep").sortWithinPartitions("key", "component", "n", "rep").withColumn("part", F.spark_partition_id())
 
     def work(batches):
@@ -417,24 +470,35 @@ def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent
             keys = table["key"].to_numpy()
             rep, n, component, part = (table[c].to_numpy() for c in ("rep", "n", "component", "part"))
             bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            first = _padded(table["homes"].combine_chunks())
             edges = _runs(keys)
             cuts = np.unique(np.concatenate([edges, *(np.arange(a, b, NODE) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False) if b - a > NODE)])).astype(np.int64)
             weight = np.cumsum(np.diff(cuts).astype(np.int64) ** 2)
             edge = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(TOGETHER, int(weight[-1]) + TOGETHER, TOGETHER), side="right"), [len(cuts) - 1]]))
             for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False):
                 a, b = int(cuts[x]), int(cuts[y])
-                forest = Forest(rep[a:b], n[a:b], component[a:b], bits[a:b], cuts[x : y + 1] - a)
-                pairs = _emit(forest, *forest.pairs(percent))
+                forest = Forest(rep[a:b], n[a:b], component[a:b], bits[a:b], cuts[x : y + 1] - a, keys[a:b], first[a:b])
+                one, two = forest.pairs(percent)
+                if few:
+                    likely = forest.likeliest(one, two)
+                    again = np.unique(forest.key[one[~likely]]).tolist()
+                    if again:
+                        yield _key_rows(again)
+                    one, two = one[likely], two[likely]
+                pairs = _emit(forest, one, two)
                 if not len(pairs):
                     continue
                 nothing = [pa.nulls(len(pairs), t) for t in _KINDS[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nothing], names=_NAMES)
+            if few:
+                yield _key_rows(sorted({int(keys[0]), int(keys[-1])}.union(keys[a] for a in cuts[:-1].tolist() if a and keys[a - 1] == keys[a])))
+                continue
             rows = []
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 # the first and the last group of a task may go on in another; so may a run longer than a table
                 whole = keys[a] != keys[0] and keys[a] != keys[-1] and (a == 0 or keys[a - 1] != keys[a]) and keys[b] != keys[a]
                 if not whole:
-                    members = rep[a:b].tobytes() + n[a:b].tobytes() + component[a:b].tobytes() + bits[a:b].tobytes()
+                    members = rep[a:b].tobytes() + n[a:b].tobytes() + component[a:b].tobytes() + bits[a:b].tobytes() + first[a:b].tobytes()
                     rows.append((None, None, int(keys[a]), int(part[0]) << 32 | count, b - a, int(n[a:b].min()), int(n[a:b].max()), int(component[a:b].min()), int(component[a:b].max()), members))
                     count += 1
             # those of the table's last key wait for the next table; a task's first key may be spread, others if they have several subtrees
@@ -451,6 +515,10 @@ def _traversed(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent
     return map_arrow(ordered, work, FOUND)
 
 
+def _key_rows(keys: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, t) if name == "key" else pa.nulls(len(keys), t) for name, t in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
+
+
 def _node_rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
@@ -459,14 +527,15 @@ def _between(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of two subtrees of a spread group, after the same pruning of the roots."""
 
     def members(size: int, raw: bytes) -> tuple:
-        values = np.frombuffer(raw, np.int64, 3 * size)
-        return values[:size], values[size : 2 * size], values[2 * size :], np.frombuffer(raw, np.uint64, offset=24 * size).reshape(size, BITMAP // 64)
+        values, words = np.frombuffer(raw, np.int64), 3 + BITMAP // 64
+        bits, first = values[3 * size : words * size].view(np.uint64).reshape(size, -1), values[words * size :].reshape(size, FIRST)
+        return values[:size], values[size : 2 * size], values[2 * size : 3 * size], bits, first
 
     def work(batches):
         for batch in batches:
-            for s1, m1, s2, m2 in zip(batch.column("size").to_pylist(), batch.column("members"), batch.column("size2").to_pylist(), batch.column("members2"), strict=True):
-                both = [np.concatenate(c) for c in zip(members(s1, m1.as_py()), members(s2, m2.as_py()), strict=True)]
-                forest = Forest(*both, np.array([0, s1, s1 + s2]))
+            for key, s1, m1, s2, m2 in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(), batch.column("members"), batch.column("size2").to_pylist(), batch.column("members2"), strict=True):
+                *both, first = (np.concatenate(c) for c in zip(members(s1, m1.as_py()), members(s2, m2.as_py()), strict=True))
+                forest = Forest(*both, np.array([0, s1, s1 + s2]), np.full(s1 + s2, key), first)
                 pairs = _emit(forest, *forest.joined(percent, np.zeros(1, np.int64), np.ones(1, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -476,12 +545,18 @@ def _between(nodes: DataFrame, percent: int) -> DataFrame:
     linked = (F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))
     near = (F.col("high") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low") * percent)
     across = some.join(other, "key").where((F.col("node") < F.col("node2")) & near & ~linked)
-    return map_arrow(across.select("size", "members", "size2", "members2"), work, PAIRS)
+    return map_arrow(across.select("key", "size", "members", "size2", "members2"), work, PAIRS)
 
 
-def _candidates(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, tasks: int, scratch: Scratch) -> DataFrame:
-    found = scratch.table(_traversed(groups, labels, classes, percent, tasks), "traversed")
-    return found.where("a is not null").select("a", "b").unionByName(_between(found.where("a is null").drop("a", "b"), percent)).distinct()
+def _further(groups: DataFrame, links: DataFrame, classes: DataFrame, homes: DataFrame, docs: DataFrame, width: int, percent: int, tasks: int, scratch: Scratch) -> DataFrame:
+    """``links`` with what they lack: links of the likeliest pairs of two components, then of all pairs that are not linked by then."""
+    found = scratch.table(_traversed(groups, components(links, scratch), classes, homes, percent, tasks, True), "likeliest")
+    tried = scratch.table(found.where("a is not null").select("a", "b").distinct(), "tried")
+    links = scratch.table(links.unionByName(_verify(tried, docs, width, percent, scratch)), "links")
+    again = groups.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
+    found = scratch.table(_traversed(again, components(links, scratch), classes, homes, percent, tasks, False), "traversed")
+    pairs = found.where("a is not null").select("a", "b").unionByName(_between(found.where("a is null").drop("a", "b"), percent)).distinct()
+    return links.unionByName(_verify(pairs.join(tried, ["a", "b"], "left_anti"), docs, width, percent, scratch))
 
 
 def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -> DataFrame:
@@ -499,14 +574,13 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int = 90) -
     # an id that repeats may stand for several sets; each is there once
     classes = scratch.table(classes.dropDuplicates(["rep", "d1", "d2"]).select("rep", "n_shingles", "bitmap"), "classes")
     groups = scratch.table(_different(scratch.table(_shared_groups(described, classes, tasks), "shared")), "groups")
-    links = scratch.table(_verify(_possible_pairs(_chains(groups, percent, tasks), classes, percent), docs, width, percent, scratch), "links")
+    homes = scratch.table(_homes(groups), "homes")
+    links = scratch.table(_verify(_possible_pairs(_chains(homes, percent, tasks), classes, percent), docs, width, percent, scratch), "links")
     # rows of one id are one document, whichever classes their sets are of
     owned = described.select("doc_id", "n_shingles", "d1", "d2").join(first, ["d1", "d2"], "left")
     several = described.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
     same = owned.join(several, "doc_id", "left_semi").where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.table(links.unionByName(same), "links")
-    labels = components(links, scratch)
-    more = scratch.table(_verify(_candidates(groups, labels, classes, percent, tasks, scratch), docs, width, percent, scratch), "links")
-    labels = components(links.unionByName(more), scratch)
+    labels = components(_further(groups, links, classes, homes, docs, width, percent, tasks, scratch), scratch)
     found = owned.join(labels, owned["rep"] == labels["node"], "left")
     return found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parleylake.llm import decontaminate, licenses, toxicity
+from parleylake.llm import decontaminate, licenses, shingle_join, toxicity
 from parleylake.llm.common import Scratch
 
 
@@ -30,3 +30,34 @@ def test_copies_of_repetitive_items_are_found(spark):
     docs = [(i, f"some words before the item {text} and others after it") for i, text in items]
     rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in rows) == [(i, i, 1.0) for i, _ in items]
+
+
+def test_pairs_of_near_copies_are_laid_out_once(spark, monkeypatch):
+    words, texts = [f"w{i}" for i in range(200)], []
+    for i in range(50):  # forty near copies, and ten texts that are near all of them but reach the threshold with none
+        own = list(words)
+        for at in np.random.default_rng(i).choice(range(4, 100, 4) if i < 40 else range(100, 196, 4), 2 if i < 40 else 6, replace=False):
+            own[at] = f"edit{i}x{at}"
+        texts.append(" ".join(own))
+    rows, pairs, table = 0, set(), Scratch.table
+
+    def counted(self, df, label):
+        nonlocal rows
+        out = table(self, df, label)
+        if label in ("likeliest", "traversed"):
+            found = [(r["a"], r["b"]) for r in out.where("a is not null").collect()]
+            rows += len(found)
+            pairs.update(found)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingle_join.link(docs, Scratch(spark, "t"), 3, 80).collect()}
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(198)} for t in texts]
+    linked = {(i, j) for i in range(50) for j in range(i + 1, 50) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    roots = list(range(50))
+    for _ in roots:
+        for i, j in linked:
+            roots[i] = roots[j] = min(roots[i], roots[j])
+    assert [found[i] for i in range(50)] == roots and len(set(roots)) > 5
+    assert len(pairs) > 200 and rows <= 2 * len(pairs)
