@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,11 @@ class Scratch:
         """Delete the tables of a label that nothing lazy reads any more."""
         self._delete(f"{self.root}/*-{label}")
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files that nothing refers to any more; it learns that from the driver's garbage collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         self._delete(self.root)
 

@@ -13,7 +13,8 @@ Of each class the earliest line that passes the filters is verified first; that
 copies costs a pair a member. Classes that it does not settle have the other lines verified that were listed, LISTED
 at most under a word; those of longer lists that are still open are probed again and have all their pairs verified. No
 candidate is dropped. Words with more than HOT occurrences have their postings dealt to as many tasks as
-that needs, each against all earlier ones.
+that needs, each against all earlier ones. Postings are shuffled and joined in SHARES by word, one after another, and the
+shuffle files of finished steps are let go, so that they do not pile up.
 
 Defined results: blank lines are kept; null and empty texts have no lines. Rows that repeat an id are told apart: they
 follow one another by a hash of the text, each in its own numbering; of wholly equal rows all but one lose all lines with a
@@ -39,6 +40,8 @@ HOT = 50_000
 SMALL = 256
 #: Earlier lines that a word gives a line at first.
 LISTED = 16
+#: Shares of the words whose postings are on disk at a time.
+SHARES = 4
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -197,9 +200,8 @@ POSTINGS = "key long, index_only boolean, doc long, hash long, line int, meta lo
 INDEX, PROBE = 1, 2
 
 
-def _postings(classes: DataFrame, ranks: np.ndarray, bits: int) -> DataFrame:
-    """A row for each rare word of a class; of a hot word one to be probed with and one for each share of the probes."""
-    shared = classes.sparkSession.sparkContext.broadcast(ranks)
+def _postings(classes: DataFrame, shared, bits: int, share: int) -> DataFrame:
+    """A row for each rare word of a class, of a share of the words; of a hot word one to be probed with and one for each share of the probes."""
     shift = np.uint64(64 - bits)
 
     def work(batches):
@@ -210,7 +212,7 @@ def _postings(classes: DataFrame, ranks: np.ndarray, bits: int) -> DataFrame:
             size = pc.list_value_length(lists).to_numpy()
             token, owner = pc.list_flatten(lists).to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size)
             at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            some = np.flatnonzero(token != 0)
+            some = np.flatnonzero((token != 0) & (mix(token ^ M2) % np.uint64(SHARES) == share))
             token, owner, at = token[some], owner[some], at[some]
             count = np.exp2(shared.value[(token >> shift).astype(np.int64)].astype(float) / STEPS)
             shares = 1 + (count // HOT).astype(np.int64)
@@ -387,6 +389,16 @@ def _pairs(postings: DataFrame, percent: int, wanted: np.ndarray | None = None)
     return map_arrow(ordered, work, PAIRS)
 
 
+def _met(classes: DataFrame, shared, bits: int, percent: int, scratch: Scratch, wanted: np.ndarray | None = None) -> DataFrame:
+    """``_pairs`` of all words, a share at a time."""
+    found = None
+    for share in range(SHARES):
+        met = scratch.table(_pairs(_postings(classes, shared, bits, share), percent, wanted), "met")
+        found = met if found is None else found.unionByName(met)
+        scratch.release()
+    return found
+
+
 def _identity(table) -> np.ndarray:
     """A 64-bit name of each line."""
     doc, hash_, line = (table[c].to_numpy() for c in ("doc", "hash", "line"))
@@ -445,18 +457,26 @@ def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[
     """Of ``source`` (row, doc, text, hash): the described lines, and those of them that stay (doc, hash, line)."""
     ship(source.sparkSession)
     ranks, bits = rarity(source, scratch)
+    scratch.release()
     lines = describe(source, scratch, ranks, bits, percent)
     named = lines.where("line >= 0 and doc is not null")
     first = F.min(F.struct("doc", "hash", "line", "n", "parity", "rare")).alias("c")
     classes = scratch.table(named.groupBy("h1", "h2").agg(first).select("c.*"), "classes")
-    met = scratch.table(_pairs(_postings(classes.where(F.size("rare") > 0), ranks, bits), percent), "met")
+    scratch.release()
+    shared = source.sparkSession.sparkContext.broadcast(ranks)
+    met = _met(classes.where(F.size("rare") > 0), shared, bits, percent, scratch)
     sets = _all_sets(met, source, scratch)
+    scratch.release()
     other = F.struct(*(f"{c}2" for c in LINE))
     pairs = scratch.table(met.groupBy(*LINE).agg(F.min(other).alias("e"), (F.min(other) < F.max(other)).alias("others"), F.max("more").alias("more")).select(*LINE, "e.*", "others", "more"), "pairs")
     settled = _verified(pairs, sets, scratch, percent)
+    scratch.release()
     left = scratch.table(pairs.where("others").join(settled, LINE, "left_anti"), "left")
     rest = met.drop("more").join(left.select(*LINE), LINE, "left_semi").distinct().join(left, PAIR, "left_anti")
+    rest = scratch.table(rest, "rest")
+    scratch.release()
     settled = settled.unionByName(_verified(rest, sets, scratch, percent))
+    scratch.release()
     open_ = scratch.table(left.where("more").select(*LINE).join(settled, LINE, "left_anti"), "open")
     if open_.limit(1).count():
         # all pairs of what is open: postings under its words only
@@ -473,9 +493,10 @@ def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "hash", "line", "n", "parity")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "hash", "line", "n", "parity", "rare"])
 
         some = map_arrow(classes.where(F.size("rare") > 0), kept, "doc long, hash long, line int, n int, parity long, rare array<long>")
-        every = _pairs(_postings(some, ranks, bits), percent, bit_filter(open_, _identity, ["doc", "hash", "line"]))
+        every = _met(some, shared, bits, percent, scratch, bit_filter(open_, _identity, ["doc", "hash", "line"]))
         every = scratch.table(every.drop("more").join(open_, LINE, "left_semi").distinct(), "pairs")
         settled = settled.unionByName(_verified(every, _all_sets(every, source, scratch), scratch, percent))
+        scratch.release()
     return lines, classes.select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti")
 
 

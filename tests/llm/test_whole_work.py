@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from parleylake.llm import decontaminate, licenses, shingle_join, toxicity
+from parleylake.llm import decontaminate, licenses, lines, shingle_join, toxicity
 from parleylake.llm.common import Scratch
 
 
@@ -61,3 +61,19 @@ def test_pairs_of_near_copies_are_laid_out_once(spark, monkeypatch):
             roots[i] = roots[j] = min(roots[i], roots[j])
     assert [found[i] for i in range(50)] == roots and len(set(roots)) > 5
     assert len(pairs) > 200 and rows <= 2 * len(pairs)
+
+
+def test_postings_of_lines_come_in_shares(spark, monkeypatch):
+    words = [[f"w{k}" for k in np.random.default_rng(i).choice(300, 12, replace=False)] for i in range(60)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[1:]) for w in words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shares, pairs = [], lines._pairs
+
+    def counted(postings, percent, wanted=None):
+        shares.append(postings.count())
+        return pairs(postings, percent, wanted)
+
+    monkeypatch.setattr(lines, "_pairs", counted)
+    found = {r["doc_id"]: r["n_removed"] for r in lines.summary(docs, Scratch(spark, "t")).collect()}
+    assert found == {i: int(i >= 60) for i in range(120)}
+    assert max(shares) < sum(shares) / 2
