@@ -1,20 +1,18 @@
-"""Line dedup: an exact set-similarity join of lines.
-
-A line is its set of lower-case words (one-to-one case mapping) between ASCII blanks. A line goes if an earlier one
-(by document id, then line number) has a set of Jaccard similarity ``percent`` or more. Equal sets are one class at first
-occurrence; classes are joined on their rarest words. Rarity is the count of a word's hash bucket over the whole
-corpus, in logarithmic steps (then the hash); there are twice as many buckets as were hit, up to 2 ** COUNT_BITS, so the table
-that is sent out has at most 128 MB, and words still sort by rarity where they outnumber it. A class is posted under its
-first ``n - ceil(t * n) + 1`` words, pairs that meet pass the length filter, the prefix of the smaller set, the positional
-filter (what is left behind the shared word in both must still reach the overlap) and a parity signature (words in one
-set only flip at most so many bits), and are verified on whole sets of 64-bit word hashes.
-
-Of each class the earliest line that passes the filters is verified first; that settles most copies, so a large group of near
-copies costs a pair a member. Classes that it does not settle have the other lines verified that were listed, LISTED
-at most under a word; those of longer lists that are still open are probed again and have all their pairs verified. No
-candidate is dropped. Words with more than HOT occurrences have their postings dealt to as many tasks as
-that needs, each against all earlier ones. Postings are shuffled and joined in SHARES by word, one after another, and the
-shuffle files of finished steps are let go, so that they do not pile up.
+"""Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
+
+A line is its set of lower-case words (``lower`` of Spark) between ASCII blanks. A line goes if an earlier one (by document
+id, then line number) has a set of Jaccard similarity ``percent`` or more. Equal lines are one class at first occurrence.
+
+Sets of that similarity differ in at most K = (n1 + n2) * (100 - percent) / (100 + percent) words. A level of sizes has B
+blocks of the hash space, so in one block at most K / B words differ; a block is dealt to m parts, of which all but K / B
+agree. The words of a part are its signature. Signatures have a fixed order, the bytes of their words, longest first, so
+both sets have an equal one among their first K / B + 1 (the prefix filter, with signatures for words). Long signatures are
+rare ones, and the short and empty ones are left over. A line is posted in its own level and in those of larger partners.
+
+Each line is held against the earliest of each signature first; that settles most copies, so a large group of near copies
+costs a pair a member. What it does not settle is held against all earlier lines of its signatures. Pairs are filtered by
+size and by parity signatures (a word in one set only flips at most a bit), and verified on whole sets of word hashes. No candidate
+is dropped. Signatures of more than HOT lines are dealt to as many tasks as that needs.
 
 Defined results: blank lines are kept; null and empty texts have no lines. Rows that repeat an id are told apart: they
 follow one another by a hash of the text, each in its own numbering; of wholly equal rows all but one lose all lines with a
@@ -23,505 +21,200 @@ word. Rows without an id are left as they are. Columns of any other name pass by
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_filter, map_arrow, passes, ship, slices
-from .hashing import M2, SPACED, buffers, mix, spans, words
-
-COUNT_BITS, SEGMENT_BITS = 27, 16
-#: Rank steps of a doubling of the count; and the highest rank of a word that stands only once.
-STEPS, ONCE = 8, 8
-HOT = 50_000
-#: Runs of a shared word up to which all its pairs are laid out at once.
-SMALL = 256
-#: Earlier lines that a word gives a line at first.
-LISTED = 16
-#: Shares of the words whose postings are on disk at a time.
+from .common import Scratch
+
+#: Parts of a block in the levels of sizes; the last holds for all larger ones, which have more blocks.
+PARTS = (4, 6, 10, 16)
+#: Lines of a signature that a task holds an open line against; and up to which they are never dealt out.
+HOT, SMALL = 5_000, 256
+#: Earlier lines up to which an open line is verified against all at once, not the earliest first.
+LISTED = 4
+#: Shares of the signatures whose postings are on disk at a time.
 SHARES = 4
+BLANKS = "\t\r\x0b\x0c"
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
 
 def _tasks(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _counted(source: DataFrame) -> DataFrame:
-    """(segment, low, counts): how often words of each hash bucket stand in the texts, a task's share."""
-
-    def merged(parts):
-        bucket = np.concatenate([p[0] for p in parts])
-        key, back = np.unique(bucket, return_inverse=True)
-        return key, np.bincount(back, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
-
-    def work(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = words(pc.utf8_lower(part.column("text")), SPACED)
-                parts.append(np.unique((found.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int32), return_counts=True))
-                held += len(parts[-1][0])
-                if held > 3_000_000:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 2_000_000:
-                        yield blobs(*parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield blobs(*merged(parts))
-
-    def blobs(bucket, count):
-        edges = np.searchsorted(bucket, np.arange((1 << COUNT_BITS - SEGMENT_BITS) + 1) << SEGMENT_BITS)
-        some = np.flatnonzero(np.diff(edges))
-        low, counts = (bucket & (1 << SEGMENT_BITS) - 1).astype("<u2"), count.astype("<i8")
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary())], names=["segment", "low", "counts"])
-
-    return map_arrow(source.where("text is not null").select("text"), work, "segment int, low binary, counts binary")
-
-
-def rarity(source: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """Rank of every hash bucket by the count of its words, and how many bits of a hash name the bucket."""
-    tasks = _tasks(source)
-
-    def total(batches):
-        """Sums by segment over rows sorted by segment: one segment of counts is held."""
-        now, sums = None, None
-        for batch in batches:
-            for segment, low, counts in zip(batch.column("segment").to_pylist(), batch.column("low"), batch.column("counts"), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield row(now, sums)
-                    now, sums = segment, np.zeros(1 << SEGMENT_BITS, np.int64)
-                sums[np.frombuffer(low.as_py(), "<u2")] += np.frombuffer(counts.as_py(), "<i8")
-        if now is not None:
-            yield row(now, sums)
-
-    def row(segment, sums):
-        hit = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(hit)]), pa.array([hit.astype("<u2").tobytes()]), pa.array([sums[hit].astype("<i8").tobytes()])], names=["segment", "n", "low", "counts"])
-
-    ordered = _counted(source).repartition(tasks, "segment").sortWithinPartitions("segment")
-    counts = scratch.table(map_arrow(ordered, total, "segment int, n long, low binary, counts binary"), "counts")
-    hit = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(max((2 * hit).bit_length(), SEGMENT_BITS), COUNT_BITS)
-
-    def folded(batches):
-        for batch in batches:
-            out = []
-            for low, own in zip(batch.column("low"), batch.column("counts"), strict=True):
-                sums = np.zeros(1 << SEGMENT_BITS, np.int64)
-                sums[np.frombuffer(low.as_py(), "<u2")] = np.frombuffer(own.as_py(), "<i8")
-                sums = sums.reshape(-1, 1 << COUNT_BITS - bits).sum(axis=1)
-                out.append(np.minimum(np.ceil(STEPS * np.log2(sums + 1.0)), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(out, pa.binary())], names=["segment", "ranks"])
-
-    ranks = np.zeros((1 << COUNT_BITS - SEGMENT_BITS, 1 << SEGMENT_BITS - COUNT_BITS + bits), np.uint8)
-    found = map_arrow(counts, folded, "segment int, ranks binary").toArrow()
-    for segment, raw in zip(found["segment"].to_pylist(), found["ranks"], strict=True):
-        ranks[segment] = np.frombuffer(raw.as_py(), np.uint8)
-    return ranks.reshape(-1), bits
-
-
-class Cut:
-    """The lines with a word of a run of texts: text, line number, and distinct words."""
-
-    def __init__(self, column: pa.Array, keep=None, ranks: np.ndarray | None = None, shift: int = 0):
-        """``keep``: of (text, line number) arrays, which lines to go on with; words come by (rank, hash), or by hash alone."""
-        lowered = pc.utf8_lower(column)
-        raw, offsets = buffers(lowered)
-        breaks = np.flatnonzero(raw == 10)
-        before = np.searchsorted(breaks, offsets)
-        self.n_lines = np.where(np.diff(offsets) > 0, np.diff(before) + 1, 0)
-        found = words(lowered, SPACED)
-        line = np.searchsorted(breaks, found.begin) - before[found.doc]
-        doc, hashes = found.doc, found.hashes
-        if keep is not None:
-            edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            some = np.repeat(keep(doc[edge], line[edge]), np.diff(np.concatenate([edge, [len(doc)]]))) if len(doc) else np.zeros(0, bool)
-            doc, line, hashes = doc[some], line[some], hashes[some]
-        place = (line + before[doc] + doc).astype(np.int64)  # a number of its own for each line, in order
-        if ranks is not None:
-            place = place << 8 | ranks[(hashes >> np.uint64(shift)).astype(np.int64)]
-        order = np.lexsort((hashes, place))
-        hashes, place = hashes[order], place[order]
-        fresh = np.ones(len(hashes), bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])
-        self.hashes, place = hashes[fresh], place[fresh]
-        of_line = place >> 8 if ranks is not None else place
-        self.rank = (place & 255).astype(np.uint8) if ranks is not None else None
-        self.first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]])) if len(of_line) else np.zeros(0, np.int64)
-        at = order[fresh][self.first]
-        self.doc, self.line = doc[at], line[at]
-        self.n = np.diff(np.concatenate([self.first, [len(of_line)]]))
-
-    def sums(self, values: np.ndarray, how=np.add) -> np.ndarray:
-        return how.reduceat(values, self.first) if len(self.first) else values[:0]
-
-
-LINES = "row long, doc long, hash long, line int, n int, h1 long, h2 long, parity long, rare array<long>"
-
-
-def describe(source: DataFrame, scratch: Scratch, ranks: np.ndarray, bits: int, percent: int) -> DataFrame:
-    """A row for each line with a word, its rarest words (0 for those that stand once); and for each text one of line -1, ``n`` its lines.
-
-    ``source``: row, doc, text, hash.
-    """
-    shared = source.sparkSession.sparkContext.broadcast(ranks)
-    shift = 64 - bits
-
-    def work(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                cut = Cut(part.column("text"), ranks=shared.value, shift=shift)
-                n = cut.n
-                keep = np.where(n * 100 >= (n + 1) * percent, n - -(-n * percent // 100) + 1, 0)
-                places, _ = spans(cut.first, cut.first + keep)
-                rare = np.where(cut.rank[places] > ONCE, cut.hashes[places].view(np.int64), 0)
-                mixed, other = mix(cut.hashes), mix(cut.hashes ^ M2)
-                flips = np.uint64(1) << (cut.hashes & np.uint64(63))
-                own = [part.column(c) for c in ("row", "doc", "hash")]
-                texts, none = part.num_rows, pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(texts, -1, np.int32)), pa.array(cut.n_lines.astype(np.int32)), none, none, none, pa.nulls(texts, pa.list_(pa.int64()))], names=NAMES)
-                if len(n):
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(rare))
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(cut.doc)) for c in own), pa.array(cut.line.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(cut.sums(v, how).view(np.int64)) for v, how in ((mixed, np.add), (other, np.add), (flips, np.bitwise_xor))), lists], names=NAMES)
-
-    return scratch.table(map_arrow(source.select("row", "doc", "hash", "text"), work, LINES), "lines")
-
-
-NAMES = [c.split()[0] for c in LINES.split(", ")]
-POSTINGS = "key long, index_only boolean, doc long, hash long, line int, meta long, parity long"
-INDEX, PROBE = 1, 2
-
-
-def _postings(classes: DataFrame, shared, bits: int, share: int) -> DataFrame:
-    """A row for each rare word of a class, of a share of the words; of a hot word one to be probed with and one for each share of the probes."""
-    shift = np.uint64(64 - bits)
-
-    def work(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("rare")
-            size = pc.list_value_length(lists).to_numpy()
-            token, owner = pc.list_flatten(lists).to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            some = np.flatnonzero((token != 0) & (mix(token ^ M2) % np.uint64(SHARES) == share))
-            token, owner, at = token[some], owner[some], at[some]
-            count = np.exp2(shared.value[(token >> shift).astype(np.int64)].astype(float) / STEPS)
-            shares = 1 + (count // HOT).astype(np.int64)
-            hot = np.flatnonzero(shares > 1)
-            role = np.where(shares > 1, PROBE, INDEX | PROBE)
-            chunk = (token[hot] ^ mix(batch.column("hash").to_numpy().view(np.uint64)[owner[hot]])) % shares[hot].astype(np.uint64)
-            key = token.copy()
-            key[hot] = mix(token[hot] + chunk)
-            again = np.repeat(hot, shares[hot])
-            chunks = np.arange(len(again)) - np.repeat(np.cumsum(shares[hot]) - shares[hot], shares[hot])
-            key = np.concatenate([key, mix(token[again] + chunks.astype(np.uint64))])
-            owner, at, role = np.concatenate([owner, owner[again]]), np.concatenate([at, at[again]]), np.concatenate([role, np.full(len(again), INDEX)])
-            meta = batch.column("n").to_numpy().astype(np.int64)[owner] << 32 | at.astype(np.int64) << 2 | role
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role == INDEX), *(batch.column(c).take(take) for c in ("doc", "hash", "line")), pa.array(meta), batch.column("parity").take(take)], names=[c.split()[0] for c in POSTINGS.split(", ")])
-
-    return map_arrow(classes.select("doc", "hash", "line", "n", "parity", "rare"), work, POSTINGS)
-
-
-def _near(x: tuple, y: tuple, percent: int) -> np.ndarray:
-    """Length, prefix, positional and parity filters for postings x and y of one word; (n, at, parity) each."""
-    n1, at1, p1 = x
-    n2, at2, p2 = y
-    both = n1 + n2
-    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    keep = small * 100 >= large * percent
-    # sets of Jaccard t or more have at most (1 - t) / (1 + t) of both sizes in one of them only
-    keep &= np.bitwise_count(p1 ^ p2) * np.int64(100 + percent) <= both * (100 - percent)
-    keep &= np.minimum(n1 - at1, n2 - at2) * (100 + percent) >= both * percent
-    # the smaller set has a shared word among fewer first ones, as the larger one leaves it less room
-    first = np.where(n1 <= n2, at1, at2)
-    return keep & ((small - first) * (100 + percent) >= small * 2 * percent)
-
-
-class _Found:
-    """For later lines: the earliest ones that pass the filters, and whether there are more; or all of them."""
-
-    def __init__(self, table: pa.Table, percent: int, wanted: np.ndarray | None):
-        self.table, self.percent, self.wanted = table, percent, wanted
-        meta = table["meta"].to_numpy()
-        self.n, self.at = meta >> 32, (meta >> 2) & ((1 << 30) - 1)
-        self.role, self.parity = meta & 3, table["parity"].to_numpy().view(np.uint64)
-        self.id = [table[c].to_numpy() for c in ("doc", "hash", "line")]
-        self.left, self.right = [], []
-
-    def test(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Pairs of places, i before j."""
-        some = (self.role[i] & INDEX != 0) & (self.role[j] & PROBE != 0)
-        if self.wanted is not None:
-            some &= self.wanted[j]
-        if not some.all():
-            i, j = i[some], j[some]
-        good = _near((self.n[i], self.at[i], self.parity[i]), (self.n[j], self.at[j], self.parity[j]), self.percent)
-        i, j = i[good], j[good]
-        same = (self.id[0][i] == self.id[0][j]) & (self.id[1][i] == self.id[1][j]) & (self.id[2][i] == self.id[2][j])
-        self.left.append(i[~same])
-        self.right.append(j[~same])
-
-    def rows(self) -> pa.RecordBatch | None:
-        i, j = np.concatenate(self.left or [np.zeros(0, np.int64)]), np.concatenate(self.right or [np.zeros(0, np.int64)])
-        if not len(i):
-            return None
-        more = np.zeros(len(i), bool)
-        if self.wanted is None:
-            order = np.lexsort((i, j))
-            i, j = i[order], j[order]
-            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])), [len(j)]])
-            size = np.diff(edges)
-            nth, more = np.arange(len(j)) - np.repeat(edges[:-1], size), np.repeat(size > LISTED, size)
-            i, j, more = i[nth < LISTED], j[nth < LISTED], more[nth < LISTED]
-        columns = [self.table[c].combine_chunks().take(pa.array(k)) for k in (j, i) for c in ("doc", "hash", "line")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(more)], names=[c.split()[0] for c in PAIRS.split(", ")])
-
-
-LINE = ["doc", "hash", "line"]
-PAIR = [*LINE, *(f"{c}2" for c in LINE)]
-PAIRS = "doc long, hash long, line int, doc2 long, hash2 long, line2 int, more boolean"
-
-
-def _pairs(postings: DataFrame, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """Pairs (a line, an earlier one) that pass the filters under a shared word: LISTED of a line and whether there are more, or all for the lines that ``wanted`` may hold."""
-    shared = postings.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
-    ordered = postings.repartition(_tasks(postings), "key").sortWithinPartitions("key", "index_only", "doc", "hash", "line")
-
-    def mask(table):
-        return None if shared is None else passes(shared.value, _identity(table))
-
-    def small(table, begin, end):
-        """All pairs of runs of at most SMALL rows without hot shares."""
-        found = _Found(table, percent, mask(table))
-        active, _ = spans(begin, end)
-        last = np.repeat(end, end - begin)
-        step = 1
-        while len(active):
-            some = active + step < last
-            active, last = active[some], last[some]
-            found.test(active, active + step)
-            step += 1
-        return found.rows()
-
-    def long(probes, others, whole):
-        """Probes against earlier lines, block by block; once the earliest is known a probe waits no longer."""
-        table = pa.concat_tables([probes, others]) if not whole else probes
-        found, split = _Found(table, percent, mask(table)), 0 if whole else probes.num_rows
-        order = np.lexsort((found.id[2], found.id[1], found.id[0]))
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        first = order[order >= split] if not whole else order
-        hits = np.zeros(table.num_rows, np.int64)
-        probing = order[(found.role[order] & PROBE != 0) & ((order < split) | whole)]
-        for start in range(0, len(first), 512):
-            block = first[start : start + 512]
-            open_ = probing[(hits[probing] <= LISTED) | (shared is not None)]
-            open_ = open_[where[open_] > where[block[0]]]
-            for some in np.array_split(open_, max(1, len(open_) // 2048)):
-                i, j = np.repeat(block, len(some)), np.tile(some, len(block))
-                before = where[i] < where[j]
-                got = len(found.right)
-                found.test(i[before], j[before])
-                for right in found.right[got:]:
-                    np.add.at(hits, right, 1)
-        return found.rows()
-
-    def work(batches):
-        held, probes = None, None  # rows of the last run; and the probes of a hot run that is streamed through
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            piece = pa.Table.from_batches([batch])
-            held = piece if held is None else pa.concat_tables([held, piece])
-            keys = held["key"].to_numpy()
-            last = len(keys) - int(np.argmax(np.concatenate([keys[::-1] != keys[-1], [True]])))  # where the last run begins
-            yield from runs(held.slice(0, last), probes)
-            if last:
-                probes = None
-            held = held.slice(last)
-            if held.num_rows > 4 * HOT and held["index_only"][-1].as_py():  # a hot run: its probes come first
-                only = held["index_only"].combine_chunks()
-                own = held.filter(pc.invert(only))
-                probes = own if probes is None else pa.concat_tables([probes, own])
-                row = long(probes, held.filter(only), False)
-                if row is not None:
-                    yield row
-                held = None
-        if held is not None:
-            yield from runs(held, probes)
-
-    def runs(table, probes):
-        if not table.num_rows:
-            return
-        table = table.combine_chunks()
-        keys = table["key"].to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        begin, end = edges[:-1], edges[1:]
-        only = table["index_only"].to_numpy()
-        if probes is not None and probes["key"][0].as_py() == keys[0]:
-            row = long(probes, table.slice(0, int(end[0])), False)
-            if row is not None:
-                yield row
-            begin, end = begin[1:], end[1:]
-        hot = only[end - 1] if len(end) else np.zeros(0, bool)
-        little = ~hot & (end - begin <= SMALL) & (end - begin > 1)
-        if little.any():
-            row = small(table, begin[little], end[little])
-            if row is not None:
-                yield row
-        for a, b in zip(begin[(hot | (end - begin > SMALL))].tolist(), end[(hot | (end - begin > SMALL))].tolist(), strict=True):
-            own = table.slice(a, b - a)
-            is_hot = bool(only[b - 1])
-            row = long(own.filter(pc.invert(own["index_only"])), own.filter(own["index_only"]), False) if is_hot else long(own, None, True)
-            if row is not None:
-                yield row
-
-    return map_arrow(ordered, work, PAIRS)
-
-
-def _met(classes: DataFrame, shared, bits: int, percent: int, scratch: Scratch, wanted: np.ndarray | None = None) -> DataFrame:
-    """``_pairs`` of all words, a share at a time."""
-    found = None
-    for share in range(SHARES):
-        met = scratch.table(_pairs(_postings(classes, shared, bits, share), percent, wanted), "met")
-        found = met if found is None else found.unionByName(met)
-        scratch.release()
+def _numbered(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``source`` with ``place``, a number in the order of id and text hash (null without an id); and the bits of a line number."""
+    some = source.where("doc is not null")
+    low, high, rows, longest = some.agg(F.min("doc"), F.max("doc"), F.count("*"), F.max(F.octet_length("text"))).first()
+    bits = ((longest or 0) + 1).bit_length()
+    if not rows or (high - low).bit_length() + bits <= 62 and some.groupBy("doc").count().where("count > 1").limit(1).count() == 0:
+        return source.withColumn("place", F.col("doc") - F.lit(low or 0)), bits
+    # ids that repeat or lie far apart: numbered over the sorted table; row numbers may differ when they are computed again
+    source = scratch.table(source, "source")
+    ordered = scratch.table(source.where("doc is not null").select("row", "doc", F.xxhash64("text").alias("hash")).orderBy("doc", "hash", "row").select("row", F.monotonically_increasing_id().alias("at")), "order")
+    before, start = {}, 0
+    for part, n in sorted(ordered.groupBy(F.shiftright("at", 33).alias("part")).count().collect()):
+        before[part], start = start, start + n
+    starts = source.sparkSession.createDataFrame(sorted(before.items()), "part long, start long")
+    place = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part").select("row", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    return source.join(place, "row", "left"), bits
+
+
+def _split(text: str) -> Column:
+    """Lines in lower case, with spaces for all blanks."""
+    own = F.col(text)
+    return F.split(F.lower(F.when(own.rlike(f"[{BLANKS}]"), F.translate(own, BLANKS, " " * len(BLANKS))).otherwise(own)), "\n", -1)
+
+
+def _lines(source: DataFrame, bits: int) -> DataFrame:
+    """(id, line) of the lines with a word; ids are in the lines' order."""
+    found = source.where("place is not null and text <> ''").select("place", F.posexplode(_split("text")).alias("at", "line"))
+    return found.where(F.trim("line") != "").select(F.shiftleft("place", bits).bitwiseOR(F.col("at").cast("long")).alias("id"), "line")
+
+
+def _words(line: str) -> Column:
+    """Distinct words as hashes whose lowest six bits are the word's bytes (63 at most)."""
+    hashes = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.octet_length(w), F.lit(63)).cast("long")))
+    blank = F.xxhash64(F.lit("")).bitwiseAND(F.lit(-64))
+    return F.array_remove(F.array_distinct(hashes), blank)
+
+
+def _level(n: Column, unit: int) -> Column:
+    return F.when(n < unit, 0).otherwise(F.length(F.bin(F.floor(n / unit))))
+
+
+def _described(lines: DataFrame, percent: int) -> DataFrame:
+    """(id, level, own, n, p0, p1, keys): parity signatures and first part signatures of each line's blocks, for its own level and those of larger partners."""
+    unit = max(7 * percent // (4 * max(100 - percent, 1)), 1)
+    n = F.col("n")
+    sets = lines.select("id", _words("line").alias("words")).select("id", "words", F.size("words").alias("n"))
+    largest = F.floor(n * 100 / percent)
+    levels = sets.select("id", "words", "n", _level(n, unit).alias("mine"), largest.alias("largest")).select("*", F.explode_outer(F.sequence("mine", _level(F.col("largest"), unit))).alias("level"))
+    level = F.col("level")
+    blocks = F.when(level < len(PARTS), 1).otherwise(F.call_function("shiftleft", F.lit(1), level - len(PARTS) + 1))
+    parts = F.element_at(F.array(*map(F.lit, PARTS)), F.least(level + 1, F.lit(len(PARTS))))
+    reach = F.least("largest", F.call_function("shiftleft", F.lit(unit).cast("long"), level) - 1)
+    away = F.floor(F.floor((n + reach) * (100 - percent) / (100 + percent)) / blocks).cast("int")
+    out = levels.select("id", "words", "n", "level", (level == F.col("mine")).alias("own"), blocks.alias("blocks"), parts.alias("parts"), away.alias("away"))
+    one = out.select("id", "level", "n", "own", "away", "blocks", "parts", F.explode_outer("words").alias("h"))
+    h = F.col("h")
+    bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(127))
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    one = one.select(
+        "id", "level", "n", "own", "away", "parts",
+        F.shiftrightunsigned(h, 6).bitwiseAND(F.col("blocks").cast("long") - 1).cast("int").alias("block"),
+        (F.shiftrightunsigned(h, 32) % F.col("parts")).cast("int").alias("part"),
+        F.shiftleft(F.shiftrightunsigned(h, 20), 12).bitwiseOR(h.bitwiseAND(F.lit(63))).alias("v"),
+        F.when(bit < 64, flip).otherwise(0).alias("f0"), F.when(bit < 64, F.lit(0)).otherwise(flip).alias("f1"),
+    )
+    sums = [F.sum(F.when(F.col("part") == j, F.col("v")).otherwise(0)).alias(f"s{j}") for j in range(max(PARTS))]
+    shape = F.shiftleft(F.col("n").cast("long"), 8).bitwiseOR(F.col("away").cast("long"))
+    found = one.withColumn("shape", F.shiftleft(shape, 1).bitwiseOR(F.col("own").cast("long"))).groupBy("id", "level", "block").agg(F.max("shape").alias("shape"), F.bit_xor("f0").alias("p0"), F.bit_xor("f1").alias("p1"), *sums)
+    # bytes in front, so that they sort; an empty part is its number
+    value = lambda j: F.when(F.col(f"s{j}") == 0, F.lit(j).cast("long")).otherwise(F.shiftleft(F.col(f"s{j}").bitwiseAND(F.lit(4095)), 51).bitwiseOR(F.shiftrightunsigned(f"s{j}", 12)))
+    whole = F.array(*(value(j) for j in range(max(PARTS))))
+    parts = F.element_at(F.array(*map(F.lit, PARTS)), F.least(level + 1, F.lit(len(PARTS))))
+    first = F.slice(F.sort_array(F.slice(whole, 1, parts), False), 1, F.shiftrightunsigned("shape", 1).bitwiseAND(F.lit(255)).cast("int") + 1)
+    return found.select("id", "level", "block", (F.col("shape").bitwiseAND(F.lit(1)) == 1).alias("own"), F.shiftrightunsigned("shape", 9).cast("int").alias("n"), "p0", "p1", first.alias("first"))
+
+
+def _postings(described: DataFrame, share: int) -> DataFrame:
+    """(key, id): a row for each first signature of a line, of a share of the signatures."""
+    posts = described.select("id", "level", "block", F.explode("first").alias("first")).select(F.xxhash64("first", "level", "block").alias("key"), "id")
+    return posts.where(F.pmod("key", F.lit(SHARES)) == share)
+
+
+def _pairs(postings: DataFrame, tasks: int, least: int | None = None) -> DataFrame:
+    """(key, id, other, c): the lines of signatures that ``least`` (2) lines have, with the earliest of them and their number."""
+    dealt = postings.repartition(tasks, "key")
+    groups = dealt.groupBy("key").agg(F.min("id").alias("other"), F.count("*").alias("c")).where(F.col("c") >= (least or 2))
+    return dealt.join(groups.hint("shuffle_hash"), "key")
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Size and parity filters."""
+    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
+    flips = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")), F.lit(0))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (flips * (100 + percent) <= (n1 + n2) * (100 - percent))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Ids of the pairs (id, other) whose whole sets reach the threshold."""
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    sets = scratch.table(lines.join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", _words("line").alias("words")), "sets")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("words").alias("words2")), "other")
+    shared = F.size(F.array_intersect("words", "words2"))
+    both = both.select("id", shared.alias("shared"), (F.size("words") + F.size("words2")).alias("both"))
+    found = scratch.table(both.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select("id").distinct(), "settled")
+    scratch.drop("sets")
+    scratch.release()
     return found
 
 
-def _identity(table) -> np.ndarray:
-    """A 64-bit name of each line."""
-    doc, hash_, line = (table[c].to_numpy() for c in ("doc", "hash", "line"))
-    return mix(mix(doc.view(np.uint64) ^ mix(hash_.view(np.uint64))) + line.astype(np.uint64)).view(np.int64)
-
-
-def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, hash, line, words): whole sets of lines that may be among the ``wanted`` (doc, hash, line)."""
-    lines = bit_filter(wanted, _identity, ["doc", "hash", "line"])
-    texts = bit_filter(wanted, lambda t: mix(t["doc"].to_numpy().view(np.uint64) ^ mix(t["hash"].to_numpy().view(np.uint64))).view(np.int64), ["doc", "hash"])
-    shared = source.sparkSession.sparkContext.broadcast((lines, texts))
-
-    def work(batches):
-        lines, texts = shared.value
-        for batch in batches:
-            doc, hash_ = (batch.column(c).to_numpy().view(np.uint64) for c in ("doc", "hash"))
-            some = batch.filter(pa.array(passes(texts, mix(doc ^ mix(hash_)).view(np.int64))))
-            for part in slices(some, "text") if some.num_rows else ():
-                doc, hash_ = (part.column(c).to_numpy().view(np.uint64) for c in ("doc", "hash"))
-                own = mix(doc ^ mix(hash_))
-                cut = Cut(part.column("text"), keep=lambda d, n, own=own: passes(lines, mix(own[d] + n.astype(np.uint64)).view(np.int64)))
-                if len(cut.n):
-                    ends = np.concatenate([cut.first[1:], [len(cut.hashes)]])
-                    raw = [cut.hashes[a:b].tobytes() for a, b in zip(cut.first.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(cut.doc)), part.column("hash").take(pa.array(cut.doc)), pa.array(cut.line.astype(np.int32)), pa.array(raw, pa.binary())], names=["doc", "hash", "line", "words"])
-
-    return map_arrow(source.where("doc is not null and text is not null").select("doc", "hash", "text"), work, "doc long, hash long, line int, words binary")
-
-
-def _all_sets(pairs: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
-    """Whole sets of all lines of the pairs."""
-    wanted = pairs.select(*LINE).unionByName(pairs.select(*(F.col(f"{c}2").alias(c) for c in LINE))).distinct()
-    return scratch.table(_sets(source, wanted).join(wanted, LINE, "left_semi"), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(doc, hash, line) of the later lines of the pairs whose whole sets reach the threshold."""
-    other = sets.select(*(F.col(c).alias(f"{c}2") for c in LINE), F.col("words").alias("words2"))
-    both = pairs.join(sets, LINE).join(other, [f"{c}2" for c in LINE])
-
-    def work(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("words"), batch.column("words2"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                all_ = np.concatenate([x, y])
-                all_.sort()
-                shared = int(np.count_nonzero(all_[1:] == all_[:-1]))
-                good.append(shared * 100 >= (len(all_) - shared) * percent)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc", "hash", "line")], names=["doc", "hash", "line"]).filter(pa.array(good, pa.bool_()))
-
-    return scratch.table(map_arrow(both.select("doc", "hash", "line", "words", "words2"), work, "doc long, hash long, line int").distinct(), "settled")
-
-
-def duplicates(source: DataFrame, scratch: Scratch, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Of ``source`` (row, doc, text, hash): the described lines, and those of them that stay (doc, hash, line)."""
-    ship(source.sparkSession)
-    ranks, bits = rarity(source, scratch)
+def _kept(lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Ids of the lines that stay."""
+    tasks = _tasks(lines)
+    first = lines.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")).agg(F.min("id").alias("id"))
+    first = scratch.table(first.select("id"), "first")
+    described = scratch.table(_described(lines.join(first.hint("shuffle_hash"), "id", "left_semi"), percent), "described")
     scratch.release()
-    lines = describe(source, scratch, ranks, bits, percent)
-    named = lines.where("line >= 0 and doc is not null")
-    first = F.min(F.struct("doc", "hash", "line", "n", "parity", "rare")).alias("c")
-    classes = scratch.table(named.groupBy("h1", "h2").agg(first).select("c.*"), "classes")
-    scratch.release()
-    shared = source.sparkSession.sparkContext.broadcast(ranks)
-    met = _met(classes.where(F.size("rare") > 0), shared, bits, percent, scratch)
-    sets = _all_sets(met, source, scratch)
-    scratch.release()
-    other = F.struct(*(f"{c}2" for c in LINE))
-    pairs = scratch.table(met.groupBy(*LINE).agg(F.min(other).alias("e"), (F.min(other) < F.max(other)).alias("others"), F.max("more").alias("more")).select(*LINE, "e.*", "others", "more"), "pairs")
-    settled = _verified(pairs, sets, scratch, percent)
-    scratch.release()
-    left = scratch.table(pairs.where("others").join(settled, LINE, "left_anti"), "left")
-    rest = met.drop("more").join(left.select(*LINE), LINE, "left_semi").distinct().join(left, PAIR, "left_anti")
-    rest = scratch.table(rest, "rest")
-    scratch.release()
-    settled = settled.unionByName(_verified(rest, sets, scratch, percent))
-    scratch.release()
-    open_ = scratch.table(left.where("more").select(*LINE).join(settled, LINE, "left_anti"), "open")
-    if open_.limit(1).count():
-        # all pairs of what is open: postings under its words only
-        asked = classes.join(open_, ["doc", "hash", "line"], "left_semi").select(F.explode("rare").alias("word")).where("word <> 0")
-        tokens = source.sparkSession.sparkContext.broadcast(bit_filter(asked, lambda t: t["word"].to_numpy(), ["word"]))
-
-        def kept(batches):
-            for batch in batches:
-                lists = batch.column("rare")
-                flat = pc.list_flatten(lists).to_numpy()
-                flat = np.where(passes(tokens.value, flat), flat, 0)
-                size = pc.list_value_length(lists).to_numpy()
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "hash", "line", "n", "parity")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "hash", "line", "n", "parity", "rare"])
-
-        some = map_arrow(classes.where(F.size("rare") > 0), kept, "doc long, hash long, line int, n int, parity long, rare array<long>")
-        every = _met(some, shared, bits, percent, scratch, bit_filter(open_, _identity, ["doc", "hash", "line"]))
-        every = scratch.table(every.drop("more").join(open_, LINE, "left_semi").distinct(), "pairs")
-        settled = settled.unionByName(_verified(every, _all_sets(every, source, scratch), scratch, percent))
+    members = None
+    for share in range(SHARES):
+        found = scratch.table(_pairs(_postings(described, share), tasks), "members")
+        members = found if members is None else members.unionByName(found)
         scratch.release()
-    return lines, classes.select("doc", "hash", "line").join(settled, ["doc", "hash", "line"], "left_anti")
+    classes = described.where("own").groupBy("id").agg(F.max("n").alias("n"), F.bit_xor("p0").alias("p0"), F.bit_xor("p1").alias("p1"))
+    classes = scratch.table(classes, "classes")
+    scratch.drop("described")
+    a, b = classes.alias("a"), classes.alias("b")
+    hubs = members.where("id <> other").groupBy("id", "other").agg(F.max(F.col("c") > 2).alias("many")).alias("h")
+    hubs = hubs.join(a, F.col("h.id") == F.col("a.id")).join(b, F.col("h.other") == F.col("b.id")).select("h.id", "other", "many", _near("a", "b", percent).alias("near"))
+    hubs = scratch.table(hubs, "hubs")
+    settled = _verified(hubs.where("near").select("id", "other"), lines, scratch, percent)
+    open_ = scratch.table(hubs.where("many").select("id").distinct().join(settled, "id", "left_anti"), "open")
+    described = members.where("c > 2").join(classes, "id")
+    shares = F.when(F.col("c") <= SMALL, 1).otherwise(F.ceil(F.col("c") / HOT)).cast("int")
+    asked = described.join(open_, "id", "left_semi").withColumn("share", (F.pmod(F.xxhash64("id"), shares)).cast("int")).alias("a")
+    against = described.withColumn("share", F.explode_outer(F.sequence(F.lit(0), shares - 1))).alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.share") == F.col("b.share"))
+    earlier = (F.col("b.id") < F.col("a.id")) & (F.col("b.id") != F.col("a.other"))
+    rest = scratch.table(asked.join(against, same & earlier & _near("a", "b", percent)).select("a.id", F.col("b.id").alias("other")).distinct(), "rest")
+    scratch.drop("members")
+    scratch.release()
+    counted = rest.groupBy("id").agg(F.min("other").alias("earliest"), F.count("*").alias("c"))
+    rest = scratch.table(rest.join(counted, "id").select("id", "other", ((F.col("c") <= LISTED) | (F.col("other") == F.col("earliest"))).alias("now")), "asked")
+    settled = settled.unionByName(_verified(rest.where("now").select("id", "other"), lines, scratch, percent))
+    left = scratch.table(rest.where(~F.col("now")).select("id", "other").join(settled, "id", "left_anti"), "left")
+    if left.limit(1).count():
+        settled = settled.unionByName(_verified(left, lines, scratch, percent))
+    return first.join(settled, "id", "left_anti")
 
 
 def _removed(source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(row, doc, n_lines, removed): a row for each row of ``source``."""
-    lines, firsts = duplicates(source, scratch, percent)
-    # of wholly equal rows the first keeps its lines
-    copies = lines.where("line = -1 and doc is not null").groupBy("doc", "hash").agg(F.min("row").alias("own"), F.count("*").alias("k")).where("k > 1").select("doc", "hash", "own")
-    kept = firsts.withColumn("stays", F.lit(True))
-    marked = lines.select("row", "doc", "hash", "line", "n").join(kept, ["doc", "hash", "line"], "left").join(copies, ["doc", "hash"], "left")
-    stays = F.coalesce("stays", F.lit(False)) & F.coalesce(F.col("row") == F.col("own"), F.lit(True)) | F.col("doc").isNull()
-    gone = F.collect_list(F.when((F.col("line") >= 0) & ~stays, F.col("line")))
-    return marked.groupBy("row").agg(F.first("doc").alias("doc"), F.max(F.when(F.col("line") < 0, F.col("n"))).cast("long").alias("n_lines"), F.array_sort(gone).alias("removed"))
+    numbered, bits = _numbered(source, scratch)
+    kept = _kept(_lines(numbered, bits), scratch, percent)
+    lists = kept.groupBy(F.shiftright("id", bits).alias("place")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).alias("stay"))
+    own = F.filter(F.transform(_split("text"), lambda line, i: F.when(F.trim(line) != "", i)), lambda i: i.isNotNull())
+    counted = numbered.select("row", "doc", "place", F.when(F.col("text") != "", F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"), F.when((F.col("text") != "") & F.col("place").isNotNull(), own).alias("own"))
+    joined = counted.join(lists, "place", "left")
+    gone = F.array_except(F.coalesce("own", F.array().cast("array<int>")), F.coalesce("stay", F.array().cast("array<int>")))
+    return joined.select("row", "doc", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), gone.alias("removed"))
 
 
 def summary(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0): a row for each row of ``docs``."""
-    source = _source(docs, text, key).withColumn("row", F.monotonically_increasing_id())
-    return _removed(source, scratch, percent).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    removed = _removed(_source(docs, text, key), scratch, percent)
+    return removed.select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def clean(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; other columns as they are."""
     kept = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")), "rows")
-    source = kept.select("row", F.col("own")[key].cast("long").alias("doc"), F.col("own")[text].cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    source = kept.select("row", F.col("own")[key].cast("long").alias("doc"), F.col("own")[text].cast("string").alias("text"))
     lists = _removed(source, scratch, percent).where(F.size("removed") > 0).select("row", "removed")
     left = F.array_join(F.filter(F.split(F.col("own")[text], "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
     joined = kept.join(lists, "row", "left")

@@ -77,3 +77,20 @@ def test_postings_of_lines_come_in_shares(spark, monkeypatch):
     found = {r["doc_id"]: r["n_removed"] for r in lines.summary(docs, Scratch(spark, "t")).collect()}
     assert found == {i: int(i >= 60) for i in range(120)}
     assert max(shares) < sum(shares) / 2
+
+
+def test_lines_are_joined_by_dataframe_operations_only(spark, monkeypatch):
+    plans, table = [], Scratch.table
+
+    def seen(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, label)
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    words = [f"w{k}" for k in range(20)]
+    texts = [" ".join(words), " ".join(words[:18] + ["x", "y"]), " ".join(words[:16] + ["a", "b", "c", "d"]), " ".join(words * 9) + " " + " ".join(f"v{k}" for k in range(180))]
+    texts.append(texts[-1].replace("v7 ", "other "))
+    found = lines.summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+    assert len(plans) > 5 and not any("Python" in p or "Arrow" in p or "Pandas" in p for p in plans)
